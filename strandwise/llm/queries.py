@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm import packing, tokens
+from strandwise.llm import garbled, packing, tokens
 from strandwise.sources.tables import table
 
 
@@ -29,5 +29,13 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_report(p8_packed(spark, d), table(spark, d, "pack_capacities"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p7_round_trip, p8_packed, p8_report)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.find_garbled(table(spark, d, "documents")).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.find_garbled(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p7_ids, p7_round_trip, p8_packed, p8_report, p9_found, p9_restored)}
 ORACLE = {"p7_round_trip": "SELECT lang, count(*) AS n_docs, count(*) AS n_same FROM documents GROUP BY lang"}
