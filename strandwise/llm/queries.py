@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm import garbled, packing, tokens
+from strandwise.llm import canonical, garbled, packing, tokens
 from strandwise.sources.tables import table
 
 
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.map_values(table(spark, d, "metadata"), table(spark, d, "host_reference"), table(spark, d, "location_reference"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mapped(spark, d).select("row_id", "field", "ref_id")
+
+
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.unmatched_report(_mapped(spark, d))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_documents(table(spark, d, "documents"))
 
@@ -37,5 +49,5 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled.find_garbled(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p7_round_trip, p8_packed, p8_report, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p7_ids, p7_round_trip, p8_packed, p8_report, p9_found, p9_restored)}
 ORACLE = {"p7_round_trip": "SELECT lang, count(*) AS n_docs, count(*) AS n_same FROM documents GROUP BY lang"}
