@@ -1 +1 @@
-"""Package."""
+"""Column expressions and small fixed tables."""
