@@ -57,14 +57,14 @@ def codons(sequence: Column) -> Column:
 def jukes_cantor(p: Column) -> Column:
     """-3/4 ln(1 - 4p/3); p itself where that is saturated."""
     arg = 1 - p * 4 / 3
-    return F.when(arg <= 0, p).otherwise(F.abs(F.log(F.when(arg > 0, arg).otherwise(1.0)) * -0.75))
+    return F.when(arg <= 0, p).when(arg > 0, F.abs(F.log(F.when(arg > 0, arg).otherwise(1.0)) * -0.75))
 
 
 def kimura(ts: Column, tv: Column) -> Column:
     """K80 from the shares of transitions and transversions; their sum where saturated."""
     a, b = 1 - ts * 2 - tv, 1 - tv * 2
     safe = lambda x: F.log(F.when(x > 0, x).otherwise(1.0))
-    return F.when((a <= 0) | (b <= 0), ts + tv).otherwise(F.abs(safe(a) * -0.5 - safe(b) * 0.25))
+    return F.when((a <= 0) | (b <= 0), ts + tv).when((a > 0) & (b > 0), F.abs(safe(a) * -0.5 - safe(b) * 0.25))
 
 
 def decimal_year(day: Column) -> Column:

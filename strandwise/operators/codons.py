@@ -16,7 +16,7 @@ def codon_usage(alignment: DataFrame) -> DataFrame:
     Stops and codons with other than four bases do not count.
     """
     code = F.broadcast(genetic_code.code_table(alignment.sparkSession))  # 64 rows
-    counted = alignment.select("dataset_id", F.explode(N.codons(F.translate("seq", "U", "T"))).alias("codon")).groupBy("dataset_id", "codon").agg(F.count("*").alias("n")).join(code, "codon").where("amino_acid <> '*'")
+    counted = alignment.select("dataset_id", F.explode(N.codons(F.col("seq"))).alias("codon")).select("dataset_id", F.translate("codon", "U", "T").alias("codon")).groupBy("dataset_id", "codon").agg(F.count("*").alias("n")).join(code, "codon").where("amino_acid <> '*'")
     top = F.max("n").over(Window.partitionBy("dataset_id", "amino_acid"))
     return counted.withColumn("weight", F.greatest(F.col("n") / top, F.lit(1e-4)))
 
@@ -34,7 +34,7 @@ def codon_adaptation(alignment: DataFrame, usage: DataFrame) -> DataFrame:
     ``usage`` has (dataset_id, codon, weight), e.g. of ``codon_usage``, or of a host's table repeated for each dataset.
     """
     single = ("ATG", "TGG")
-    rows = queries_beside_reference(alignment).select("dataset_id", "seq_ord", "sequence_id", F.explode(N.codons(F.translate("seq", "U", "T"))).alias("codon")).where(~F.col("codon").isin(*single))
+    rows = queries_beside_reference(alignment).select("dataset_id", "seq_ord", "sequence_id", F.explode(N.codons(F.col("seq"))).alias("codon")).withColumn("codon", F.translate("codon", "U", "T")).where(~F.col("codon").isin(*single))
     return rows.join(usage.select("dataset_id", "codon", "weight"), ["dataset_id", "codon"]).groupBy("dataset_id", "seq_ord", "sequence_id").agg(F.exp(F.avg(F.log("weight"))).alias("cai"), F.count("*").alias("n_codons"))
 
 
@@ -106,7 +106,7 @@ def open_reading_frames(records: DataFrame, minimum: int = 5) -> DataFrame:
     """
     strands = F.array(F.struct(F.lit("+").alias("strand"), F.col("bare").alias("s")), F.struct(F.lit("-").alias("strand"), N.reverse_complement(F.col("bare")).alias("s")))
     rows = records.select("dataset_id", "sequence_id", F.regexp_replace("seq", r"[-.?]", "").alias("bare")).select("dataset_id", "sequence_id", F.length("bare").alias("len"), F.explode(strands).alias("x")).select("dataset_id", "sequence_id", "len", "x.*")
-    framed = rows.withColumn("frame", F.explode(F.array(*map(F.lit, range(3))))).withColumn("c", N.codons(F.translate(F.expr("substring(s, frame + 1)"), "U", "T")))
+    framed = rows.withColumn("frame", F.explode(F.array(*map(F.lit, range(3))))).withColumn("read", F.translate(F.expr("substring(s, frame + 1)"), "U", "T")).withColumn("c", N.codons(F.col("read")))
     stops = F.filter(F.transform("c", lambda x, i: F.when(x.isin("TAA", "TAG", "TGA"), i)), lambda i: i.isNotNull())
     starts = F.filter(F.transform("c", lambda x, i: F.when(x == "ATG", i)), lambda i: i.isNotNull())
     found = framed.withColumn("stops", stops).withColumn("starts", starts).withColumn("k", F.explode(F.sequence(F.lit(0), F.size("stops")))).where(F.col("k") < F.size("stops"))

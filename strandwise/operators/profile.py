@@ -51,7 +51,7 @@ def induced_expressions(values: DataFrame) -> DataFrame:
     per_fixed = each.groupBy("column_name", "runs", "fixed").agg(
         F.count("*").alias("n_distinct"), F.sum(picks).alias("picks"), F.sum(run_lengths).alias("lengths"), F.sum(F.length("value") * TEXT_BITS + HEAD_BITS).alias("plain")
     )
-    fixed_cost = HEAD_BITS + F.length("fixed") * ELEMENT_BITS / 2 + F.col("picks")
+    fixed_cost = HEAD_BITS + F.length("fixed") * ELEMENT_BITS + F.col("picks")
     family = Window.partitionBy("column_name", "runs")
     costs = per_fixed.select(
         "column_name", "runs", "fixed", "n_distinct",
@@ -60,7 +60,7 @@ def induced_expressions(values: DataFrame) -> DataFrame:
         (F.sum(F.col("picks") + F.col("lengths")).over(family) + HEAD_BITS + F.length("runs") * ELEMENT_BITS).alias("by_runs"),
     )
     by_runs = F.col("by_runs") < F.col("by_fixed")
-    regex = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"([^0-9A-Za-z+ -])", r"\\\\$1"), "9", "[0-9]"), "A", "[A-Z]"), "(?<!-)a(?!-)", "[a-z]")
+    regex = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"([^0-9A-Za-z+ -])", r"\\$1"), "9", "[0-9]"), "A", "[A-Z]"), "(?<!-)a(?!-)", "[a-z]")
     return costs.where(by_runs | F.col("fixed_pays")).select("column_name", "fixed", "runs", F.when(by_runs, regex(F.col("runs"))).otherwise(regex(F.col("fixed"))).alias("expression"), "n_distinct")
 
 

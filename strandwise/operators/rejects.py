@@ -24,13 +24,10 @@ def _fields_by_quotes(record: Column) -> tuple[Column, Column]:
     opens, the last begin where one closes.  No piece is scanned twice, whatever its length.
     """
     pieces = F.split(record, '"', -1)
-    last = F.size(pieces) - 1
-
-    def kept(x: Column, i: Column) -> Column:
-        outside = F.when(i == 0, x.rlike(OPENS)).when(i == last, x.rlike(CLOSES)).otherwise((x == "") | x.rlike(TURNS))
-        return F.when(last == 0, True).when(i % 2 == 1, True).otherwise(outside)
-
-    good = (last % 2 == 0) & F.forall(F.transform(pieces, kept), lambda x: x)
+    between = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0)))
+    turns = F.forall(F.transform(between, lambda x, i: (i % 2 == 0) | (x == "") | x.rlike(TURNS)), lambda x: x)
+    quoted = (F.size(pieces) % 2 == 1) & F.element_at(pieces, 1).rlike(OPENS) & F.element_at(pieces, -1).rlike(CLOSES) & turns
+    good = (F.size(pieces) == 1) | quoted
     # Commas inside quotes step aside so that the outside ones cut the record.
     masked = F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, F.translate(x, ",", ASIDE)).otherwise(x)), '"')
 
@@ -90,9 +87,9 @@ def judged_records(raw: DataFrame, id_column: str = "sequence_id", date_column:
     # A record of another width than the schema's keeps its text as corrupt beside the columns it has.
     width = F.length("record") - F.length(F.translate("record", ",", "")) + 1
     columns = F.slice(F.array(*[F.coalesce(F.col(f"_read.c{i}"), F.lit("")) for i in range(max_width)]), F.lit(1), F.least(width, F.lit(max_width)).cast("int"))
-    kept_text = F.coalesce("_read._corrupt", "record")
-    trusted = ~kept_text.rlike(SUSPICIOUS) & (width <= max_width)
-    good, again = _fields_by_quotes(kept_text)
+    # The reader trims the text that it keeps, so the raw one beside it is read again.
+    trusted = ~F.col("record").rlike(SUSPICIOUS) & (width <= max_width)
+    good, again = _fields_by_quotes(F.col("record"))
     read = parsed.select("source", "line_number", "record", F.when(trusted, F.lit(True)).otherwise(good).alias("_well_quoted"), F.when(trusted, columns).otherwise(again).alias("fields"))
     joined = read.join(headers(raw, id_column, date_column), "source", "left")
     at = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.element_at("fields", F.greatest(F.col(c), F.lit(1)).cast("int")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def usable_reports(reports: DataFrame) -> DataFrame:
-    """(series_id, day, amount) of each usable report, redelivered reports once.
+    """(series_id, day, amount, n) of the usable reports, redelivered reports once; n is 1 but for equal reports without an id.
 
     Usable means a non-negative amount that is neither null nor NaN, with a series and a date.
     Rows with one report_id are one report (the first delivered counts).  Rows without a
@@ -21,7 +21,7 @@ def usable_reports(reports: DataFrame) -> DataFrame:
         .select("report_id", F.when(F.col("report_id").isNull(), content).alias("own"), F.struct(F.col("loaded_at"), content.alias("c")).alias("delivery"))
         .groupBy("report_id", "own")
         .agg(F.min("delivery").alias("first"), F.count("*").alias("n"))
-        .select("first.c.series_id", "first.c.day", F.when(F.col("report_id").isNull(), F.col("first.c.amount") * F.col("n")).otherwise(F.col("first.c.amount")).alias("amount"))
+        .select("first.c.series_id", "first.c.day", F.when(F.col("report_id").isNull(), F.col("first.c.amount") * F.col("n")).otherwise(F.col("first.c.amount")).alias("amount"), F.when(F.col("report_id").isNull(), F.col("n")).otherwise(1).alias("n"))
     )
 
 
@@ -31,7 +31,7 @@ def daily_totals(reports: DataFrame, series: DataFrame) -> DataFrame:
     Reports are added up per (series, day) before they meet the series table, so a series with a
     third of all reports is a handful of partial sums by then.
     """
-    days = usable_reports(reports).groupBy("series_id", "day").agg(F.sum("amount").alias("total"), F.count("*").alias("n_reports"))
+    days = usable_reports(reports).groupBy("series_id", "day").agg(F.sum("amount").alias("total"), F.sum("n").alias("n_reports"))
     return days.join(spans(series), "series_id").where(F.col("day").between(F.col("start_date"), F.col("end_date")))
 
 
@@ -94,8 +94,8 @@ def trailing_totals(reports: DataFrame, series: DataFrame, windows: tuple[int, .
     no rounding is left behind when an amount leaves the window; infinite amounts are left out.
     The groups of the running sum are calendars: one row per day of a span, whatever the reports.
     """
-    finite = F.col("total") < F.lit(float("inf"))
-    daily = daily_totals(reports, series).where(finite).select("series_id", "day", F.col("total").cast("decimal(30,6)").alias("total"))
+    finite = F.col("new_cases").cast("double") < F.lit(float("inf"))
+    daily = daily_totals(reports.where(finite), series).select("series_id", "day", F.col("total").cast("decimal(30,6)").alias("total"))
     zero = F.lit(0).cast("decimal(30,6)")
     names = [f"d{w}" for w in windows]
     parts = [spans(series).select("series_id", F.explode(F.sequence("start_date", "end_date")).alias("day"), *[zero.alias(n) for n in names], F.lit(True).alias("listed"))]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandwise.functions import genetic_code
@@ -145,8 +145,6 @@ def summary_composite(spark: SparkSession, d: str) -> DataFrame:
 
 def corpus_ranking(spark: SparkSession, d: str) -> DataFrame:
     """Per load: comparable rows by falling score, then the others by pathogen and row."""
-    from pyspark.sql import Window
-
     t = table(spark, d, "all_pathogens_summary").select("load_id", "row_id", "pathogen", F.col("gvi").try_cast("double").alias("gvi"), (F.lower("comparable") == "yes").alias("comparable"))
     comparable = F.coalesce("comparable", F.lit(False))
     order = Window.partitionBy("load_id").orderBy(comparable.desc(), F.when(comparable, F.col("gvi")).desc_nulls_last(), F.col("pathogen").asc_nulls_first(), "row_id")
@@ -310,7 +308,7 @@ SELECT dataset_id, count(*) FILTER (a = 'C' AND pa = 'T') AS c_after_t, count(*)
     "codon_adaptation": _AL + _CODE + "SELECT dataset_id, seq_ord, sequence_id, round(cai, 9) AS cai, n_codons FROM cai",
     "selection_by_query": _AL + _SEL + _omega("cj", "dataset_id, seq_ord, sequence_id") + "SELECT * REPLACE (round(s_sites, 9) AS s_sites, round(n_sites, 9) AS n_sites, round(s_diff, 9) AS s_diff, round(n_diff, 9) AS n_diff, round(ps, 9) AS ps, round(pn, 9) AS pn, round(ds, 9) AS ds, round(dn, 9) AS dn, round(omega, 9) AS omega, round(z, 9) AS z) FROM sel",
     "selection_pooled": _AL + _SEL + _omega("cj", "dataset_id") + "SELECT * REPLACE (round(s_sites, 9) AS s_sites, round(n_sites, 9) AS n_sites, round(s_diff, 9) AS s_diff, round(n_diff, 9) AS n_diff, round(ps, 9) AS ps, round(pn, 9) AS pn, round(ds, 9) AS ds, round(dn, 9) AS dn, round(omega, 9) AS omega, round(z, 9) AS z) FROM sel",
-    "selection_windows": _AL + _SEL + "win AS (SELECT cj.*, s + 1 AS start_codon FROM cj, range(0, 1000, 5) r(s) WHERE at >= s AND at < s + 10 AND s + 10 <= total),\n" + _omega("win", "dataset_id, start_codon") + "SELECT dataset_id, start_codon::INT AS start_codon, n_codons, round(s_sites, 9) AS s_sites, round(s_diff, 9) AS s_diff, round(n_diff, 9) AS n_diff, round(omega, 9) AS omega FROM sel",
+    "selection_windows": _AL + _SEL + "win AS (SELECT cj.*, r.lo + 1 AS start_codon FROM cj, range(0, 1000, 5) r(lo) WHERE cj.at >= r.lo AND cj.at < r.lo + 10 AND r.lo + 10 <= cj.total),\n" + _omega("win", "dataset_id, start_codon") + "SELECT dataset_id, start_codon::INT AS start_codon, n_codons, round(s_sites, 9) AS s_sites, round(s_diff, 9) AS s_diff, round(n_diff, 9) AS n_diff, round(omega, 9) AS omega FROM sel",
     "dated_records": _AL + _DATED + "SELECT dataset_id, seq_ord, sequence_id, strftime(collected, '%Y-%m-%d') AS collected, precision, location, host FROM dated",
     "clock_rate": _AL + _DATED + _CLOCK + "SELECT dataset_id, n_dated, n_dates, round(mu, 7) AS mu, round(intercept, 7) AS intercept, round(r2, 7) AS r2 FROM cf",
     "reproduction_number": f"""WITH r AS (SELECT DISTINCT report_id, series_id, date, new_cases FROM incidence WHERE new_cases IS NOT NULL AND NOT isnan(new_cases) AND new_cases >= 0),

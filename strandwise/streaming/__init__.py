@@ -1 +1 @@
-"""Package."""
+"""Structured Streaming forms of the series operators."""
