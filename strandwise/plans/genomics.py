@@ -12,6 +12,7 @@ from strandwise.operators import codons as C
 from strandwise.operators import composite as M
 from strandwise.operators import distance as D
 from strandwise.operators import epidemic as E
+from strandwise.operators import phylo as P
 from strandwise.sources.tables import table
 
 
@@ -132,6 +133,29 @@ def composite_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(M.sensitivity(_indices(spark, d)), 6)
 
 
+def recombination(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(P.recombination(_alignment(spark, d)))
+
+
+def tree_clock(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(P.tree_clock(_dated(spark, d)))
+
+
+def gated_indices(spark: SparkSession, d: str) -> DataFrame:
+    """Every index with the reason that keeps it out of the composite, null if none does."""
+    al = _alignment(spark, d)
+    summary = A.alignment_summary(al).select("dataset_id", "gap_fraction", "length")
+    burden = D.mutation_burden(al).groupBy("dataset_id").agg(F.avg("burden").alias("burden"))
+    clock = E.clock_rate(_dated(spark, d)).select("dataset_id", "mu", "r2")
+    pooled = C.pooled_selection(C.selection_counts(al)).select("dataset_id", "omega", "verdict")
+    evidence = summary.join(burden, "dataset_id", "left").join(clock, "dataset_id", "left").join(pooled, "dataset_id", "left").withColumn("burden_share", F.col("burden") / F.col("length"))
+    return _rounded(M.gate(_indices(spark, d), evidence), 6)
+
+
+def beta_genomic(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(M.beta_genomic(M.components(_summary_indices(spark, d))))
+
+
 def _summary_indices(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "all_pathogens_summary")
     cols = {"mu": F.col("mu").try_cast("double"), "MB": F.col("mb"), "GC_Deviation": F.col("gc")}
@@ -155,7 +179,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         composite_score, composite_sensitivity, alignment_summary, site_profile, site_summary, trimmed_alignment, genetic_distance, mutation_burden, gc_content, mutation_signatures, nucleotide_diversity,
-        codon_usage, codon_positions, codon_adaptation, selection_by_query, selection_pooled, selection_windows, open_reading_frames, reproduction_number, dated_records, clock_rate, summary_composite, corpus_ranking,
+        codon_usage, codon_positions, codon_adaptation, selection_by_query, selection_pooled, selection_windows, open_reading_frames, reproduction_number, dated_records, clock_rate, recombination, tree_clock, gated_indices, beta_genomic, summary_composite, corpus_ranking,
     )
 }
 
@@ -322,6 +346,9 @@ SELECT series_id, strftime(day, '%Y-%m-%d') AS day, i AS infections, round(l, 6)
     "summary_composite": "WITH one AS (SELECT 1)"
     + _composite("SELECT row_id::VARCHAR AS dataset_id, 'mu' AS key, try_cast(mu AS DOUBLE) AS value FROM all_pathogens_summary UNION ALL SELECT row_id::VARCHAR, 'MB', mb FROM all_pathogens_summary UNION ALL SELECT row_id::VARCHAR, 'GC_Deviation', gc FROM all_pathogens_summary")
     + "SELECT dataset_id, round(gvi, 9) AS gvi, round(coverage, 9) AS coverage, n_indices, n_at_ceiling, comparable FROM gvi",
+    "beta_genomic": "WITH one AS (SELECT 1)"
+    + _composite("SELECT row_id::VARCHAR AS dataset_id, 'mu' AS key, try_cast(mu AS DOUBLE) AS value FROM all_pathogens_summary UNION ALL SELECT row_id::VARCHAR, 'MB', mb FROM all_pathogens_summary UNION ALL SELECT row_id::VARCHAR, 'GC_Deviation', gc FROM all_pathogens_summary")
+    + "SELECT dataset_id, round(1 + gvi * 2, 9) AS beta FROM gvi",
     "corpus_ranking": """SELECT load_id, row_id, row_number() OVER (PARTITION BY load_id ORDER BY yes DESC, CASE WHEN yes THEN g END DESC NULLS LAST, pathogen ASC NULLS FIRST, row_id)::INT AS place
 FROM (SELECT *, coalesce(lower(comparable) = 'yes', false) AS yes, try_cast(gvi AS DOUBLE) AS g FROM all_pathogens_summary)""",
 }

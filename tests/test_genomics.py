@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from strandwise.operators import codons as C
 from strandwise.operators import composite as M
 from strandwise.operators import distance as D
 from strandwise.operators import epidemic as E
+from strandwise.operators import phylo as P
 
 
 def align(spark, *seqs, dataset="d"):
@@ -166,3 +168,29 @@ def test_empty_alignment(spark, name):
     al = align(spark, "A").limit(0)
     run = {"nucleotide_diversity": D.nucleotide_diversity, "site_summary": A.site_summary, "genetic_distance": D.genetic_distance, "selection_by_query": lambda x: C.selection(C.selection_counts(x)), "open_reading_frames": C.open_reading_frames}[name]
     assert run(al).count() == 0
+
+
+def test_neighbor_joining_by_hand():
+    d = np.array([[0, 3, 5, 8], [3, 0, 6, 9], [5, 6, 0, 9], [8, 9, 9, 0]], float)
+    tips = P.root_to_tip(P.neighbor_joining(d), 0)
+    assert [round(tips[i], 9) for i in range(4)] == [0, 3, 5, 8]
+
+
+def test_tree_clock(spark):
+    seqs = ["A" * 200, "G" * 2 + "A" * 198, "G" * 4 + "A" * 196, "G" * 6 + "A" * 194]
+    al = align(spark, *seqs).unionByName(align(spark, "ACGT", "ACGT", dataset="small"))
+    dated = al.withColumn("collected", F.make_date(F.col("seq_ord").cast("int") + 2001, F.lit(1), F.lit(1)))
+    got = {r.dataset_id: r for r in P.tree_clock(dated).collect()}
+    assert got["small"].status == "fewer than 3 records" and got["d"].status == "computed"
+    assert abs(got["d"].mu - 0.01) < 5e-4 and got["d"].r2 > 0.99 and got["d"].p_value < 0.2
+    assert {r.status for r in P.tree_clock(dated, 3).collect()} == {"more than 3 records", "fewer than 3 records"}
+
+
+def test_recombination(spark):
+    block = lambda *bits: "".join("AC"[b] for b in bits)
+    seqs = [block(*([i % 2] * 100), *([i // 2 % 2] * 100)) for i in range(24)]
+    inc = P.incompatible([s[98:102] for s in seqs])
+    assert not inc[0, 1] and inc[1, 2] and not inc[2, 3]
+    r = P.recombination(align(spark, *seqs)).first()
+    assert r.n_sites == 200 and r.p_value < 0.05 and r.ri > 0
+    assert P.recombination(align(spark, "ACGT", "ACGT")).count() == 0
