@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwise.operators.prefix import running_sums
+from strandwise.session import checkpointed
 
 #: An optional minus, digits, optionally a point and digits, optionally an exponent.
 NUMBER = r"\A-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?\z"
@@ -91,9 +92,9 @@ def load_statistics(judged: DataFrame) -> DataFrame:
     some = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("bigint")
     return judged.groupBy("load_id", "column_name").agg(
         F.sum(n).alias("n_rows"),
-        some(F.col("value").isNull()).alias("n_null"),
-        F.count("value").alias("n_distinct"),
-        some(F.col("value").isNotNull() & ~F.col("conforms")).alias("n_nonconforming"),
+        some(F.col("absent")).alias("n_null"),
+        F.count_if(~F.col("absent")).alias("n_distinct"),
+        some(~F.col("absent") & ~F.col("conforms")).alias("n_nonconforming"),
         some(~F.col("well_formed")).alias("n_ill_formed"),
         some(F.col("well_formed") & ~F.col("valid")).alias("n_out_of_range"),
         some(F.col("valid")).alias("n_valid"),
@@ -112,34 +113,33 @@ def distribution_shifts(judged: DataFrame, loads: DataFrame, ranges: Mapping[str
     Both loads' values lie on one line per load and column, cut by value into buckets, so that a
     load with a third of all rows is summed in pieces.  Null if either load has no valid value.
     """
-    valid = judged.where("valid").groupBy("load_id", "column_name", "number").agg(F.sum("n").cast("bigint").alias("n"))
     zero = F.lit(0).cast("bigint")
     pairs = _pairs(loads)
+    valid = judged.where("valid").select("load_id", "column_name", "number", F.col("n").cast("bigint").alias("n"))
     own = valid.join(pairs.select("load_id").distinct(), "load_id", "left_semi").select("load_id", "column_name", "number", F.col("n").alias("now"), zero.alias("then"))
     before = valid.withColumnRenamed("load_id", "previous_load_id").join(pairs, "previous_load_id").select("load_id", "column_name", "number", zero.alias("now"), F.col("n").alias("then"))
-    line = own.unionByName(before).groupBy("load_id", "column_name", "number").agg(F.sum("now").alias("now"), F.sum("then").alias("then"))
+    line = own.unionByName(before)
     part = F.lit(0)
     for name, (a, b) in ranges.items():
         part = F.when(F.col("column_name") == name, F.floor((F.col("number") - a) / (b - a) * buckets).cast("int")).otherwise(part)
     summed = running_sums(line, ["load_id", "column_name"], part, "number", ["now", "then"])
-    # The two totals come along as the greatest running sums; shares are compared without rounding.
-    big = "decimal(38,0)"
-    per = summed.groupBy("load_id", "column_name").agg(F.max("run_now").alias("n_now"), F.max("run_then").alias("n_then"))
-    gap = F.abs(F.col("run_now").cast("decimal(18,0)") * F.col("n_then").cast("decimal(18,0)") - F.col("run_then").cast("decimal(18,0)") * F.col("n_now").cast("decimal(18,0)")).cast(big)
-    scale = F.col("n_now").cast("decimal(18,0)") * F.col("n_then").cast("decimal(18,0)")
-    both = per.where((F.col("n_now") > 0) & (F.col("n_then") > 0))
+    # The totals are added up where the values are and again over the few rows that remain; shares are compared without rounding.
+    totals = line.groupBy("load_id", "column_name").agg(F.sum("now").alias("n_now"), F.sum("then").alias("n_then")).where((F.col("n_now") > 0) & (F.col("n_then") > 0))
+    big = lambda c: F.col(c).cast("decimal(18,0)")
+    gap = F.abs(big("run_now") * big("n_then") - big("run_then") * big("n_now"))
+    scale = big("n_now") * big("n_then")
     return (
-        summed.join(both, ["load_id", "column_name"])
-        .groupBy("load_id", "column_name")
-        .agg(F.max(gap).alias("gap"), F.first(scale).alias("scale"))
-        .select("load_id", "column_name", (F.col("gap").cast("double") / F.col("scale").cast("double")).alias("shift"), (F.col("gap") * 10 > F.col("scale") * int(SHIFT * 10)).alias("shifted"))
+        summed.join(totals, ["load_id", "column_name"])
+        .groupBy("load_id", "column_name", "n_now", "n_then")
+        .agg(F.max(gap).alias("gap"))
+        .select("load_id", "column_name", (F.col("gap").cast("double") / scale.cast("double")).alias("shift"), (F.col("gap") * 10 > scale * int(SHIFT * 10)).alias("shifted"))
     )
 
 
 def coverage_changes(judged: DataFrame, loads: DataFrame) -> DataFrame:
     """(load_id, column_name, coverage_change): the largest change of an expression's share of rows since the load before."""
-    shares = judged.where(F.col("value").isNotNull()).groupBy("load_id", "column_name", F.coalesce("expression", F.lit("")).alias("expression")).agg(F.sum("n").alias("n"))
-    totals = judged.where(F.col("value").isNotNull()).groupBy("load_id", "column_name").agg(F.sum("n").alias("total"))
+    shares = judged.where(~F.col("absent")).groupBy("load_id", "column_name", F.coalesce("expression", F.lit("")).alias("expression")).agg(F.sum("n").alias("n"))
+    totals = judged.where(~F.col("absent")).groupBy("load_id", "column_name").agg(F.sum("n").alias("total"))
     now = shares.join(totals, ["load_id", "column_name"]).select("load_id", "column_name", "expression", (F.col("n") / F.col("total")).alias("share"))
     pairs = _pairs(loads)
     then = now.withColumnRenamed("load_id", "previous_load_id").join(pairs, "previous_load_id").select("load_id", "column_name", "expression", (-F.col("share")).alias("share"))
@@ -155,10 +155,11 @@ def load_profile(table: DataFrame, loads: DataFrame, ranges: Mapping[str, tuple[
     and are left out.  A load that ``loads`` does not list, or whose previous load is
     null or has no rows, has null changes and raises neither ``nulls`` nor ``shift``.  Values that
     differ in spelling only (0.5, 0.50) are equal.  Infinite numbers are out of range.
-    Shares are compared as whole numbers, so a difference of just the limit is no issue.
+    Shares are compared as whole numbers, so a difference of just the limit is no issue.  The judged
+    values are written once, as every statistic reads them.
     """
     values = distinct_values(table.where(F.col(load).isNotNull()), list(ranges), load)
-    judged = judged_values(values, ranges)
+    judged = checkpointed(judged_values(values, ranges).select("load_id", "column_name", F.col("value").isNull().alias("absent"), "n", "expression", "well_formed", "number", "valid", "conforms"))
     stats = load_statistics(judged)
     pairs = loads.select("load_id", "previous_load_id").dropDuplicates(["load_id"])
     before = stats.select(F.col("load_id").alias("previous_load_id"), "column_name", F.col("n_rows").alias("p_rows"), F.col("n_null").alias("p_null"))
