@@ -19,7 +19,7 @@ from strandwise.session import ship_package
 BUCKETS = 1 << 15
 #: Lines with a character beyond ASCII that the models are trained on, at most, and those of them that are garbled in every way.
 SAMPLE, GARBLED_SAMPLE = 20_000, 1_500
-#: Chains that are inverted for a line, at most; all but the likeliest are far behind.
+#: Invertible chains that are tried for a line first; only where none of them counts, all others are.
 TRIES = 16
 #: Surprise (nats) of a character from which its line is looked at; gain that an inversion must bring.  Little
 #: text happens to be valid UTF-8 after all, so that to it a smaller gain will do.
@@ -58,6 +58,7 @@ def _table(name: str) -> tuple[str, dict[int, int]]:
 _tables: dict[str, tuple[str, dict[int, int]]] = {}
 
 
+@functools.lru_cache(64)
 def to_bytes(text: str, name: str) -> bytes | None:
     """The bytes that ``name`` reads as ``text``, or None if there are none."""
     try:
@@ -163,9 +164,10 @@ class Plain:
 
     @staticmethod
     def _read(lines: list[str]) -> tuple[np.ndarray, ...]:
-        text = "\n\n" + "\n".join(x.replace("\n", " ") for x in lines)
+        # Two line ends between lines, so that what a line is worth does not depend on the line before.
+        text = "\n\n" + "".join(x.replace("\n", " ") + "\n\n" for x in lines)
         codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-        owner = np.cumsum(codes == 10) - 2
+        owner = (np.cumsum(codes == 10) - 2 - (codes == 10)) // 2
         codes = np.where((codes >= 49) & (codes <= 57), 48, codes)
         folded = (codes ^ codes >> 16 << 7) & 0xFFFF
         mixed = (folded[:-1] * np.uint32(40503) ^ folded[1:] * np.uint32(2654435761)) * np.uint32(2246822519)
@@ -247,40 +249,62 @@ class Classifier:
     def judge(self, lines: list[str]) -> list[tuple[str, str] | None]:
         """For each line its chain ("right<wrong") and what it was, or None if clean.
 
-        Only lines with an odd pair of characters are classified.  Their likeliest chains are inverted.
-        One counts if every character allows the inversion and the result is a likelier clean text than
-        the line was.  Of lossy chains the result stays the line itself.
+        Only lines with an odd pair of characters are classified.  Their likeliest chains are inverted, and
+        all others if none of these counts.  One counts if every character allows the inversion and the
+        result is a likelier clean text than the line was.  Of lossy chains the result stays the line itself.
         """
         out: list[tuple[str, str] | None] = [None] * len(lines)
         if not lines:
             return out
         seen = np.fromiter((SEEN.search(x) is not None for x in lines), bool, len(lines))
         ask = np.flatnonzero(self.plain.odd(lines) & seen | np.fromiter(("\ufffd" in x for x in lines), bool, len(lines)))
+        lossy = np.array([c[2] for c in self.classes])
         for start in range(0, len(ask), 500):
             at = ask[start : start + 500]
             part = [lines[i] for i in at]
-            scores = self.scores(part)
-            order = np.argsort(-scores, axis=1)
-            asked: list[tuple[int, int, str]] = []
+            order = np.argsort(-self.scores(part), axis=1)
+            ranked: dict[int, np.ndarray] = {}
             for i, line in enumerate(part):
                 if "\ufffd" in line:
-                    k = next(k for k in order[i] if self.classes[k][2])
+                    k = order[i][lossy[order[i]]][0]
                     out[at[i]] = (f"{self.classes[k][0]}<{self.classes[k][1]}", line)
-                    continue
-                for k in sorted(order[i, :TRIES]):
-                    right, wrong, lossy = self.classes[k]
-                    was = None if lossy else restore(line, right, wrong)
-                    if was is not None and was != line and not CONTROLS.search(was):
-                        asked.append((i, int(k), was))
-            if asked:
-                gains = self.plain.score([was for *_, was in asked]) - self.plain.score(part)[[i for i, *_ in asked]]
-                best: dict[int, float] = {}
-                for (i, k, was), gain in zip(asked, gains, strict=True):
-                    if gain > max(GAIN_UTF8 if self.classes[k][0] == "utf-8" else GAIN, best.get(i, 0.0) + 1e-3):
-                        best[i] = gain
-                        out[at[i]] = (f"{self.classes[k][0]}<{self.classes[k][1]}", was)
+                else:
+                    ranked[i] = order[i][~lossy[order[i]]]
+            # ASCII stays ASCII in every chain, so what is far from other characters cannot change a gain.
+            cores = [FAR.sub(r"\1\2", x) for x in part]
+            base = self.plain.score(cores)
+            found = self._best(part, cores, base, {i: ks[:TRIES] for i, ks in ranked.items()})
+            rest = self._best(part, cores, base, {i: ks[TRIES:] for i, ks in ranked.items() if i not in found})
+            still = self.plain.odd([was for _, was in rest.values()]) if rest else ()
+            found |= {i: f for (i, f), odd in zip(rest.items(), still, strict=True) if not odd}
+            for i, f in found.items():
+                out[at[i]] = f
         return out
 
+    def _best(self, lines: list[str], cores: list[str], base: np.ndarray, tries: dict[int, np.ndarray]) -> dict[int, tuple[str, str]]:
+        """Of the chains to try for each line, the one whose inversion brings the largest gain that counts."""
+        best: dict[int, tuple[float, int]] = {}
+        todo = list(tries)
+        for start in range(0, len(todo), 50):
+            asked: list[tuple[int, int, str]] = []
+            for i in todo[start : start + 50]:
+                line = cores[i]
+                for k in sorted(tries[i].tolist()):
+                    right, wrong, _ = self.classes[k]
+                    was = restore(line, right, wrong)
+                    if was is not None and was != line and not CONTROLS.search(was):
+                        asked.append((i, k, was))
+            if not asked:
+                continue
+            # Chains often agree on what a line was.
+            distinct = {was: n for n, was in enumerate(dict.fromkeys(was for *_, was in asked))}
+            scores = self.plain.score(list(distinct))
+            for i, k, was in asked:
+                gain = scores[distinct[was]] - base[i]
+                if gain > max(GAIN_UTF8 if self.classes[k][0] == "utf-8" else GAIN, best.get(i, (0.0, 0))[0] + 1e-3):
+                    best[i] = gain, k
+        return {i: (f"{self.classes[k][0]}<{self.classes[k][1]}", restore(lines[i], *self.classes[k][:2])) for i, (_, k) in best.items()}
+
     def undo(self, lines: list[str]) -> list[tuple[str, str] | None]:
         """``judge`` again and again, until the result is clean: the chain's last reading comes first."""
         found = self.judge(lines)
@@ -296,6 +320,8 @@ class Classifier:
 
 #: Something beyond ASCII other than white space, joiners and marks of order.
 SEEN = re.compile(r"[^\x00-\x7f\u00a0\u00ad\u2000-\u200f\u2028-\u202f\u2060\u3000\ufeff]")
+#: ASCII without control characters, but for four characters at either end: a chain takes at most one of them into a character, and one counts with the two before.
+FAR = re.compile(r"([\t\r\x20-\x7e]{4})[\t\r\x20-\x7e]+([\t\r\x20-\x7e]{4})")
 CONTROLS = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 

@@ -136,6 +136,21 @@ def test_clean_lines_stay_and_double_readings_go(classifier):
     assert classifier.undo(["Gr��en"])[0][1] == "Gr��en"
 
 
+def test_unlikely_chains_are_tried_too(classifier):
+    """With the ranking turned round the true chain comes last, and is found all the same."""
+    turned = garbled.Classifier(classifier.classes, -classifier.weights, classifier.plain)
+    for right, wrong, line in (("utf-8", "cp1252", 0), ("cp1251", "koi8-r", 150), ("cp932", "cp1252", 210)):
+        made = garbled.garble(CLEAN[line], right, wrong, False)
+        assert turned.judge([made])[0][1] == CLEAN[line]
+    assert turned.judge(CLEAN) == [None] * len(CLEAN)
+
+
+def test_gain_does_not_depend_on_other_lines(classifier):
+    lines = ["größer", "ß", CLEAN[0], "Ж", CLEAN[150]]
+    assert classifier.plain.score(lines).tolist() == pytest.approx([classifier.plain.score([x])[0] for x in lines], rel=1e-6)
+    assert classifier.plain.odd(["Ж\u4e00", "plain"]).tolist() == [True, False]
+
+
 def test_find_garbled(spark):
     bad = garbled.garble(CLEAN[90], "utf-8", "cp1252", False)
     docs = spark.createDataFrame([(i, "\n".join(CLEAN[i::7]), "x") for i in range(7)] + [(100, f"Hi\n{bad}\nBye", "x"), (101, None, "x"), (102, "", "x"), (103, "\xa0 　", "x"), (104, "plain", "x")], "doc_id long, text string, chains string")
