@@ -6,7 +6,7 @@ import codecs
 import functools
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -162,6 +162,17 @@ class Plain:
         count = lambda x, bits: np.bincount(x, minlength=1 << bits).astype(np.float32)
         return Plain(count(triple, 21), count(pair, 20), count(chars, 16))
 
+    @staticmethod
+    def add(lines: dict[str, int], totals: np.ndarray) -> None:
+        """Add the characters of lines that come so many times to the three tables one after another."""
+        if not lines:
+            return
+        chars, _, pair, _, triple, owner = Plain._read(list(lines))
+        times = np.fromiter(lines.values(), np.int64, len(lines))[owner]
+        for at in (triple, pair + (1 << 21), chars + (1 << 21) + (1 << 20)):
+            where, n = np.unique(at, return_inverse=True)
+            totals[where] += np.bincount(n, times).astype(np.int64)
+
     @staticmethod
     def _read(lines: list[str]) -> tuple[np.ndarray, ...]:
         # Two line ends between lines, so that what a line is worth does not depend on the line before.
@@ -325,15 +336,70 @@ FAR = re.compile(r"([\t\r\x20-\x7e]{4})[\t\r\x20-\x7e]+([\t\r\x20-\x7e]{4})")
 CONTROLS = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 
-def training_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> list[str]:
-    """Up to ``sample`` lines with a character beyond ASCII, from documents drawn by a hash of their key.
+def training_lines(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> list[str]:
+    """Up to ``sample`` lines with a character beyond ASCII, from documents drawn by a hash of their text.
 
-    The share of documents drawn shrinks as their number grows, so that what reaches the driver does not.
+    Only documents with such characters count, copies of one text once.  The share of documents drawn
+    shrinks as their number grows, so that what reaches the driver does not.
     """
-    share = 1_000_000 * sample // 4 // max(docs.count(), 1)
-    drawn = docs.select(key, text).where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < share)
-    lines = drawn.select(key, F.explode(F.split(text, "\n")).alias("line")).where(F.col("line").rlike(r"[^\x00-\x7F]") & (F.length("line") <= 2000))
-    return [r.line for r in lines.select("line", F.xxhash64("line", key).alias("h")).orderBy("h", "line").limit(sample).select("line").collect()]
+    beyond = docs.select(text, F.xxhash64(text).alias("h")).where(F.octet_length(text) > F.length(text))
+    share = 1_000_000 * sample // 4 // max(beyond.agg(F.approx_count_distinct("h", 0.02)).first()[0], 1)
+    drawn = beyond.where(F.pmod("h", F.lit(1_000_000)) < share).dropDuplicates(["h"])
+    lines = drawn.select("h", F.explode(F.split(text, "\n")).alias("line")).where(F.col("line").rlike(r"[^\x00-\x7F]") & (F.length("line") <= 2000))
+    return [r.line for r in lines.select("line", F.xxhash64("line", "h").alias("h")).orderBy("h", "line").limit(sample).select("line").collect()]
+
+
+#: Counters of a ``Plain`` that travel as one row.
+PART = 1 << 14
+
+
+def count_plain(docs: DataFrame, classifier: Classifier, text: str = "text") -> Plain:
+    """The character counts of all lines beyond ASCII of all documents that ``classifier`` holds for clean.
+
+    Each task counts its documents; the counts of a part of the tables are added in a task of their own, so that the
+    driver gets tables of the same size whatever the size of the input.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(classifier)
+    sizes = [1 << 21, 1 << 20, 1 << 16]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, totals, waiting, size = shared.value, np.zeros(sum(sizes), np.int64), {}, 0
+
+        def add() -> None:
+            for at, was in zip(waiting, model.judge(list(waiting)), strict=True):
+                waiting[at] = 0 if was else waiting[at]
+            model.plain.add({x: n for x, n in waiting.items() if n}, totals)
+            waiting.clear()
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                for line in t.split("\n"):
+                    if not line.isascii():
+                        size += 0 if line in waiting else len(line)
+                        waiting[line] = waiting.get(line, 0) + 1
+                if size >= BLOCK:
+                    add()
+                    size = 0
+        add()
+        for part in range(len(totals) // PART):
+            own = totals[part * PART : (part + 1) * PART]
+            at = np.flatnonzero(own)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([own[at].astype("<i8").tobytes()], pa.binary())], names=["part", "at", "n"])
+
+    def total(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(PART, np.int64)
+        for batch in parts:
+            for at, n in zip(batch.column("at").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                own[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([own.astype("<f4").tobytes()], pa.binary())], names=["part", "counts"])
+
+    beyond = docs.select(text).where(F.octet_length(text) > F.length(text))
+    added = beyond.mapInArrow(count, "part int, at binary, n binary").groupBy("part").applyInArrow(total, "part int, counts binary")
+    flat = np.zeros(sum(sizes), np.float32)
+    for r in added.toLocalIterator():
+        flat[r.part * PART : (r.part + 1) * PART] = np.frombuffer(r.counts, "<f4")
+    return Plain(*np.split(flat, np.cumsum(sizes)[:-1]))
 
 
 def find_garbled(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -344,11 +410,13 @@ def find_garbled(docs: DataFrame, key: str = "doc_id", text: str = "text", sampl
     with U+FFFD are wrongly decoded too, but what they lost stays lost.  Null, empty and ASCII texts are clean.
     Documents given twice come out twice.  If there is no line to train on, nothing is found.
 
-    The classifier is trained on a bounded sample of lines and has a fixed size; it judges every line of every document.
+    The classifier is trained on a bounded sample of lines and has a fixed size; what clean text looks like is counted
+    on all lines of all documents; every line of every document is judged.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    shared = spark.sparkContext.broadcast(Classifier.train(training_lines(docs, key, text, sample)))
+    sampled = Classifier.train(training_lines(docs, text, sample))
+    shared = spark.sparkContext.broadcast(replace(sampled, plain=count_plain(docs, sampled, text)))
     schema = T.StructType([docs.schema[key], T.StructField("chains", T.ArrayType(T.StringType())), T.StructField("n_lines", T.LongType()), T.StructField("restored", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -159,6 +159,26 @@ def test_find_garbled(spark):
     assert garbled.find_garbled(docs.limit(0)).count() == 0
 
 
+def test_sample_is_drawn_from_documents_beyond_ascii(spark):
+    """Neither ASCII documents nor copies of one document thin the sample."""
+    rows = [(i, "plain", None) for i in range(4000)] + [(i, CLEAN[90], None) for i in range(4000, 6000)] + [(i, x, None) for i, x in enumerate(CLEAN[100:240], 6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, chains string")
+    assert {x for x in CLEAN[100:240]} <= set(garbled.training_lines(docs, sample=1200))
+
+
+def test_clean_text_is_counted_on_all_documents(spark, classifier):
+    """The counts are those of all clean lines as often as they come, however the documents are cut."""
+    import numpy as np
+
+    bad = garbled.garble(CLEAN[0], "utf-8", "cp1252", False)
+    docs = spark.createDataFrame([(i, f"{x}\nplain\n{CLEAN[i % 7]}") for i, x in enumerate(CLEAN)] + [(900, bad), (901, None), (902, "")], "doc_id long, text string")
+    want = garbled.Plain.train([y for i, x in enumerate(CLEAN) for y in (x, CLEAN[i % 7])])
+    for cut in (1, 5):
+        got = garbled.count_plain(docs.repartition(cut), classifier)
+        assert np.array_equal(got.triples, want.triples) and np.array_equal(got.pairs, want.pairs)
+        assert np.array_equal(got.singles, want.singles)
+
+
 HOSTS = [(1, "cattle", "Bos taurus", "cow;bull"), (2, "water buffalo", "Bubalus bubalis", "carabao"), (3, "red deer", "Cervus elaphus", None), (4, "roe deer", "Capreolus capreolus", None), (5, "horse", "Equus caballus", None), (6, "goat", "Capra hircus", None)]
 PLACES = [(10, "Nolabrañ", "Nolabrañ", None, "NLB", "Republic of Nolabrañ;Gadepouk"), (11, "Nolabrañ: Nova Gefas", "Nolabrañ", "Nova Gefas", "NLB", None), (12, "Nolabrañ: Kotrax", "Nolabrañ", "Kotrax", "NLB", None), (20, "Petouki", "Petouki", None, "PTK", None), (21, "Petouki: Kotrax", "Petouki", "Kotrax", "PTK", None)]
 CASES = {
