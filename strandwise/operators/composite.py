@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from strandwise.functions.bands import COMPARABLE, RANGES, WEIGHTS, normalised
 
 
+#: Share of date shuffles from which a clock is by chance.
+MOST_P = 0.05
+
+
 def _scheme(df: DataFrame, weights: Mapping[str, float], ranges: Mapping[str, tuple[float, float]]) -> DataFrame:
     """Weights and ranges as a table of nine rows."""
     total = sum(weights.values())
@@ -54,17 +58,28 @@ def sensitivity(indices: DataFrame, share: float = 0.2, weights: Mapping[str, fl
     return scores.join(present, ["dataset_id", "changed"], "left_semi").groupBy("dataset_id", F.col("changed").alias("key")).agg(F.min("score").alias("low"), F.max("score").alias("high"))
 
 
+def preferred_clock(pairwise: DataFrame, tree: DataFrame) -> DataFrame:
+    """(dataset_id, mu, r2, p_value): the tree's clock, or the pairwise one where no tree was computed."""
+    cols = ["dataset_id", "mu", "r2", "p_value"]
+    computed = tree.where("status = 'computed'").select(cols)
+    others = pairwise.join(computed, "dataset_id", "left_anti")
+    return computed.unionByName(others.select(cols))
+
+
 def gate(indices: DataFrame, evidence: DataFrame) -> DataFrame:
     """``indices`` with the reason why one is kept out of the composite, null if it is not.
 
-    ``evidence`` has one row per dataset: gap_fraction, burden_share (mean burden over length), r2, mu, omega, verdict; null evidence excludes nothing.
+    ``evidence`` has one row per dataset: gap_fraction, burden_share (mean burden over length), r2, mu, omega, verdict, and p_value of the date shuffles if there
+    were any; null evidence excludes nothing.
     The first reason that applies counts.
     """
     poor = (F.col("gap_fraction") >= 0.15) | (F.col("burden_share") >= 0.15)
     by_alignment = F.col("key").isin("MB", "GD", "dN/dS", "pi", "mu")
     is_mu = F.col("key") == "mu"
+    by_chance = F.col("p_value") >= MOST_P if "p_value" in evidence.columns else F.lit(False)
     reason = (
         F.when(by_alignment & poor, "alignment")
+        .when(is_mu & by_chance, "dates no better than shuffled")
         .when(is_mu & (F.col("mu") <= 0), "rate not positive")
         .when(is_mu & (F.col("r2") < 0.30), "weak clock signal")
         .when((F.col("key") == "dN/dS") & (F.col("omega") > 1) & (F.col("verdict") != "positive"), "selection not significant")

@@ -56,17 +56,22 @@ def dated_records(alignment: DataFrame, metadata: DataFrame) -> DataFrame:
     return alignment.join(flat, ["dataset_id", "sequence_id"], "left").withColumn("precision", F.coalesce("precision", F.lit("none")))
 
 
-def clock_rate(dated: DataFrame) -> DataFrame:
-    """Per dataset: slope, intercept and R squared of the JC69 distance to the earliest record on the decimal year.
-
-    Undated records and saturated or incomparable pairs are left out.  Null with fewer than two distinct dates.
-    """
+def clock_points(dated: DataFrame) -> DataFrame:
+    """(dataset_id, year, d): what ``clock_rate`` is fitted on."""
     have = dated.where(F.col("collected").isNotNull())
     anchor = have.groupBy("dataset_id").agg(F.min(F.struct("collected", "seq_ord", "seq")).alias("a")).select("dataset_id", F.col("a.seq").alias("anchor"))
     st = N.pair_states(F.col("anchor"), F.col("seq"))
     rows = have.join(anchor, "dataset_id").select("dataset_id", N.decimal_year(F.col("collected")).alias("year"), st.alias("st"))
     p: Column = N.count_of(F.col("st"), "sv") / F.when(N.count_of(F.col("st"), "=sv") > 0, N.count_of(F.col("st"), "=sv"))
-    rows = rows.select("dataset_id", "year", p.alias("p")).where(1 - F.col("p") * 4 / 3 > 0).withColumn("d", N.jukes_cantor(F.col("p")))
+    return rows.select("dataset_id", "year", p.alias("p")).where(1 - F.col("p") * 4 / 3 > 0).withColumn("d", N.jukes_cantor(F.col("p"))).drop("p")
+
+
+def clock_rate(dated: DataFrame) -> DataFrame:
+    """Per dataset: slope, intercept and R squared of the JC69 distance to the earliest record on the decimal year.
+
+    Undated records and saturated or incomparable pairs are left out.  Null with fewer than two distinct dates.
+    """
+    rows = clock_points(dated)
     fit = rows.groupBy("dataset_id").agg(F.count("*").alias("n_dated"), F.countDistinct("year").alias("n_dates"), F.regr_slope("d", "year").alias("mu"), F.regr_intercept("d", "year").alias("intercept"), F.regr_r2("d", "year").alias("r2"))
     two = F.col("n_dates") >= 2
     return fit.select("dataset_id", "n_dated", "n_dates", *[F.when(two, F.col(c)).alias(c) for c in ("mu", "intercept", "r2")])

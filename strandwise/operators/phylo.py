@@ -153,3 +153,22 @@ def _clock(group: pd.DataFrame) -> pd.DataFrame:
     rng = np.random.default_rng(zlib.crc32(g["dataset_id"].iloc[0].encode()))
     p = (sum(slope(rng.permutation(x)) >= mu - 1e-15 for _ in range(SHUFFLES)) + 1) / (SHUFFLES + 1) if len(x) >= 3 else None
     return pd.DataFrame({"dataset_id": g["dataset_id"].iloc[:1], "status": ["computed"], "n_dated": [len(x)], "mu": [mu], "intercept": [y.mean() - mu * x.mean()], "r2": [r2], "p_value": [p]}).astype({"p_value": "float64"})
+
+
+def date_shuffles(points: DataFrame) -> DataFrame:
+    """(dataset_id, p_value): the share of date shuffles with no smaller slope of d on year; null with fewer than 3 points or two dates.
+
+    A dataset's points, two numbers a record, are shuffled in one task.
+    """
+    ship_package(points.sparkSession)
+    return points.select("dataset_id", "year", "d").groupBy("dataset_id").applyInPandas(_shuffled, "dataset_id string, p_value double")
+
+
+def _shuffled(group: pd.DataFrame) -> pd.DataFrame:
+    g = group.sort_values(["year", "d"])
+    x, y, p = g["year"].to_numpy() - g["year"].mean(), g["d"].to_numpy() - g["d"].mean(), None
+    if len(x) >= 3 and x.any():
+        rng = np.random.default_rng(zlib.crc32(g["dataset_id"].iloc[0].encode()))
+        real = float(x @ y)
+        p = (sum(float(rng.permutation(x) @ y) >= real - 1e-15 * float(x @ x) for _ in range(SHUFFLES)) + 1) / (SHUFFLES + 1)
+    return pd.DataFrame({"dataset_id": g["dataset_id"].iloc[:1], "p_value": [p]}).astype({"p_value": "float64"})

@@ -141,15 +141,40 @@ def tree_clock(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(P.tree_clock(_dated(spark, d)))
 
 
-def gated_indices(spark: SparkSession, d: str) -> DataFrame:
-    """Every index with the reason that keeps it out of the composite, null if none does."""
+def _full_indices(spark: SparkSession, d: str) -> DataFrame:
+    """(dataset_id, key, value, excluded) of the indices of ``_indices`` and RI, with the tree clock's mu where there is a tree."""
     al = _alignment(spark, d)
+    dated = _dated(spark, d)
+    tree = P.tree_clock(dated)
+    others = E.clock_points(dated).join(tree.where("status = 'computed'").select("dataset_id"), "dataset_id", "left_anti")
+    clock = M.preferred_clock(E.clock_rate(dated).join(P.date_shuffles(others), "dataset_id", "left"), tree)
+    ri = P.recombination(al).select("dataset_id", F.lit("RI").alias("key"), F.col("ri").alias("value"))
+    mu = clock.select("dataset_id", F.lit("mu").alias("key"), F.col("mu").alias("value"))
+    indices = _indices(spark, d).where("key <> 'mu'").unionByName(mu).unionByName(ri)
+    return M.gate(indices, _evidence(al, clock))
+
+
+def _evidence(al: DataFrame, clock: DataFrame) -> DataFrame:
     summary = A.alignment_summary(al).select("dataset_id", "gap_fraction", "length")
     burden = D.mutation_burden(al).groupBy("dataset_id").agg(F.avg("burden").alias("burden"))
-    clock = E.clock_rate(_dated(spark, d)).select("dataset_id", "mu", "r2")
     pooled = C.pooled_selection(C.selection_counts(al)).select("dataset_id", "omega", "verdict")
-    evidence = summary.join(burden, "dataset_id", "left").join(clock, "dataset_id", "left").join(pooled, "dataset_id", "left").withColumn("burden_share", F.col("burden") / F.col("length"))
-    return _rounded(M.gate(_indices(spark, d), evidence), 6)
+    return summary.join(burden, "dataset_id", "left").join(clock, "dataset_id", "left").join(pooled, "dataset_id", "left").withColumn("burden_share", F.col("burden") / F.col("length"))
+
+
+def gated_composite(spark: SparkSession, d: str) -> DataFrame:
+    """The composite of all indices that the gate lets through: RI and the tree clock take part."""
+    return _rounded(M.composite(M.components(_full_indices(spark, d).where("excluded is null"))), 6)
+
+
+def gated_sensitivity(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(M.sensitivity(_full_indices(spark, d).where("excluded is null")), 6)
+
+
+def gated_indices(spark: SparkSession, d: str) -> DataFrame:
+    """Every index with the reason that keeps it out of the composite, null if none does."""
+    al = _alignment(spark, d)
+    clock = E.clock_rate(_dated(spark, d)).select("dataset_id", "mu", "r2")
+    return _rounded(M.gate(_indices(spark, d), _evidence(al, clock)), 6)
 
 
 def beta_genomic(spark: SparkSession, d: str) -> DataFrame:
@@ -179,7 +204,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         composite_score, composite_sensitivity, alignment_summary, site_profile, site_summary, trimmed_alignment, genetic_distance, mutation_burden, gc_content, mutation_signatures, nucleotide_diversity,
-        codon_usage, codon_positions, codon_adaptation, selection_by_query, selection_pooled, selection_windows, open_reading_frames, reproduction_number, dated_records, clock_rate, recombination, tree_clock, gated_indices, beta_genomic, summary_composite, corpus_ranking,
+        codon_usage, codon_positions, codon_adaptation, selection_by_query, selection_pooled, selection_windows, open_reading_frames, reproduction_number, dated_records, clock_rate, recombination, tree_clock, gated_indices, gated_composite, gated_sensitivity, beta_genomic, summary_composite, corpus_ranking,
     )
 }
 

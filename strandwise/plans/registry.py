@@ -7,4 +7,4 @@ from strandwise.plans import genomics, problems
 MODULES = (genomics, problems)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
-FLAGSHIP = "composite_score"
+FLAGSHIP = "gated_composite"

@@ -194,3 +194,50 @@ def test_recombination(spark):
     r = P.recombination(align(spark, *seqs)).first()
     assert r.n_sites == 200 and r.p_value < 0.05 and r.ri > 0
     assert P.recombination(align(spark, "ACGT", "ACGT")).count() == 0
+
+
+def test_gate_and_preferred_clock(spark):
+    tree = spark.createDataFrame([("a", "computed", 0.004, 0.9, 0.01), ("b", "more than 300 records", None, None, None), ("c", "computed", 0.003, 0.8, 0.4)], "dataset_id string, status string, mu double, r2 double, p_value double")
+    pairwise = spark.createDataFrame([("a", 0.1, 0.1, 0.9), ("b", 0.002, 0.7, 0.02), ("c", 0.1, 0.1, 0.9)], "dataset_id string, mu double, r2 double, p_value double")
+    clock = M.preferred_clock(pairwise, tree)
+    assert {r.dataset_id: (r.mu, r.p_value) for r in clock.collect()} == {"a": (0.004, 0.01), "b": (0.002, 0.02), "c": (0.003, 0.4)}
+    ix = clock.select("dataset_id", F.lit("mu").alias("key"), F.col("mu").alias("value"))
+    ev = clock.withColumns({c: F.lit(0.0) for c in ("gap_fraction", "burden_share", "omega")}).withColumn("verdict", F.lit("neutral"))
+    assert {r.dataset_id: r.excluded for r in M.gate(ix, ev).collect()} == {"a": None, "b": None, "c": "dates no better than shuffled"}
+    points = [("up", 2000.0 + i, 0.01 * i) for i in range(8)] + [("down", 2000.0 + i, -0.01 * i) for i in range(8)] + [("two", 2000.0, 0.0), ("two", 2001.0, 1.0)]
+    p = {r.dataset_id: r.p_value for r in P.date_shuffles(spark.createDataFrame(points, "dataset_id string, year double, d double")).collect()}
+    assert p["up"] < 0.05 and p["down"] == 1.0 and p["two"] is None
+
+
+def test_gated_composite_against_brute_force(spark):
+    """The score of the flagship, added up again in Python from the indices, clocks and reasons."""
+    from strandwise.plans import genomics, registry
+
+    d, q = "/root/testdata/sf0.001", genomics.QUERIES
+    by = lambda name: {r.dataset_id: r for r in q[name](spark, d).collect()}
+    tree, pair, ri, pooled = by("tree_clock"), by("clock_rate"), by("recombination"), by("selection_pooled")
+    values = {}
+    for r in q["gated_indices"](spark, d).collect():
+        if r.key != "mu" and r.value is not None and r.excluded is None:
+            values.setdefault(r.dataset_id, {})[r.key] = r.value
+    for k, r in ri.items():
+        if r.ri is not None:
+            values.setdefault(k, {})["RI"] = r.ri
+    poor = {k for k, r in by("alignment_summary").items() if r.gap_fraction >= 0.15}
+    lengths, burdens = {k: r.length for k, r in by("alignment_summary").items()}, {}
+    for r in q["mutation_burden"](spark, d).collect():
+        burdens.setdefault(r.dataset_id, []).append(r.burden)
+    poor |= {k for k, b in burdens.items() if np.mean(b) / lengths[k] >= 0.15}
+    for k, t in tree.items():
+        # All datasets here have trees, so no pairwise p is needed.
+        if t.status == "computed" and k not in poor and t.mu > 0 and t.r2 >= 0.30 and (t.p_value is None or t.p_value < 0.05):
+            values[k]["mu"] = t.mu
+        assert t.status == "computed" or k not in pair
+    assert all("dN/dS" not in v or not (pooled[k].omega > 1 and pooled[k].verdict != "positive") for k, v in values.items())
+    norm = lambda key, v: min(1.0, max(0.0, (v - RANGES[key][0]) / (RANGES[key][1] - RANGES[key][0])))
+    got = {r.dataset_id: r for r in registry.QUERIES[registry.FLAGSHIP](spark, d).collect()}
+    assert set(got) == {k for k, v in values.items() if v}
+    for k, v in values.items():
+        weight = sum(WEIGHTS[x] for x in v)
+        assert math.isclose(got[k].gvi, sum(WEIGHTS[x] * norm(x, y) for x, y in v.items()) / weight, abs_tol=3e-6)
+        assert math.isclose(got[k].coverage, weight, abs_tol=1e-6) and got[k].n_indices == len(v)
