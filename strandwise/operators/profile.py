@@ -74,10 +74,11 @@ def judged_values(values: DataFrame, ranges: Mapping[str, tuple[float, float]] =
     """
     expressions = induced_expressions(values)
     shaped = values.withColumn("fixed", _classes(F.col("value")))
-    joined = shaped.join(expressions.select("column_name", "fixed", "expression"), ["column_name", "fixed"], "left")
-    # Of a class string without letters, all values are numbers or none is.
-    whole = F.col("expression").isNotNull() & F.col("fixed").rlike(r"\A-?9+(\.9+)?\z")
-    formed = F.when(F.col("value").isNull(), F.lit(None)).when(whole, F.lit(True)).otherwise(F.col("value").rlike(NUMBER))
+    # Of a class string without letters, all values are numbers or none is; the others' values are candidates, as are those without an expression.
+    numbers = F.col("fixed").rlike(r"\A-?9+(\.9+)?\z").alias("numbers")
+    joined = shaped.join(expressions.select("column_name", "fixed", "expression", numbers), ["column_name", "fixed"], "left")
+    candidate = ~F.coalesce("numbers", F.lit(False))
+    formed = F.when(F.col("value").isNull(), F.lit(None)).when(candidate, F.col("value").rlike(NUMBER)).otherwise(F.lit(True))
     low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
     for name, (a, b) in ranges.items():
         low, high = F.when(F.col("column_name") == name, F.lit(a)).otherwise(low), F.when(F.col("column_name") == name, F.lit(b)).otherwise(high)
@@ -179,6 +180,26 @@ def load_profile(table: DataFrame, loads: DataFrame, ranges: Mapping[str, tuple[
     )
 
 
+def expression_profile(table: DataFrame, loads: DataFrame, ranges: Mapping[str, tuple[float, float]] = RANGES, load: str = "load_id") -> DataFrame:
+    """(load_id, column_name, n_nonconforming, coverage_change, expressions): how a load's values are spelt, against the load before.
+
+    ``expressions`` lists (expression, n_rows) of the load's non-null values, most rows first; values without an expression
+    come under the empty one.  ``coverage_change`` is the largest change of an expression's share of
+    the non-null rows; null without a previous load that has such rows, or without such rows of its own.
+    """
+    values = distinct_values(table.where(F.col(load).isNotNull()), list(ranges), load)
+    judged = checkpointed(judged_values(values, ranges).select("load_id", "column_name", F.col("value").isNull().alias("absent"), "n", "expression", "well_formed", "number", "valid", "conforms"))
+    sums = judged.groupBy("load_id", "column_name").agg(F.sum(F.when(~F.col("absent") & ~F.col("conforms"), F.col("n")).otherwise(0)).cast("bigint").alias("n_nonconforming"), F.sum(F.when(~F.col("absent"), F.col("n"))).alias("present"))
+    spelt = judged.where(~F.col("absent")).groupBy("load_id", "column_name", F.coalesce("expression", F.lit("")).alias("expression")).agg(F.sum("n").alias("n_rows"))
+    listed = spelt.groupBy("load_id", "column_name").agg(F.array_sort(F.collect_list(F.struct((-F.col("n_rows")).alias("m"), "expression"))).alias("x"))
+    listed = listed.select("load_id", "column_name", F.transform("x", lambda e: F.struct(e["expression"].alias("expression"), (-e["m"]).alias("n_rows"))).alias("expressions"))
+    have = sums.where(F.col("present") > 0)
+    pairs = _pairs(loads).dropDuplicates(["load_id"])
+    both = pairs.join(have.select("load_id", "column_name"), "load_id").join(have.select(F.col("load_id").alias("previous_load_id"), "column_name"), ["previous_load_id", "column_name"], "left_semi").select("load_id", "column_name")
+    changes = coverage_changes(judged, pairs).join(both, ["load_id", "column_name"], "left_semi")
+    return sums.drop("present").join(changes, ["load_id", "column_name"], "left").join(listed, ["load_id", "column_name"], "left").select("load_id", "column_name", "n_nonconforming", "coverage_change", "expressions")
+
+
 def load_issues(profile: DataFrame) -> DataFrame:
     """(load_id, column_name, issue): one row per raised flag."""
     flags = [("pattern", "pattern"), ("range", "range"), ("constant", "constant"), ("nulls", "nulls"), ("shift", "shifted")]

@@ -42,6 +42,11 @@ def p4_profile(spark: SparkSession, d: str) -> DataFrame:
     return _profile(spark, d).select("load_id", "column_name", "n_rows", "n_distinct", "n_ill_formed", "n_out_of_range", "n_valid", "min_valid", "max_valid", *[F.round(c, 9).alias(c) for c in cols])
 
 
+def p4_expressions(spark: SparkSession, d: str) -> DataFrame:
+    """The induced expressions of each load and column, and how their coverage changed since the load before."""
+    return profile.expression_profile(table(spark, d, "all_pathogens_summary"), table(spark, d, "summary_loads")).withColumn("coverage_change", F.round("coverage_change", 9))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     grid = series.regular_grid(table(spark, d, "incidence"), table(spark, d, "incidence_series"))
     return grid.where("marked_missing").select("series_id", F.date_format("period_start", "yyyy-MM-dd").alias("period_start"))
@@ -65,7 +70,7 @@ def p6_rolling(spark: SparkSession, d: str) -> DataFrame:
     return _rolling(spark, d).select("series_id", F.date_format("day", "yyyy-MM-dd").alias("day"), *[F.round(c, 9).alias(c) for c in ("total_7", "total_30", "average_7", "average_30")])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_loaded, p4_found, p4_profile, p5_found, p5_grid, p6_found, p6_rolling)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_loaded, p4_found, p4_profile, p4_expressions, p5_found, p5_grid, p6_found, p6_rolling)}
 
 _P2 = """
 WITH child AS (

@@ -205,3 +205,26 @@ def test_trailing_totals_against_brute_force(spark):
         lo = d(1) if s == 1 else d(4)
         tot = lambda w, s=s, day=day, lo=lo: sum(v for x, y, v in flat if x == s and lo <= y <= day and (day - y).days < w)
         assert (a, b) == (tot(7), tot(30)) and math.isclose(m, tot(7) / 7)
+
+
+def test_expressions_of_loads_against_brute_force(spark):
+    """A load whose spellings move while all stay well-formed shows in its coverage, though no issue is raised."""
+    one, two = [f"0.{1000 + i}" for i in range(60)], [f"{i}e-4" for i in range(10, 70)]
+    data = [(1, x) for x in one] + [(2, x) for x in one[:20] + two[:40]] + [(2, None), (2, "n/a"), (3, None)]
+    table = spark.createDataFrame([(k, x, None, None) for k, x in data], "load_id long, gvi string, coverage_pct string, mu string")
+    loads = spark.createDataFrame([(1, None), (2, 1), (3, 2)], "load_id long, previous_load_id long")
+    ranges = {"gvi": (0.0, 1.0)}
+    known = {(r.fixed): r.expression for r in profile.induced_expressions(profile.distinct_values(table, ["gvi"], "load_id")).collect()}
+    classes = lambda x: "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else c for c in x)
+    held = {k: {} for k in (1, 2, 3)}
+    for k, x in data:
+        if x is not None:
+            e = known.get(classes(x), "")
+            held[k][e] = held[k].get(e, 0) + 1
+    got = {r.load_id: r for r in profile.expression_profile(table, loads, ranges).collect()}
+    assert {k: {e.expression: e.n_rows for e in r.expressions or []} for k, r in got.items()} == held
+    share = lambda k, e: held[k].get(e, 0) / sum(held[k].values())
+    assert abs(got[2].coverage_change - max(abs(share(2, e) - share(1, e)) for e in held[1] | held[2])) < 1e-12 and got[2].coverage_change > 0.5
+    assert got[1].coverage_change is None and got[3].coverage_change is None
+    bad = sum(1 for k, x in data if k == 2 and x is not None and (x == "n/a" or classes(x) not in known))
+    assert (got[1].n_nonconforming, got[2].n_nonconforming, got[3].n_nonconforming) == (0, bad, 0)
