@@ -14,19 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandwise.llm.blocks import text_blocks
 from strandwise.session import ship_package
 
 BUCKETS = 1 << 15
 #: Lines with a character beyond ASCII that the models are trained on, at most, and those of them that are garbled in every way.
 SAMPLE, GARBLED_SAMPLE = 20_000, 1_500
-#: Invertible chains that are tried for a line first; only where none of them counts, all others are.
-TRIES = 16
 #: Surprise (nats) of a character from which its line is looked at; gain that an inversion must bring.  Little
 #: text happens to be valid UTF-8 after all, so that to it a smaller gain will do.
 SURPRISE, GAIN, GAIN_UTF8 = 5.5, 7.0, 3.0
-#: Wrong decodings on top of each other that are undone.
-DEPTH = 4
-BEYOND = re.compile(r"[^\x00-\x7f]")
 BLOCK = 400_000
 
 #: Encodings of one script, any of which a text of it may have been written in.
@@ -121,12 +117,28 @@ def _own(name: str) -> re.Pattern[str]:
     return re.compile("[" + re.escape(_tables[name][0]) + "]+")
 
 
-def features(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, ends): the hashed byte bigrams of each line in which a byte beyond ASCII takes part.
+@functools.cache
+def _runs(wrong: str) -> re.Pattern[str]:
+    """What a one-byte encoding makes of a character of several bytes in UTF-8."""
+    if wrong not in _tables:
+        _tables[wrong] = _table(wrong)
+    chars = lambda a, b: "[" + "".join(map(re.escape, _tables[wrong][0][a : b + 1])) + "]"
+    more = chars(0x80, 0xBF)
+    return re.compile(f"{chars(0xC2, 0xDF)}{more}|{chars(0xE0, 0xEF)}{more}{{2}}|{chars(0xF0, 0xF4)}{more}{{3}}")
+
+
+def restore_runs(text: str, wrong: str) -> str | None:
+    """``text`` with its runs of UTF-8 that were read as ``wrong`` put right, where correct characters stand beside them; None if there is no run."""
+    was = _runs(wrong).sub(lambda m: restore(m.group(), "utf-8", wrong) or m.group(), text)
+    return None if was == text else was
+
+
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, ends): the hashed byte bigrams of each text in which a byte beyond ASCII takes part.
 
     ASCII letters count as their case only and digits as one, as it is their kind that tells.
     """
-    raw = [b"\n" + x.encode("utf-8", "replace") + b"\n" for x in lines]
+    raw = [b"\n" + x.encode("utf-8", "replace") + b"\n" for x in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
     data = KINDS[data]
     high = data >= 0x80
@@ -137,13 +149,20 @@ def features(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     buckets = np.concatenate([pairs * np.uint32(2654435761) >> np.uint32(17), (pairs << 8 ^ third * np.uint32(40503)) * np.uint32(2246822519) >> np.uint32(17)]).astype(np.int64)
     owner = np.searchsorted(np.cumsum([len(r) for r in raw]), np.concatenate([both, both]), "right")
     order = np.argsort(owner, kind="stable")
-    return buckets[order], np.searchsorted(owner[order], np.arange(len(lines) + 1))
+    return buckets[order], np.searchsorted(owner[order], np.arange(len(texts) + 1))
 
 
 KINDS = np.arange(256, dtype=np.uint8)
 KINDS[65:91], KINDS[97:123], KINDS[48:58] = 65, 97, 48
 
 
+def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, first of each text): two line ends stand before each text, so that what it is worth does not depend on the one before."""
+    joined = "\n\n" + "".join(x.replace("\n", " ") + "\n\n" for x in texts)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    return np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32), np.cumsum(sizes + 2) - sizes - 2
+
+
 @dataclass
 class Plain:
     """How likely a text is as clean text: each character given the two before, backing off to one and none.
@@ -158,7 +177,7 @@ class Plain:
 
     @staticmethod
     def train(lines: list[str]) -> Plain:
-        chars, before, pair, _, triple, _ = Plain._read(lines)
+        chars, _, pair, _, triple = Plain._read(codes_of(lines)[0])
         count = lambda x, bits: np.bincount(x, minlength=1 << bits).astype(np.float32)
         return Plain(count(triple, 21), count(pair, 20), count(chars, 16))
 
@@ -167,50 +186,171 @@ class Plain:
         """Add the characters of lines that come so many times to the three tables one after another."""
         if not lines:
             return
-        chars, _, pair, _, triple, owner = Plain._read(list(lines))
-        times = np.fromiter(lines.values(), np.int64, len(lines))[owner]
-        for at in (triple, pair + (1 << 21), chars + (1 << 21) + (1 << 20)):
+        codes, first = codes_of(list(lines))
+        chars, _, pair, _, triple = Plain._read(codes)
+        times = np.repeat(np.fromiter(lines.values(), np.int64, len(lines)), np.diff(np.append(first, len(codes) - 2)))
+        for at in (triple, pair + np.uint32(1 << 21), chars + np.uint32((1 << 21) + (1 << 20))):
             where, n = np.unique(at, return_inverse=True)
             totals[where] += np.bincount(n, times).astype(np.int64)
 
     @staticmethod
-    def _read(lines: list[str]) -> tuple[np.ndarray, ...]:
-        # Two line ends between lines, so that what a line is worth does not depend on the line before.
-        text = "\n\n" + "".join(x.replace("\n", " ") + "\n\n" for x in lines)
-        codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-        owner = (np.cumsum(codes == 10) - 2 - (codes == 10)) // 2
-        codes = np.where((codes >= 49) & (codes <= 57), 48, codes)
+    def _read(codes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(character, the one before, pair, pair before, triple) from the third code point on, as places in the tables."""
+        codes = np.where((codes >= 49) & (codes <= 57), np.uint32(48), codes)
         folded = (codes ^ codes >> 16 << 7) & 0xFFFF
         mixed = (folded[:-1] * np.uint32(40503) ^ folded[1:] * np.uint32(2654435761)) * np.uint32(2246822519)
         pair = mixed >> np.uint32(12)
         triple = (mixed[1:] ^ folded[:-2] * np.uint32(3266489917)) * np.uint32(668265263) >> np.uint32(11)
-        return folded[2:].astype(np.int64), folded[1:-1].astype(np.int64), pair[1:].astype(np.int64), pair[:-1].astype(np.int64), triple.astype(np.int64), owner[2:]
+        return folded[2:], folded[1:-1], pair[1:], pair[:-1], triple
 
-    def surprise(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(surprise of each character, its line, is it or the one before beyond ASCII?)"""
-        chars, before, pair, pair_before, triple, owner = self._read(lines)
-        alone = (self.singles[chars] + 0.05) / (self.singles.sum() + 0.05 * 65536)
+    @functools.cached_property
+    def alone(self) -> np.ndarray:
+        return ((self.singles + 0.05) / (self.singles.sum() + 0.05 * 65536)).astype(np.float32)
+
+    def surprise(self, codes: np.ndarray) -> np.ndarray:
+        """Surprise of each character from the third code point on."""
+        chars, before, pair, pair_before, triple = self._read(codes)
         # Where counts share a bucket, what comes after must not outnumber what came before.
         one, two = self.singles[before], self.pairs[pair_before]
-        after_one = (np.minimum(self.pairs[pair], one) + 3.0 * alone) / (one + 3.0)
-        chance = (np.minimum(self.triples[triple], two) + 1.5 * after_one) / (two + 1.5)
-        return -np.log(chance), owner, (before > 127) | (chars > 127)
-
-    def score(self, lines: list[str]) -> np.ndarray:
-        surprise, owner, _ = self.surprise(lines)
-        return -np.bincount(owner, surprise, minlength=len(lines))
-
-    def odd(self, lines: list[str]) -> np.ndarray:
-        """Does a line hold a pair beyond ASCII that clean text would hardly have?"""
-        surprise, owner, beyond = self.surprise(lines)
-        out = np.zeros(len(lines), bool)
-        out[owner[beyond & (surprise > SURPRISE)]] = True
-        return out
+        after_one = (np.minimum(self.pairs[pair], one) + np.float32(3.0) * self.alone[chars]) / (one + np.float32(3.0))
+        chance = (np.minimum(self.triples[triple], two) + np.float32(1.5) * after_one) / (two + np.float32(1.5))
+        return -np.log(chance)
+
+    def score(self, texts: list[str]) -> np.ndarray:
+        codes, first = codes_of(texts)
+        return -np.add.reduceat(self.surprise(codes).astype(np.float64), first) if texts else np.zeros(0)
+
+    def odd(self, texts: list[str]) -> np.ndarray:
+        """Does a text hold a pair beyond ASCII that clean text would hardly have?"""
+        if not texts:
+            return np.zeros(0, bool)
+        codes, first = codes_of(texts)
+        beyond = (codes[1:-1] > 127) | (codes[2:] > 127)
+        return np.logical_or.reduceat(beyond & (self.surprise(codes) > SURPRISE), first)
+
+
+class Segments:
+    """What is known of the parts of lines around characters beyond ASCII, each worked out once while it is remembered.
+
+    ASCII stays ASCII in every chain, so all that an inversion changes of a line lies in its segments, and odds and gains
+    of a line are the sums over them.
+    """
+
+    def __init__(self, model: Classifier) -> None:
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.texts: list[str] = []
+        self.chars = 0
+        k = len(self.model.classes)
+        self.odd, self.seen = np.zeros(0, bool), np.zeros(0, bool)
+        self.odds, self.weighed = np.zeros((0, k), np.float32), np.zeros(0, bool)
+        self.gains, self.fits, self.measured = np.zeros((0, k), np.float32), np.zeros((0, k), np.int8), np.zeros(0, bool)
+
+    def of(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(segment ids of all lines one after another, first of each line); every line has one at least."""
+        if len(self.texts) > REMEMBERED or self.chars > 40 * REMEMBERED:
+            self.clear()
+        ids, first = [], []
+        for x in lines:
+            first.append(len(ids))
+            ids += [self.ids.setdefault(s, len(self.ids)) for s in SEGMENT.findall(x) or ("",)]
+        new = list(self.ids)[len(self.texts) :]
+        for start, stop in _spans(new, 200_000):
+            part = new[start:stop]
+            self.odd = np.concatenate([self.odd, self.model.plain.odd(part)])
+            self.seen = np.concatenate([self.seen, np.fromiter((SEEN.search(x) is not None for x in part), bool, len(part))])
+        self.texts += new
+        self.chars += sum(map(len, new))
+        more = lambda x: np.concatenate([x, np.zeros((len(self.texts) - len(x), *x.shape[1:]), x.dtype)])
+        self.odds, self.weighed, self.gains, self.fits, self.measured = map(more, (self.odds, self.weighed, self.gains, self.fits, self.measured))
+        return np.array(ids, np.int64), np.array(first, np.int64)
+
+    def weigh(self, ids: np.ndarray) -> np.ndarray:
+        """What the classifier holds of these segments."""
+        todo = np.unique(ids[~self.weighed[ids]])
+        texts = [self.texts[i] for i in todo]
+        for start, stop in _spans(texts, 100_000):
+            self.odds[todo[start:stop]] = self.model.scores(texts[start:stop])
+        self.weighed[todo] = True
+        return self.odds[ids]
+
+    def measure(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(how they fit, what they gain) of all chains' inversions of these segments."""
+        todo = np.unique(ids[~self.measured[ids]])
+        texts = [self.texts[i] for i in todo]
+        for start, stop in _spans(texts, 20_000):
+            self._measure(todo[start:stop], texts[start:stop])
+        self.measured[todo] = True
+        return self.fits[ids], self.gains[ids]
+
+    def _measure(self, at: np.ndarray, texts: list[str]) -> None:
+        model = self.model
+        codes, first = codes_of(texts)
+        per = lambda x: np.add.reduceat(x, first)
+        base = per(model.plain.surprise(codes).astype(np.float64))
+        low = codes < 65536
+        small = np.where(low, codes, 0)
+        for k, (right, wrong, lossy) in enumerate(model.classes):
+            if lossy:
+                continue
+            if right not in MULTIBYTE and wrong not in MULTIBYTE:
+                was = np.where(low, _map(right, wrong)[small], codes)
+                moved = was != codes
+                if moved.any():
+                    control = CONTROL[np.minimum(was[2:], 128)]
+                    fits = np.where(np.logical_or.reduceat(control, first), REFUSED, WHOLE) if control.any() else WHOLE
+                    self.fits[at, k] = np.where(np.logical_or.reduceat(moved[2:], first), fits, SAME)
+                    self.gains[at, k] = base - per(model.plain.surprise(was).astype(np.float64))
+                continue
+            rows, results, fits = [], [], []
+            for i, x in enumerate(texts):
+                was, fit = model.invert(x, k)
+                if fit in (WHOLE, RUNS):
+                    rows.append(i)
+                    results.append(was)
+                self.fits[at[i], k] = fit
+            if rows:
+                self.gains[at[rows], k] = base[rows] + model.plain.score(results)
+
+
+#: How an inversion fits a segment: not at all; it changes nothing; all of it; runs of it only.
+REFUSED, SAME, WHOLE, RUNS = -1, 0, 1, 2
+#: Segments remembered in a worker at a time.
+REMEMBERED = 50_000
+CONTROL = np.zeros(129, bool)
+CONTROL[[*range(9), 11, 12, *range(14, 32), 127]] = True
+
+
+def _spans(texts: list[str], size: int) -> Iterator[tuple[int, int]]:
+    start, total = 0, 0
+    for i, x in enumerate(texts, 1):
+        total += len(x)
+        if total >= size or i == len(texts):
+            yield start, i
+            start, total = i, 0
+
+
+@functools.cache
+def _map(right: str, wrong: str) -> np.ndarray:
+    """Per code point, what it was if ``right`` was read as ``wrong``, both of one byte; characters that ``wrong`` lacks stay."""
+    for name in (right, wrong):
+        if name not in _tables:
+            _tables[name] = _table(name)
+    out = np.arange(65536, dtype=np.uint32)
+    for c, b in _tables[wrong][1].items():
+        out[c] = ord(_tables[right][0][b])
+    return out
 
 
 @dataclass
 class Classifier:
-    """Multinomial over hashed byte bigrams: one class for each of ``chains()``; and a model of clean text to hold results against."""
+    """Multinomial over hashed byte bigrams: one class for each of ``chains()`` and one for clean text; and a model of clean text to hold results against.
+
+    ``weights`` holds, per bucket and chain, how much likelier the chain is than clean text.
+    """
 
     classes: list[tuple[str, str, bool]]
     weights: np.ndarray
@@ -232,107 +372,134 @@ class Classifier:
         clean = [x for x in lines if verdict[x]]
         for r in range(rounds):
             distinct = list(dict.fromkeys(clean))
-            counts = np.zeros((len(classes), BUCKETS))
+            counts = np.zeros((len(classes) + 1, BUCKETS))
             for k, (right, wrong, lossy) in enumerate(classes):
                 made = [g for x in distinct[:GARBLED_SAMPLE] if (g := garble(x, right, wrong, lossy)) is not None and g != x and (("\ufffd" in g) == lossy)]
                 if made:
                     counts[k] = np.bincount(features(made)[0], minlength=BUCKETS)
+            counts[-1] = np.bincount(features(distinct)[0], minlength=BUCKETS)
             total = counts.sum(axis=1, keepdims=True)
             # What any class has seen is more likely in another than what none has.
             prior = counts.sum(axis=0) + 1.0
             prior /= prior.sum()
             weights = np.log((counts + 200.0 * prior) / (total + 200.0)).T.astype(np.float32)
-            weights[:, total[:, 0] < 20] = -50.0
+            weights = weights[:, :-1] - weights[:, -1:]
+            weights[:, total[:-1, 0] < 20] = -50.0
             model = Classifier(classes, np.ascontiguousarray(weights), Plain.train(clean))
             if r < rounds - 1:
                 found = dict(zip(distinct, model.judge(distinct), strict=True))
                 clean = [x for x in clean if found[x] is None]
         return model
 
-    def scores(self, lines: list[str]) -> np.ndarray:
-        buckets, ends = features(lines)
-        out = np.zeros((len(lines), self.weights.shape[1]), np.float32)
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """How much likelier than clean text each chain makes each text."""
+        buckets, ends = features(texts)
+        out = np.zeros((len(texts), self.weights.shape[1]), np.float32)
         full = np.flatnonzero(ends[1:] > ends[:-1])
         if len(full):
             out[full] = np.add.reduceat(self.weights[buckets], ends[full], axis=0)
         return out
 
+    def invert(self, segment: str, k: int) -> tuple[str, int]:
+        """A segment as chain ``k`` had it, and how the inversion fits."""
+        right, wrong, _ = self.classes[k]
+        runs = right == "utf-8" and wrong not in MULTIBYTE
+        if runs and not _runs(wrong).search(segment):
+            return segment, REFUSED
+        was, fit = restore(segment, right, wrong), WHOLE
+        if was is None and runs:
+            was, fit = restore_runs(segment, wrong), RUNS
+        if was == segment:
+            return segment, SAME
+        return (segment, REFUSED) if was is None or CONTROLS.search(was) else (was, fit)
+
+    @functools.cached_property
+    def segments(self) -> Segments:
+        return Segments(self)
+
     def judge(self, lines: list[str]) -> list[tuple[str, str] | None]:
         """For each line its chain ("right<wrong") and what it was, or None if clean.
 
-        Only lines with an odd pair of characters are classified.  Their likeliest chains are inverted, and
-        all others if none of these counts.  One counts if every character allows the inversion and the
-        result is a likelier clean text than the line was.  Of lossy chains the result stays the line itself.
+        A line is asked if the classifier holds any chain for likelier than clean text, and if it has an odd pair of
+        characters.  Every chain is inverted.  One counts if the characters allow the inversion and the
+        result is a likelier clean text than the line was by ``GAIN``.  Of those that count, the one of the largest gain is
+        taken; a chain that the classifier holds for less likely than clean text counts only if its result has nothing odd.  Of lossy chains the result stays the line itself.
         """
         out: list[tuple[str, str] | None] = [None] * len(lines)
         if not lines:
             return out
-        seen = np.fromiter((SEEN.search(x) is not None for x in lines), bool, len(lines))
-        ask = np.flatnonzero(self.plain.odd(lines) & seen | np.fromiter(("\ufffd" in x for x in lines), bool, len(lines)))
+        known = self.segments
+        ids, first = known.of(lines)
+        last = np.append(first[1:], len(ids))
         lossy = np.array([c[2] for c in self.classes])
-        for start in range(0, len(ask), 500):
-            at = ask[start : start + 500]
-            part = [lines[i] for i in at]
-            order = np.argsort(-self.scores(part), axis=1)
-            ranked: dict[int, np.ndarray] = {}
-            for i, line in enumerate(part):
-                if "\ufffd" in line:
-                    k = order[i][lossy[order[i]]][0]
-                    out[at[i]] = (f"{self.classes[k][0]}<{self.classes[k][1]}", line)
-                else:
-                    ranked[i] = order[i][~lossy[order[i]]]
-            # ASCII stays ASCII in every chain, so what is far from other characters cannot change a gain.
-            cores = [FAR.sub(r"\1\2", x) for x in part]
-            base = self.plain.score(cores)
-            found = self._best(part, cores, base, {i: ks[:TRIES] for i, ks in ranked.items()})
-            rest = self._best(part, cores, base, {i: ks[TRIES:] for i, ks in ranked.items() if i not in found})
-            still = self.plain.odd([was for _, was in rest.values()]) if rest else ()
-            found |= {i: f for (i, f), odd in zip(rest.items(), still, strict=True) if not odd}
-            for i, f in found.items():
-                out[at[i]] = f
+        utf8 = np.array([c[0] == "utf-8" for c in self.classes])
+
+        def segments_of(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            begin = np.cumsum(np.append(0, last[some] - first[some]))
+            return np.repeat(first[some] - begin[:-1], np.diff(begin)) + np.arange(begin[-1]), begin[:-1]
+
+        lost = np.fromiter(("\ufffd" in x for x in lines), bool, len(lines))
+        asked = np.flatnonzero(lost | np.logical_or.reduceat(known.odd[ids], first) & np.logical_or.reduceat(known.seen[ids], first))
+        if not len(asked):
+            return out
+        at, begin = segments_of(asked)
+        odds = np.add.reduceat(known.weigh(ids[at]), begin, axis=0)
+        for j in np.flatnonzero(lost[asked]):
+            k = int(np.argmax(np.where(lossy, odds[j], -np.inf)))
+            out[asked[j]] = (f"{self.classes[k][0]}<{self.classes[k][1]}", lines[asked[j]])
+        likely = ~lost[asked] & (np.where(lossy, -np.inf, odds).max(axis=1) > 0)
+        asked, odds = asked[likely], odds[likely]
+        if not len(asked):
+            return out
+        at, begin = segments_of(asked)
+        fits, gains = known.measure(ids[at])
+        # What UTF-8 does not fit stays as it is; a one-byte inversion goes through the whole line.
+        usable = np.where(utf8, np.where(fits > 0, np.maximum(gains, 0), 0), np.where(fits > 0, gains, 0))
+        gain = np.add.reduceat(usable, begin, axis=0)
+        refused = np.logical_or.reduceat(fits == REFUSED, begin, axis=0)
+        partly = refused | np.logical_or.reduceat(fits == RUNS, begin, axis=0) | np.logical_or.reduceat((fits > 0) & (gains < 0), begin, axis=0)
+        counts = np.logical_or.reduceat(fits > 0, begin, axis=0) & (gain > np.where(utf8 & ~partly, GAIN_UTF8, GAIN)) & (utf8 | ~refused) & ~lossy
+        likelier = counts & (odds > 0)
+        for j in np.flatnonzero(counts.any(axis=1)):
+            line = lines[asked[j]]
+            k = int(np.argmax(np.where(counts[j], gain[j], -np.inf)))
+            result = self._result(line, k)
+            if not likelier[j, k] and self.plain.odd([result[1]])[0]:
+                if not likelier[j].any():
+                    continue
+                result = self._result(line, int(np.argmax(np.where(likelier[j], gain[j], -np.inf))))
+            out[asked[j]] = result
         return out
 
-    def _best(self, lines: list[str], cores: list[str], base: np.ndarray, tries: dict[int, np.ndarray]) -> dict[int, tuple[str, str]]:
-        """Of the chains to try for each line, the one whose inversion brings the largest gain that counts."""
-        best: dict[int, tuple[float, int]] = {}
-        todo = list(tries)
-        for start in range(0, len(todo), 50):
-            asked: list[tuple[int, int, str]] = []
-            for i in todo[start : start + 50]:
-                line = cores[i]
-                for k in sorted(tries[i].tolist()):
-                    right, wrong, _ = self.classes[k]
-                    was = restore(line, right, wrong)
-                    if was is not None and was != line and not CONTROLS.search(was):
-                        asked.append((i, k, was))
-            if not asked:
-                continue
-            # Chains often agree on what a line was.
-            distinct = {was: n for n, was in enumerate(dict.fromkeys(was for *_, was in asked))}
-            scores = self.plain.score(list(distinct))
-            for i, k, was in asked:
-                gain = scores[distinct[was]] - base[i]
-                if gain > max(GAIN_UTF8 if self.classes[k][0] == "utf-8" else GAIN, best.get(i, (0.0, 0))[0] + 1e-3):
-                    best[i] = gain, k
-        return {i: (f"{self.classes[k][0]}<{self.classes[k][1]}", restore(lines[i], *self.classes[k][:2])) for i, (_, k) in best.items()}
+    def _result(self, line: str, k: int) -> tuple[str, str]:
+        right, wrong, _ = self.classes[k]
+        if right == "utf-8":
+            gains = {x: self.segments.gains[self.segments.ids[x], k] for x in SEGMENT.findall(line)}
+            was = SEGMENT.sub(lambda m: self.invert(m.group(), k)[0] if gains[m.group()] > 0 else m.group(), line)
+        else:
+            was = restore(line, right, wrong)
+        return f"{right}<{wrong}", was
 
     def undo(self, lines: list[str]) -> list[tuple[str, str] | None]:
-        """``judge`` again and again, until the result is clean: the chain's last reading comes first."""
+        """``judge`` again and again, until the result is clean: the chain's last reading comes first.
+
+        Each inversion makes a line likelier as clean text by ``GAIN_UTF8`` at least, so that this ends.
+        """
         found = self.judge(lines)
-        for _ in range(DEPTH - 1):
-            again = [i for i, f in enumerate(found) if f and BEYOND.search(f[1]) and "\ufffd" not in f[1]]
-            if not again:
-                break
-            for i, more in zip(again, self.judge([found[i][1] for i in again]), strict=True):
-                if more:
-                    found[i] = (f"{found[i][0]} {more[0]}", more[1])
+        again = [i for i, f in enumerate(found) if f]
+        while again := [i for i in again if not found[i][1].isascii() and "\ufffd" not in found[i][1]]:
+            more = self.judge([found[i][1] for i in again])
+            for i, m in zip(again, more, strict=True):
+                if m:
+                    found[i] = (f"{found[i][0]} {m[0]}", m[1])
+            again = [i for i, m in zip(again, more, strict=True) if m]
         return found
 
 
 #: Something beyond ASCII other than white space, joiners and marks of order.
 SEEN = re.compile(r"[^\x00-\x7f\u00a0\u00ad\u2000-\u200f\u2028-\u202f\u2060\u3000\ufeff]")
-#: ASCII without control characters, but for four characters at either end: a chain takes at most one of them into a character, and one counts with the two before.
-FAR = re.compile(r"([\t\r\x20-\x7e]{4})[\t\r\x20-\x7e]+([\t\r\x20-\x7e]{4})")
+#: What is beyond plain ASCII, and up to four characters of it at either end: a chain takes at most one of them into a character, and one counts with the two before.
+SEGMENT = re.compile(r"[\t\r\x20-\x7e]{0,4}[^\t\r\x20-\x7e](?:[\t\r\x20-\x7e]{0,8}[^\t\r\x20-\x7e])*[\t\r\x20-\x7e]{0,4}")
 CONTROLS = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 
@@ -343,10 +510,20 @@ def training_lines(docs: DataFrame, text: str = "text", sample: int = SAMPLE) ->
     shrinks as their number grows, so that what reaches the driver does not.
     """
     beyond = docs.select(text, F.xxhash64(text).alias("h")).where(F.octet_length(text) > F.length(text))
-    share = 1_000_000 * sample // 4 // max(beyond.agg(F.approx_count_distinct("h", 0.02)).first()[0], 1)
-    drawn = beyond.where(F.pmod("h", F.lit(1_000_000)) < share).dropDuplicates(["h"])
+    count = beyond.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    if not count:
+        return []
+    drawn = beyond.where(F.col("h") <= F.lit(highest_hash(sample / 4 / count))).dropDuplicates(["h"])
     lines = drawn.select("h", F.explode(F.split(text, "\n")).alias("line")).where(F.col("line").rlike(r"[^\x00-\x7F]") & (F.length("line") <= 2000))
-    return [r.line for r in lines.select("line", F.xxhash64("line", "h").alias("h")).orderBy("h", "line").limit(sample).select("line").collect()]
+    found = [r.line for r in lines.select("line", F.xxhash64("line", "h").alias("h")).orderBy("h", "line").limit(sample).select("line").collect()]
+    if not found and count > sample:
+        raise ValueError(f"no line to train on was drawn from {count} documents beyond ASCII")
+    return found
+
+
+def highest_hash(share: float) -> int:
+    """The largest 64-bit hash of the lowest ``share`` of all, which is never none as it is not cut to whole parts of anything."""
+    return min((1 << 63) - 1, int(share * 2**64) - (1 << 63))
 
 
 #: Counters of a ``Plain`` that travel as one row.
@@ -359,7 +536,7 @@ def count_plain(docs: DataFrame, classifier: Classifier, text: str = "text") ->
     Each task counts its documents; the counts of a part of the tables are added in a task of their own, so that the
     driver gets tables of the same size whatever the size of the input.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(classifier)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(classifier, plain=replace(classifier.plain)))
     sizes = [1 << 21, 1 << 20, 1 << 16]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,11 +549,10 @@ def count_plain(docs: DataFrame, classifier: Classifier, text: str = "text") ->
             waiting.clear()
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                for line in t.split("\n"):
-                    if not line.isascii():
-                        size += 0 if line in waiting else len(line)
-                        waiting[line] = waiting.get(line, 0) + 1
+            for _, texts in text_blocks(batch, 0, BLOCK):
+                for line in (line for t in texts if t for line in t.split("\n") if not line.isascii()):
+                    size += 0 if line in waiting else len(line)
+                    waiting[line] = waiting.get(line, 0) + 1
                 if size >= BLOCK:
                     add()
                     size = 0
@@ -408,7 +584,8 @@ def find_garbled(docs: DataFrame, key: str = "doc_id", text: str = "text", sampl
     ``chains`` lists the encodings in which lines were written and the ones they were read as, the outermost
     reading first; ``restored`` is the whole text with these lines put right, where it is possible.  Lines
     with U+FFFD are wrongly decoded too, but what they lost stays lost.  Null, empty and ASCII texts are clean.
-    Documents given twice come out twice.  If there is no line to train on, nothing is found.
+    Documents given twice come out twice.  Without a document beyond ASCII nothing is found; where there are some but no line
+    of them can be trained on (all longer than 2000 characters), an error says so.
 
     The classifier is trained on a bounded sample of lines and has a fixed size; what clean text looks like is counted
     on all lines of all documents; every line of every document is judged.
@@ -422,12 +599,8 @@ def find_garbled(docs: DataFrame, key: str = "doc_id", text: str = "text", sampl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts, start, size = batch.column(1).to_pylist(), 0, 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size >= BLOCK or i == len(texts) - 1:
-                    yield _judged(model, batch.column(0).slice(start, i + 1 - start), texts[start : i + 1], key)
-                    start, size = i + 1, 0
+            for at, texts in text_blocks(batch, 1, BLOCK):
+                yield _judged(model, batch.column(0).slice(at, len(texts)), texts, key)
 
     return docs.select(key, text).mapInArrow(run, schema)
 

@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from strandwise.llm.blocks import text_blocks
 from strandwise.llm.transducer import Transducer, read_merges
 from strandwise.session import ship_package
 
 #: Folder of the public vocabularies, unless the session names another.
 FOLDER_KEY, FOLDER = "spark.strandwise.tokenizers", "/opt/tokenizers"
 NAME = "byte_bpe_50k"
-#: Characters encoded together.
+#: Bytes of text encoded together.
 BLOCK = 400_000
 
 _machines: dict[str, Transducer] = {}
@@ -39,12 +40,8 @@ def machine(shared) -> Transducer:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
     for batch in batches:
-        texts, start, size = batch.column(1).to_pylist(), 0, 0
-        for i, text in enumerate(texts):
-            size += len(text or "")
-            if size >= BLOCK or i == len(texts) - 1:
-                yield batch.column(0).slice(start, i + 1 - start), texts[start : i + 1]
-                start, size = i + 1, 0
+        for at, texts in text_blocks(batch, 1, BLOCK):
+            yield batch.column(0).slice(at, len(texts)), texts
 
 
 def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = NAME, folder: str | None = None) -> DataFrame:

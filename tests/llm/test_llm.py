@@ -145,6 +145,40 @@ def test_unlikely_chains_are_tried_too(classifier):
     assert turned.judge(CLEAN) == [None] * len(CLEAN)
 
 
+def test_five_layers_are_undone(classifier):
+    text = CLEAN[90]
+    for _ in range(5):
+        text = garbled.garble(text, "utf-8", "latin-1", False)
+    assert classifier.undo([text])[0][1] == CLEAN[90]
+
+
+def test_a_passage_beside_correct_characters(classifier):
+    """What is UTF-8 is put right though a correct character stands near it or further on in its line."""
+    bad = garbled.garble("größer", "utf-8", "cp1252", False)
+    for line in (f"{CLEAN[0]} und so war der Ausschlag {bad} als üblich", f"nämlich {bad}"):
+        assert classifier.undo([line])[0][1] == line.replace(bad, "größer")
+
+
+def test_all_chains_of_a_segment_equal_single_inversions(classifier):
+    """The tables of one-byte chains give what encoding and decoding give, whatever the segments beside it."""
+    known = garbled.Segments(classifier)
+    lines = [CLEAN[0], CLEAN[90], CLEAN[150], CLEAN[210], "ÃƒÂ±", "a\x07é"]
+    ids, first = known.of(lines)
+    fits, gains = known.measure(ids)
+    for i, x in enumerate(known.texts[j] for j in ids):
+        for k, (right, wrong, lossy) in enumerate(classifier.classes):
+            was, fit = classifier.invert(x, k)
+            if not lossy and right not in garbled.MULTIBYTE and wrong not in garbled.MULTIBYTE:
+                assert fits[i, k] == fit
+                if fit == garbled.WHOLE:
+                    assert gains[i, k] == pytest.approx(classifier.plain.score([was])[0] - classifier.plain.score([x])[0], abs=1e-2)
+
+
+def test_share_of_hashes_is_never_none():
+    assert garbled.highest_hash(5000 / 1e11) > -(1 << 63) + (1 << 34)
+    assert garbled.highest_hash(2.0) == (1 << 63) - 1 and -2 <= garbled.highest_hash(0.5) <= 0
+
+
 def test_gain_does_not_depend_on_other_lines(classifier):
     lines = ["größer", "ß", CLEAN[0], "Ж", CLEAN[150]]
     assert classifier.plain.score(lines).tolist() == pytest.approx([classifier.plain.score([x])[0] for x in lines], rel=1e-6)
