@@ -289,31 +289,44 @@ class Segments:
     def _measure(self, at: np.ndarray, texts: list[str]) -> None:
         model = self.model
         codes, first = codes_of(texts)
-        per = lambda x: np.add.reduceat(x, first)
-        base = per(model.plain.surprise(codes).astype(np.float64))
+        sizes = np.diff(np.append(first, len(codes) - 2))
+        base = np.add.reduceat(model.plain.surprise(codes).astype(np.float64), first)
         low = codes < 65536
         small = np.where(low, codes, 0)
+        encoded: dict[str, list[bytes | None]] = {}
         for k, (right, wrong, lossy) in enumerate(model.classes):
             if lossy:
                 continue
             if right not in MULTIBYTE and wrong not in MULTIBYTE:
                 was = np.where(low, _map(right, wrong)[small], codes)
-                moved = was != codes
+                moved = np.logical_or.reduceat(was[2:] != codes[2:], first)
                 if moved.any():
-                    control = CONTROL[np.minimum(was[2:], 128)]
-                    fits = np.where(np.logical_or.reduceat(control, first), REFUSED, WHOLE) if control.any() else WHOLE
-                    self.fits[at, k] = np.where(np.logical_or.reduceat(moved[2:], first), fits, SAME)
-                    self.gains[at, k] = base - per(model.plain.surprise(was).astype(np.float64))
+                    # Only the segments in which something moved; each brings the two line ends behind it.
+                    part = was if moved.all() else np.append(was[:2], was[2:][np.repeat(moved, sizes)])
+                    ends = np.cumsum(sizes[moved])
+                    begin = ends - sizes[moved]
+                    control = CONTROL[np.minimum(part[2:], 128)]
+                    self.fits[at[moved], k] = np.where(np.logical_or.reduceat(control, begin), REFUSED, WHOLE) if control.any() else WHOLE
+                    self.gains[at[moved], k] = base[moved] - np.add.reduceat(model.plain.surprise(part), begin, dtype=np.float64)
                 continue
-            rows, results, fits = [], [], []
-            for i, x in enumerate(texts):
-                was, fit = model.invert(x, k)
-                if fit in (WHOLE, RUNS):
-                    rows.append(i)
-                    results.append(was)
-                self.fits[at[i], k] = fit
-            if rows:
-                self.gains[at[rows], k] = base[rows] + model.plain.score(results)
+            if right == "utf-8" and wrong not in MULTIBYTE:
+                search = _runs(wrong).search
+                was = [model.invert(x, k) if search(x) else (x, REFUSED) for x in texts]
+            else:
+                if wrong not in encoded:
+                    encoded[wrong] = [to_bytes(x, wrong) for x in texts]
+                was = [_fitted(x, None if data is None else to_text(data, right)) for x, data in zip(texts, encoded[wrong], strict=True)]
+            fits = np.fromiter((f for _, f in was), np.int8, len(was))
+            self.fits[at, k] = fits
+            rows = np.flatnonzero(fits > 0)
+            if len(rows):
+                self.gains[at[rows], k] = base[rows] + model.plain.score([was[i][0] for i in rows])
+
+
+def _fitted(segment: str, was: str | None) -> tuple[str, int]:
+    if was == segment:
+        return segment, SAME
+    return (segment, REFUSED) if was is None or CONTROLS.search(was) else (was, WHOLE)
 
 
 #: How an inversion fits a segment: not at all; it changes nothing; all of it; runs of it only.
@@ -409,7 +422,7 @@ class Classifier:
         was, fit = restore(segment, right, wrong), WHOLE
         if was is None and runs:
             was, fit = restore_runs(segment, wrong), RUNS
-        if was == segment:
+        if was == segment or was is None and right not in MULTIBYTE and wrong not in MULTIBYTE:
             return segment, SAME
         return (segment, REFUSED) if was is None or CONTROLS.search(was) else (was, fit)
 
