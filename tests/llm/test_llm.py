@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from strandwise.llm import canonical, garbled, packing, tokens
@@ -64,23 +65,34 @@ def test_encode_documents(spark):
 
 def test_plan_places_everything_once():
     rnd = random.Random(3)
+    moved = 0
     for _ in range(60):
         capacity = rnd.choice([8, 50, 512])
         counts = {s: rnd.randint(1, 40) for s in rnd.sample(range(1, capacity + 1), min(capacity, rnd.randint(1, 30)))}
-        plan = packing.Plan(counts, capacity, [4, 20, 100, capacity])
-        used, seen = {}, {}
-        for size, rank, n, first, each, offset in plan.places:
-            seen.setdefault(size, []).extend(range(rank, rank + n))
-            for i in range(n):
-                start = offset + i % each * size
-                cells = used.setdefault(first + i // each, set())
-                span = set(range(start, start + size))
+        plan = packing.best_plan(counts, capacity, [4, 20, 100, capacity])
+        straight = packing.Plan(counts, capacity, [], tiered=False)
+        place, used, steps = packing.Lookup(plan), {}, {}
+        for size, n in counts.items():
+            container, offset, step = place(np.full(n, size), np.arange(n), 8)
+            for c, start, t in zip(container.tolist(), offset.tolist(), step.tolist(), strict=True):
+                cells, span = used.setdefault(c, set()), set(range(start, start + size))
                 assert not cells & span and start + size <= capacity
                 cells |= span
-        assert {s: sorted(r) for s, r in seen.items()} == {s: list(range(n)) for s, n in counts.items()}
+                steps.setdefault(t, set()).add(c)
         assert sorted(used) == list(range(plan.containers))
-        assert sum(n for _, n, _ in plan.steps(8)) == plan.containers
-        assert plan.containers == best_fit(counts, capacity)
+        assert sum(n for _, n, _ in plan.steps()) == plan.containers and max(map(len, steps.values())) <= 8
+        assert plan.containers <= straight.containers == best_fit(counts, capacity)
+        moved += plan.places != straight.places
+    assert moved > 10
+
+
+def test_windows_of_a_tier_are_packed_as_wholes():
+    """Two windows of 50, each 30 + 20, make a container; straight packing would put 30s together."""
+    plan = packing.Plan({30: 4, 20: 4}, 100, [20, 50, 100])
+    place = packing.Lookup(plan)
+    (c30, *_), (c20, *_) = place(np.full(4, 30), np.arange(4), 8), place(np.full(4, 20), np.arange(4), 8)
+    assert plan.containers == 2 and sorted(c30.tolist()) == sorted(c20.tolist()) == [0, 0, 1, 1]
+    assert packing.Plan({30: 4, 20: 4}, 100, [], tiered=False).containers == 3
 
 
 def best_fit(counts, capacity):
@@ -110,6 +122,15 @@ def test_pack(spark):
         assert {r.doc_id for r in mine if r.n_pieces > 1} == ({2} if capacity == 10 else set())
     assert len({r.container_id for r in rows if r.profile == "l"} - {None}) == 2
     assert packing.pack(sizes.limit(0), caps).count() == 0
+    faults = {r.profile: r[2:] for r in packing.pack_faults(packing.pack(sizes.where("doc_id <> 5"), caps), sizes.where("doc_id <> 5"), caps).collect()}
+    assert faults == {"s": (5, 0, 0, 0, 0), "l": (5, 0, 0, 0, 0)}
+
+
+def test_more_than_a_hundred_capacities(spark):
+    sizes = spark.createDataFrame([(i, i % 7 * 40) for i in range(40)], "doc_id long, tokens long")
+    caps = spark.createDataFrame([(f"p{i}", 50 + i) for i in range(120)], "profile string, capacity_tokens long")
+    faults = packing.pack_faults(packing.pack(sizes, caps), sizes, caps).collect()
+    assert len(faults) == 120 and {r[2:] for r in faults} == {(40, 0, 0, 0, 0)}
 
 
 CLEAN = [f"{a} {b} número {i} está en la región" for i in range(40) for a, b in (("El análisis", "genético"), ("La campaña", "de vacunación"))] + [f"Der Ausschlag war größer als üblich, nämlich {i} Geräte" for i in range(60)] + [f"Нужно ещё около {i} пробирок на ферме" for i in range(60)] + [f"報告書の{i}行目を確認してください。" for i in range(60)] + ["ATÉ AMANHÃ… NA ETIQUETA LÊ-SE «LÃ» E «MAÇÃ»."] * 10
