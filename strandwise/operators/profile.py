@@ -11,21 +11,36 @@ from strandwise.operators.prefix import running_sums
 from strandwise.session import checkpointed
 
 #: An optional minus, digits, optionally a point and digits, optionally an exponent.
-NUMBER = r"\A-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?\z"
+NUMBER = r"-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?"
 #: Both ends belong to the range.
 RANGES: Mapping[str, tuple[float, float]] = {"gvi": (0.0, 1.0), "coverage_pct": (0.0, 100.0), "mu": (0.0, 0.01)}
 NULL_CHANGE, SHIFT = 0.1, 0.3
+#: Parts that a range is cut into, and each part again.
+BUCKETS = 256
 #: Bits of one character of a text, of one element of an expression, and of naming an expression.
 TEXT_BITS, ELEMENT_BITS, HEAD_BITS = 8.0, 10.0, 8.0
 
 
-def _classes(value: Column) -> Column:
-    """The value with each digit, capital and small letter replaced by 9, A and a; other characters stay."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), "[A-Z]", "A"), "[a-z]", "a")
+#: Code points that stand for parts of an expression: a digit, a run of digits, a number, a run of small letters, one of capitals.  Values that hold one of them keep their text.
+DIGIT, DIGITS, AMOUNT, SMALL, CAPITAL = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
+#: What each part says in a regular expression; all else stands for itself.
+PARTS = {DIGIT: "[0-9]", DIGITS: "[0-9]+", AMOUNT: NUMBER, SMALL: "[a-z]+", CAPITAL: "[A-Z]+"}
+#: Expressions of which every text is a number.
+NUMBERS = f"\\A({AMOUNT}|-?[{DIGIT}{DIGITS}]+(\\.[{DIGIT}{DIGITS}]+)?([eE][+-]?[{DIGIT}{DIGITS}]+)?)\\z"
+#: Bits that tell which of ten digits, 26 letters, and about how long a run.
+DIGIT_BITS, LETTER_BITS, RUN_BITS = 3.3219, 4.7004, 2.0
 
 
-def _runs(classes: Column) -> Column:
-    return F.regexp_replace(classes, "(9|A|a)\\1*", "$1+")
+def _shape(value: Column) -> Column:
+    """The value with its digits replaced by DIGIT; null if it holds a stand-in already."""
+    return F.when(~value.rlike(f"[{DIGIT}-{CAPITAL}]"), F.translate(value, "0123456789", DIGIT * 10))
+
+
+def _regex(key: Column) -> Column:
+    out = F.regexp_replace(key, f"([^0-9A-Za-z{DIGIT}-{CAPITAL}])", r"\\$1")
+    for part, text in PARTS.items():
+        out = F.replace(out, F.lit(part), F.lit(text))
+    return out
 
 
 def distinct_values(table: DataFrame, columns: list[str], load: str) -> DataFrame:
@@ -35,118 +50,148 @@ def distinct_values(table: DataFrame, columns: list[str], load: str) -> DataFram
 
 
 def induced_expressions(values: DataFrame) -> DataFrame:
-    """(column_name, fixed, runs, expression, n_distinct): the expressions that shorten a column's description.
-
-    For every distinct value of a column there are three ways to write it: as plain text; by an
-    expression of counted character classes (``fixed``); by one whose classes may repeat at will
-    (``runs``).  An expression costs its own length once, plus for each distinct value the bits
-    that pick its characters and, for runs, its run lengths.  For each family of values with the
-    same runs the cheapest of the three is taken: minimum description length.  Families cheapest
-    as plain text get no row: their values conform to nothing.
-    """
-    each = values.where(F.col("value").isNotNull()).select("column_name", "value").distinct().withColumn("fixed", _classes(F.col("value"))).withColumn("runs", _runs(F.col("fixed")))
-    count = lambda c, x: F.length(c) - F.length(F.translate(c, x, ""))
-    f = F.col("fixed")
-    picks = count(f, "9") * 3.3219 + (count(f, "a") + count(f, "A")) * 4.7004
-    run_lengths = count(F.col("runs"), "+") * 2.0 + F.log2(F.length("fixed") + 1.0)
-    per_fixed = each.groupBy("column_name", "runs", "fixed").agg(
-        F.count("*").alias("n_distinct"), F.sum(picks).alias("picks"), F.sum(run_lengths).alias("lengths"), F.sum(F.length("value") * TEXT_BITS + HEAD_BITS).alias("plain")
-    )
-    fixed_cost = HEAD_BITS + F.length("fixed") * ELEMENT_BITS + F.col("picks")
-    family = Window.partitionBy("column_name", "runs")
-    costs = per_fixed.select(
-        "column_name", "runs", "fixed", "n_distinct",
-        F.sum(F.least(fixed_cost, F.col("plain"))).over(family).alias("by_fixed"),
-        (fixed_cost < F.col("plain")).alias("fixed_pays"),
-        (F.sum(F.col("picks") + F.col("lengths")).over(family) + HEAD_BITS + F.length("runs") * ELEMENT_BITS).alias("by_runs"),
-    )
-    by_runs = F.col("by_runs") < F.col("by_fixed")
-    regex = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"([^0-9A-Za-z+ -])", r"\\$1"), "9", "[0-9]"), "A", "[A-Z]"), "(?<!-)a(?!-)", "[a-z]")
-    return costs.where(by_runs | F.col("fixed_pays")).select("column_name", "fixed", "runs", F.when(by_runs, regex(F.col("runs"))).otherwise(regex(F.col("fixed"))).alias("expression"), "n_distinct")
-
+    """(column_name, shape, fixed, key, expression, numbers, n_distinct): the expressions that shorten a column's description.
 
-def judged_values(values: DataFrame, ranges: Mapping[str, tuple[float, float]] = RANGES) -> DataFrame:
-    """``values`` with the expression each conforms to, whether it is well-formed, and its number if valid.
+    A distinct value can be written as plain text or by an expression of one of four kinds, each a generalisation of
+    the one before: its characters with any digits in their places; runs of digits of any length; numbers with or without
+    sign, fraction and exponent; runs of letters as well.  An expression costs its own length once, plus for each
+    distinct value the bits that pick its digits, run lengths, optional parts and letters.  From the most special to the most general,
+    a family of values takes the general expression if that costs less than the best of the special ones:
+    minimum description length over all distinct values.  Shapes cheapest as plain text get no row: their
+    values conform to nothing.  ``numbers`` says that all texts of an expression are numbers, ``fixed`` shows the shape with 9, A and a.
 
-    A value conforms if its column's induced expressions cover it and everything they cover that way
-    is a number; all others are checked one by one, so a common wrong spelling that earned an
-    expression of its own is found as surely as a rare one.
+    Costs depend on shapes only, so values are counted per shape first; nothing is ever gathered per column.
     """
-    expressions = induced_expressions(values)
-    shaped = values.withColumn("fixed", _classes(F.col("value")))
-    # Of a class string without letters, all values are numbers or none is; the others' values are candidates, as are those without an expression.
-    numbers = F.col("fixed").rlike(r"\A-?9+(\.9+)?\z").alias("numbers")
-    joined = shaped.join(expressions.select("column_name", "fixed", "expression", numbers), ["column_name", "fixed"], "left")
-    candidate = ~F.coalesce("numbers", F.lit(False))
-    formed = F.when(F.col("value").isNull(), F.lit(None)).when(candidate, F.col("value").rlike(NUMBER)).otherwise(F.lit(True))
+    shapes = (
+        values.where(F.col("value").isNotNull()).select("column_name", "value").distinct()
+        .withColumn("shape", _shape(F.col("value"))).where(F.col("shape").isNotNull())
+        .groupBy("column_name", "shape").agg(F.count("*").cast("double").alias("n"))
+    )
+    runs = F.regexp_replace("shape", f"{DIGIT}+", DIGITS)
+    amounts = F.regexp_replace("runs", f"-?{DIGITS}(\\.{DIGITS})?([eE][+-]?{DIGITS})?", AMOUNT)
+    letters = F.regexp_replace(F.regexp_replace("amounts", "[a-z]+", SMALL), "[A-Z]+", CAPITAL)
+    count = lambda c, x: F.length(c) - F.length(F.translate(c, x, ""))
+    digits = count(F.col("shape"), DIGIT) * DIGIT_BITS
+    lengths = digits + count(F.col("runs"), DIGITS) * RUN_BITS
+    options = lengths + count(F.col("amounts"), AMOUNT) * 3.0
+    picks = options + (count(F.col("letters"), SMALL) + count(F.col("letters"), CAPITAL)) * RUN_BITS + (F.length("shape") - F.length(F.regexp_replace("shape", "[A-Za-z]", ""))) * LETTER_BITS
+    own = lambda key: HEAD_BITS + F.length(key) * ELEMENT_BITS
+    n = F.col("n")
+    one = shapes.withColumn("runs", runs).withColumn("amounts", amounts).withColumn("letters", letters)
+    one = one.select("*", (own("shape") + n * digits).alias("cost"), (n * (F.length("shape") * TEXT_BITS + HEAD_BITS)).alias("plain"), (n * lengths).alias("b2"), (n * options).alias("b3"), (n * picks).alias("b4"))
+    total = lambda c: F.sum(c).alias(c)
+    two = one.groupBy("column_name", "runs", "amounts", "letters").agg(F.sum(F.least("cost", "plain")).alias("below"), total("b2"), total("b3"), total("b4")).withColumn("cost", own("runs") + F.col("b2"))
+    three = two.groupBy("column_name", "amounts", "letters").agg(F.sum(F.least("cost", "below")).alias("below"), total("b3"), total("b4")).withColumn("cost", own("amounts") + F.col("b3"))
+    four = three.groupBy("column_name", "letters").agg(F.sum(F.least("cost", "below")).alias("below"), total("b4")).withColumn("cost", own("letters") + F.col("b4"))
+    pays = (F.col("cost") < F.col("below")).alias("pays")
+    chosen = one.select("column_name", "shape", "runs", "amounts", "letters", "n", (F.col("cost") < F.col("plain")).alias("pays_1"))
+    for name, level in (("runs", two), ("amounts", three), ("letters", four)):
+        chosen = chosen.join(level.select("column_name", name, pays.alias(f"pays_{name}")), ["column_name", name])
+    key = F.when(F.col("pays_letters"), F.col("letters")).when(F.col("pays_amounts"), F.col("amounts")).when(F.col("pays_runs"), F.col("runs")).when(F.col("pays_1"), F.col("shape"))
+    plain = F.translate(F.regexp_replace(F.regexp_replace("shape", "[a-z]", "a"), "[A-Z]", "A"), DIGIT, "9")
+    return chosen.withColumn("key", key).where(F.col("key").isNotNull()).select("column_name", "shape", plain.alias("fixed"), "key", _regex(F.col("key")).alias("expression"), F.col("key").rlike(NUMBERS).alias("numbers"), F.col("n").cast("bigint").alias("n_distinct"))
+
+
+def judged_values(values: DataFrame, expressions: DataFrame, ranges: Mapping[str, tuple[float, float]] = RANGES) -> DataFrame:
+    """``values`` with the expression each conforms to, whether it is well-formed, its number if valid, and the part of the range that lies in.
+
+    A value conforms if an induced expression covers it of which every text is a number.  The others are the candidates for
+    ill-formed values and checked one by one, so a common wrong spelling that earned an
+    expression of its own is found as surely as a rare one, and a rare right one is not called wrong.
+    """
+    joined = values.withColumn("shape", _shape(F.col("value"))).join(expressions.select("column_name", "shape", "expression", "numbers"), ["column_name", "shape"], "left")
+    conforms = F.coalesce("numbers", F.lit(False))
+    formed = F.when(F.col("value").isNull(), F.lit(None)).when(conforms, F.lit(True)).otherwise(F.col("value").rlike(rf"\A{NUMBER}\z"))
     low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
     for name, (a, b) in ranges.items():
         low, high = F.when(F.col("column_name") == name, F.lit(a)).otherwise(low), F.when(F.col("column_name") == name, F.lit(b)).otherwise(high)
-    number = F.when(F.col("well_formed"), F.col("value").try_cast("double"))
-    out = joined.withColumn("well_formed", formed).withColumn("number", number)
-    return out.withColumn("valid", F.when(F.col("well_formed"), F.col("number").between(low, high) & ~F.isnan("number"))).withColumn("conforms", F.col("expression").isNotNull() & F.col("well_formed"))
+    out = joined.withColumn("conforms", conforms).withColumn("well_formed", formed).withColumn("number", F.when(F.col("well_formed"), F.col("value").try_cast("double")))
+    out = out.withColumn("valid", F.when(F.col("well_formed"), F.coalesce(F.col("number").between(low, high) & ~F.isnan("number"), F.lit(False))))
+    share = (F.col("number") - low) / (high - low) * BUCKETS * BUCKETS
+    return out.withColumn("fine", F.when(F.col("valid"), F.floor(share).cast("int"))).withColumn("bucket", F.floor(F.col("fine") / BUCKETS).cast("int"))
 
 
-def load_statistics(judged: DataFrame) -> DataFrame:
-    """One row per load and column: rows, nulls, distinct values, nonconforming and invalid rows, range, valid rows."""
+def cells_of(judged: DataFrame) -> DataFrame:
+    """Rows, distinct values and extremes of each load, column, expression and bucket of the range: all that is added up of the values, in one pass."""
     n = F.col("n")
     some = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("bigint")
-    return judged.groupBy("load_id", "column_name").agg(
-        F.sum(n).alias("n_rows"),
-        some(F.col("absent")).alias("n_null"),
-        F.count_if(~F.col("absent")).alias("n_distinct"),
-        some(~F.col("absent") & ~F.col("conforms")).alias("n_nonconforming"),
-        some(~F.col("well_formed")).alias("n_ill_formed"),
-        some(F.col("well_formed") & ~F.col("valid")).alias("n_out_of_range"),
-        some(F.col("valid")).alias("n_valid"),
-        F.min(F.when(F.col("valid"), F.col("number"))).alias("min_valid"),
-        F.max(F.when(F.col("valid"), F.col("number"))).alias("max_valid"),
-    )
+    return judged.groupBy("load_id", "column_name", "expression", "bucket", F.col("value").isNull().alias("absent")).agg(
+        F.sum(n).cast("bigint").alias("n_rows"), F.count_if(F.col("value").isNotNull()).alias("n_distinct"), some(~F.col("conforms")).alias("n_nonconforming"), some(~F.col("well_formed")).alias("n_ill_formed"),
+        some(~F.col("valid")).alias("n_out_of_range"), some(F.col("valid")).alias("n_valid"), F.min(F.when(F.col("valid"), F.col("number"))).alias("min_valid"), F.max(F.when(F.col("valid"), F.col("number"))).alias("max_valid"),
+    )
+
+
+def load_statistics(cells: DataFrame) -> DataFrame:
+    """One row per load and column: rows, nulls, distinct values, nonconforming and invalid rows, range, valid rows."""
+    present = ~F.col("absent")
+    some = lambda c, cond=None: F.coalesce(F.sum(c if cond is None else F.when(cond, F.col(c))), F.lit(0)).cast("bigint")
+    return cells.groupBy("load_id", "column_name").agg(
+        some("n_rows").alias("n_rows"), some("n_rows", ~present).alias("n_null"), some("n_distinct").alias("n_distinct"), some("n_nonconforming", present).alias("n_nonconforming"), some("n_ill_formed").alias("n_ill_formed"),
+        some("n_out_of_range").alias("n_out_of_range"), some("n_valid").alias("n_valid"), F.min("min_valid").alias("min_valid"), F.max("max_valid").alias("max_valid"),
+    )
 
 
 def _pairs(loads: DataFrame) -> DataFrame:
     return loads.where(F.col("previous_load_id").isNotNull()).select("load_id", "previous_load_id").distinct()
 
 
-def distribution_shifts(judged: DataFrame, loads: DataFrame, ranges: Mapping[str, tuple[float, float]] = RANGES, buckets: int = 256) -> DataFrame:
-    """(load_id, column_name, shift): the largest difference of the shares of valid values <= x in a load and the one before.
-
-    Both loads' values lie on one line per load and column, cut by value into buckets, so that a
-    load with a third of all rows is summed in pieces.  Null if either load has no valid value.
-    """
+def _now_and_then(counts: DataFrame, loads: DataFrame, n: str) -> DataFrame:
+    """``counts`` of each load with a previous one and of that previous one, the rows' ``n`` as ``now`` or as ``then``."""
     zero = F.lit(0).cast("bigint")
     pairs = _pairs(loads)
-    valid = judged.where("valid").select("load_id", "column_name", "number", F.col("n").cast("bigint").alias("n"))
-    own = valid.join(pairs.select("load_id").distinct(), "load_id", "left_semi").select("load_id", "column_name", "number", F.col("n").alias("now"), zero.alias("then"))
-    before = valid.withColumnRenamed("load_id", "previous_load_id").join(pairs, "previous_load_id").select("load_id", "column_name", "number", zero.alias("now"), F.col("n").alias("then"))
-    line = own.unionByName(before)
-    part = F.lit(0)
-    for name, (a, b) in ranges.items():
-        part = F.when(F.col("column_name") == name, F.floor((F.col("number") - a) / (b - a) * buckets).cast("int")).otherwise(part)
-    summed = running_sums(line, ["load_id", "column_name"], part, "number", ["now", "then"])
-    # The totals are added up where the values are and again over the few rows that remain; shares are compared without rounding.
-    totals = line.groupBy("load_id", "column_name").agg(F.sum("now").alias("n_now"), F.sum("then").alias("n_then")).where((F.col("n_now") > 0) & (F.col("n_then") > 0))
-    big = lambda c: F.col(c).cast("decimal(18,0)")
-    gap = F.abs(big("run_now") * big("n_then") - big("run_then") * big("n_now"))
-    scale = big("n_now") * big("n_then")
+    others = [c for c in counts.columns if c not in ("load_id", n)]
+    own = counts.join(pairs.select("load_id").distinct(), "load_id", "left_semi").select("load_id", *others, F.col(n).alias("now"), zero.alias("then"))
+    return own.unionByName(counts.withColumnRenamed("load_id", "previous_load_id").join(pairs, "previous_load_id").select("load_id", *others, zero.alias("now"), F.col(n).alias("then")))
+
+
+def distribution_shifts(judged: DataFrame, cells: DataFrame, loads: DataFrame) -> DataFrame:
+    """(load_id, column_name, shift, shifted): the largest difference of the shares of valid values <= x in a load and the one before.
+
+    The differences at the borders of the range's buckets follow from the cells.  Inside a bucket the difference cannot leave
+    what its own rows allow, so values are summed up in order only in the buckets that could hold more than the best border;
+    those are cut again, so that no task holds more than a part of a bucket.  Null if either load has no valid value.
+    """
+    counts = cells.where("n_valid > 0").groupBy("load_id", "column_name", "bucket").agg(F.sum("n_valid").alias("n"))
+    lines = _now_and_then(counts, loads, "n").groupBy("load_id", "column_name", "bucket").agg(F.sum("now").alias("now"), F.sum("then").alias("then"))
+    whole = Window.partitionBy("load_id", "column_name")
+    upto = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    big = lambda c: c.cast("decimal(18,0)")
+    # One row per bucket of a load and column; shares are compared as whole numbers, without rounding.
+    sums = lines.select("*", F.sum("now").over(whole).alias("n_now"), F.sum("then").over(whole).alias("n_then"), F.sum("now").over(upto).alias("r_now"), F.sum("then").over(upto).alias("r_then")).where("n_now > 0 and n_then > 0")
+    gap = lambda now, then: big(now) * big(F.col("n_then")) - big(then) * big(F.col("n_now"))
+    before = gap(F.col("r_now") - F.col("now"), F.col("r_then") - F.col("then"))
+    most = F.greatest(before + big(F.col("now")) * big(F.col("n_then")), -before + big(F.col("then")) * big(F.col("n_now")))
+    sums = checkpointed(sums.withColumn("gap", F.abs(gap(F.col("r_now"), F.col("r_then")))).withColumn("most", most).withColumn("best", F.max("gap").over(whole)))
+    open_ = sums.where("most > best").select("load_id", "column_name", "bucket", "n_now", "n_then", (F.col("r_now") - F.col("now")).alias("b_now"), (F.col("r_then") - F.col("then")).alias("b_then"))
+    asked = open_.select("load_id", "column_name", "bucket").unionByName(open_.join(_pairs(loads), "load_id").select(F.col("previous_load_id").alias("load_id"), "column_name", "bucket")).distinct()
+    inside = judged.where("valid").join(asked, ["load_id", "column_name", "bucket"], "left_semi").groupBy("load_id", "column_name", "bucket", "fine", "number").agg(F.sum("n").alias("n"))
+    line = _now_and_then(inside, loads, "n").join(open_.select("load_id", "column_name", "bucket"), ["load_id", "column_name", "bucket"], "left_semi")
+    summed = running_sums(line, ["load_id", "column_name", "bucket"], F.col("fine"), "number", ["now", "then"])
+    exact = summed.join(open_, ["load_id", "column_name", "bucket"]).select("load_id", "column_name", "n_now", "n_then", F.abs(gap(F.col("b_now") + F.col("run_now"), F.col("b_then") + F.col("run_then"))).alias("gap"))
+    scale = big(F.col("n_now")) * big(F.col("n_then"))
     return (
-        summed.join(totals, ["load_id", "column_name"])
-        .groupBy("load_id", "column_name", "n_now", "n_then")
-        .agg(F.max(gap).alias("gap"))
+        sums.select("load_id", "column_name", "n_now", "n_then", "gap").unionByName(exact).groupBy("load_id", "column_name", "n_now", "n_then").agg(F.max("gap").alias("gap"))
         .select("load_id", "column_name", (F.col("gap").cast("double") / scale.cast("double")).alias("shift"), (F.col("gap") * 10 > scale * int(SHIFT * 10)).alias("shifted"))
-    )
+    )
 
 
-def coverage_changes(judged: DataFrame, loads: DataFrame) -> DataFrame:
-    """(load_id, column_name, coverage_change): the largest change of an expression's share of rows since the load before."""
-    shares = judged.where(~F.col("absent")).groupBy("load_id", "column_name", F.coalesce("expression", F.lit("")).alias("expression")).agg(F.sum("n").alias("n"))
-    totals = judged.where(~F.col("absent")).groupBy("load_id", "column_name").agg(F.sum("n").alias("total"))
-    now = shares.join(totals, ["load_id", "column_name"]).select("load_id", "column_name", "expression", (F.col("n") / F.col("total")).alias("share"))
-    pairs = _pairs(loads)
-    then = now.withColumnRenamed("load_id", "previous_load_id").join(pairs, "previous_load_id").select("load_id", "column_name", "expression", (-F.col("share")).alias("share"))
-    mine = now.join(pairs, "load_id", "left_semi")
-    change = mine.unionByName(then).groupBy("load_id", "column_name", "expression").agg(F.abs(F.sum("share")).alias("change"))
-    return change.groupBy("load_id", "column_name").agg(F.max("change").alias("coverage_change"))
+def coverage_changes(cells: DataFrame, loads: DataFrame) -> DataFrame:
+    """(load_id, column_name, coverage_change): the largest change of an expression's share of the non-null rows since the load before.
+
+    Null without such rows in the load or in the one before.
+    """
+    held = cells.where(~F.col("absent")).groupBy("load_id", "column_name", F.coalesce("expression", F.lit("")).alias("expression")).agg(F.sum("n_rows").alias("n"))
+    line = _now_and_then(held, loads, "n").groupBy("load_id", "column_name", "expression").agg(F.sum("now").alias("now"), F.sum("then").alias("then"))
+    totals = line.groupBy("load_id", "column_name").agg(F.sum("now").alias("n_now"), F.sum("then").alias("n_then")).where("n_now > 0 and n_then > 0")
+    change = F.max(F.abs(F.col("now") / F.col("n_now") - F.col("then") / F.col("n_then")))
+    return line.join(totals, ["load_id", "column_name"]).groupBy("load_id", "column_name").agg(change.alias("coverage_change"))
+
+
+def _judged(table: DataFrame, ranges: Mapping[str, tuple[float, float]], load: str) -> tuple[DataFrame, DataFrame]:
+    """(judged values, cells).  The distinct values are written once, as expressions, cells and shifts read them; so are the few rows of expressions and cells."""
+    values = checkpointed(distinct_values(table.where(F.col(load).isNotNull()), list(ranges), load))
+    judged = judged_values(values, checkpointed(induced_expressions(values)), ranges)
+    return judged, checkpointed(cells_of(judged))
 
 
 def load_profile(table: DataFrame, loads: DataFrame, ranges: Mapping[str, tuple[float, float]] = RANGES, load: str = "load_id") -> DataFrame:
@@ -156,12 +201,10 @@ def load_profile(table: DataFrame, loads: DataFrame, ranges: Mapping[str, tuple[
     and are left out.  A load that ``loads`` does not list, or whose previous load is
     null or has no rows, has null changes and raises neither ``nulls`` nor ``shift``.  Values that
     differ in spelling only (0.5, 0.50) are equal.  Infinite numbers are out of range.
-    Shares are compared as whole numbers, so a difference of just the limit is no issue.  The judged
-    values are written once, as every statistic reads them.
+    Shares are compared as whole numbers, so a difference of just the limit is no issue.
     """
-    values = distinct_values(table.where(F.col(load).isNotNull()), list(ranges), load)
-    judged = checkpointed(judged_values(values, ranges).select("load_id", "column_name", F.col("value").isNull().alias("absent"), "n", "expression", "well_formed", "number", "valid", "conforms"))
-    stats = load_statistics(judged)
+    judged, cells = _judged(table, ranges, load)
+    stats = load_statistics(cells)
     pairs = loads.select("load_id", "previous_load_id").dropDuplicates(["load_id"])
     before = stats.select(F.col("load_id").alias("previous_load_id"), "column_name", F.col("n_rows").alias("p_rows"), F.col("n_null").alias("p_null"))
     big = lambda c: F.col(c).cast("decimal(18,0)")
@@ -169,8 +212,8 @@ def load_profile(table: DataFrame, loads: DataFrame, ranges: Mapping[str, tuple[
     return (
         stats.join(pairs, "load_id", "left")
         .join(before, ["previous_load_id", "column_name"], "left")
-        .join(distribution_shifts(judged, loads, ranges), ["load_id", "column_name"], "left")
-        .join(coverage_changes(judged, loads), ["load_id", "column_name"], "left")
+        .join(distribution_shifts(judged, cells, loads), ["load_id", "column_name"], "left")
+        .join(coverage_changes(cells, loads), ["load_id", "column_name"], "left")
         .select(
             "load_id", "column_name", "n_rows", (F.col("n_null") / F.col("n_rows")).alias("null_share"), "n_distinct", "n_nonconforming", "n_ill_formed", "n_out_of_range", "n_valid", "min_valid", "max_valid",
             (F.col("n_null") / F.col("n_rows") - F.col("p_null") / F.col("p_rows")).alias("null_change"), "shift", "coverage_change",
@@ -187,17 +230,12 @@ def expression_profile(table: DataFrame, loads: DataFrame, ranges: Mapping[str,
     come under the empty one.  ``coverage_change`` is the largest change of an expression's share of
     the non-null rows; null without a previous load that has such rows, or without such rows of its own.
     """
-    values = distinct_values(table.where(F.col(load).isNotNull()), list(ranges), load)
-    judged = checkpointed(judged_values(values, ranges).select("load_id", "column_name", F.col("value").isNull().alias("absent"), "n", "expression", "well_formed", "number", "valid", "conforms"))
-    sums = judged.groupBy("load_id", "column_name").agg(F.sum(F.when(~F.col("absent") & ~F.col("conforms"), F.col("n")).otherwise(0)).cast("bigint").alias("n_nonconforming"), F.sum(F.when(~F.col("absent"), F.col("n"))).alias("present"))
-    spelt = judged.where(~F.col("absent")).groupBy("load_id", "column_name", F.coalesce("expression", F.lit("")).alias("expression")).agg(F.sum("n").alias("n_rows"))
+    _, cells = _judged(table, ranges, load)
+    spelt = cells.where(~F.col("absent")).groupBy("load_id", "column_name", F.coalesce("expression", F.lit("")).alias("expression")).agg(F.sum("n_rows").alias("n_rows"))
     listed = spelt.groupBy("load_id", "column_name").agg(F.array_sort(F.collect_list(F.struct((-F.col("n_rows")).alias("m"), "expression"))).alias("x"))
     listed = listed.select("load_id", "column_name", F.transform("x", lambda e: F.struct(e["expression"].alias("expression"), (-e["m"]).alias("n_rows"))).alias("expressions"))
-    have = sums.where(F.col("present") > 0)
-    pairs = _pairs(loads).dropDuplicates(["load_id"])
-    both = pairs.join(have.select("load_id", "column_name"), "load_id").join(have.select(F.col("load_id").alias("previous_load_id"), "column_name"), ["previous_load_id", "column_name"], "left_semi").select("load_id", "column_name")
-    changes = coverage_changes(judged, pairs).join(both, ["load_id", "column_name"], "left_semi")
-    return sums.drop("present").join(changes, ["load_id", "column_name"], "left").join(listed, ["load_id", "column_name"], "left").select("load_id", "column_name", "n_nonconforming", "coverage_change", "expressions")
+    sums = load_statistics(cells).select("load_id", "column_name", "n_nonconforming")
+    return sums.join(coverage_changes(cells, _pairs(loads).dropDuplicates(["load_id"])), ["load_id", "column_name"], "left").join(listed, ["load_id", "column_name"], "left").select("load_id", "column_name", "n_nonconforming", "coverage_change", "expressions")
 
 
 def load_issues(profile: DataFrame) -> DataFrame:

@@ -163,6 +163,31 @@ def test_induced_expressions_leave_rare_spellings_out(spark):
     assert re.fullmatch(got[0].expression, "0.1234")
 
 
+def test_every_value_matches_its_expression(spark):
+    """Signs, points, exponents and letters beside them; and what is rare or holds a stand-in has no expression."""
+    import re
+
+    odd = ["1.4e+04", "n-a104", "a+b", "-0.5", "1e-3", "(1,5)", "12 %", "x*y?", "[0]", "A1\\n", "é9", "²³", "0x1F", "9.9.9", "N/A", "+1", "1\ue0002"]
+    vals = [(1, c, re.sub("[0-9]", lambda m, i=i: str((int(m.group()) + i * 7919) % 10), v) + s, 1) for c in ("a", "b") for v in odd for i in range(40) for s in ("", str(i), "q" * (i % 3))]
+    vals += [(1, "b", w, 1) for w in ("kite", "lamp", "moon", "nest", "opal", "pike", "quay", "rose", "silk", "tide", "urge", "vine")]
+    df = spark.createDataFrame(vals, "load_id long, column_name string, value string, n long").distinct()
+    expressions = profile.induced_expressions(df)
+    joined = df.withColumn("shape", profile._shape(F.col("value"))).join(expressions, ["column_name", "shape"]).collect()
+    assert len(joined) > 1000 and {r.expression for r in joined} > {"[a-z]+"}
+    for r in joined:
+        assert re.fullmatch(r.expression, r.value), (r.expression, r.value)
+        assert not r.numbers or re.fullmatch(profile.NUMBER, r.value)
+        assert "\ue000" not in r.value
+
+
+def test_expressions_generalise_only_where_it_is_shorter(spark):
+    vals = [(1, "x", f"{i * 37 % 1000}.{i * 7919 % 10 ** (i % 7 + 1)}", 1) for i in range(60)] + [(1, "y", f"{i:04d}", 1) for i in range(500)]
+    got = {}
+    for r in profile.induced_expressions(spark.createDataFrame(vals, "load_id long, column_name string, value string, n long").distinct()).collect():
+        got.setdefault(r.column_name, set()).add(r.expression)
+    assert got["x"] == {r"[0-9]+\.[0-9]+"} and got["y"] == {"[0-9]" * 4}
+
+
 REPORTS = "report_id long, series_id long, date date, new_cases double, loaded_at timestamp, day string"
 SERIES = "series_id long, pathogen string, step_days int, start_date date, end_date date, total string"
 
