@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 BLANKS = " \t"
 #: Priority of the reasons, first wins.
 REASONS = ("quoting", "column_count", "blank_id", "invalid_date")
-#: Records that hold one of these are judged by the quoting rules themselves.
-SUSPICIOUS = r'["\x00-\x08\x0A-\x1F]'
+#: What the reader takes for white space though it is none here.
+CONTROLS = r"[\x00-\x08\x0A-\x1F]"
+#: Columns of the widest header that gets a reader's schema; records of wider sources are all classified as corrupt ones are.
+WIDEST = 512
+#: Closes every record that is read, so that what the reader leaves out is seen.
+END = "."
 #: Stands for a comma inside quotes while a record is cut; a code point that text never holds.
 ASIDE = "\ufdd0"
 CLOSES, OPENS, TURNS = r"\A[ \t]*(,|\z)", r"(\A|,)[ \t]*\z", r"(?s)\A[ \t]*,(.*,)?[ \t]*\z"
@@ -62,14 +66,15 @@ def headers(raw: DataFrame, id_column: str = "sequence_id", date_column: str = "
     )
 
 
-def judged_records(raw: DataFrame, id_column: str = "sequence_id", date_column: str = "collection_date", max_width: int = 64) -> DataFrame:
+def judged_records(raw: DataFrame, id_column: str = "sequence_id", date_column: str = "collection_date") -> DataFrame:
     """(source, line_number, record, names, fields, reason) of every record after line 1; a null reason loads.
 
-    Every record is read permissively as comma-separated text under an explicit all-string schema
-    of ``max_width`` columns, so that no record is lost whatever its width; the raw text stays
-    beside it.  Records on which that reading cannot be trusted (quotes, line breaks, as many
-    columns more than the schema) are read again by the quoting rules.  All are then
-    classified by quoting, number of columns against their source's line 1, blank id and date.
+    Every record meets its source's header and is read permissively under an explicit schema of string columns, as many as
+    the widest header has; records of narrower sources are filled up to it first.  So a record with
+    another number of columns than its header comes out of the reader as corrupt, with its raw text.  Those
+    are classified again by quoting and number of columns, and so are records of which the reader leaves a quote
+    in a field, as it forgives quotes out of place.  A record that it reads whole keeps the fields it read.
+    Blank ids and dates are then judged on the fields.
 
     White-space records are skipped.  Records with a null source, null text or null line number
     are no records and are skipped too.  A source without line 1 has no width: all its
@@ -77,21 +82,24 @@ def judged_records(raw: DataFrame, id_column: str = "sequence_id", date_column:
     come out twice.  A source with a third of all rows is split by Spark's skew join against
     its single header row.
     """
+    heads = headers(raw, id_column, date_column)
+    widest = heads.where(F.col("width") <= WIDEST).agg(F.max("width")).first()[0] or 1
     record = F.regexp_replace("raw_record", r"\r\z", "")
     body = raw.where((F.col("line_number") != 1) & F.col("source").isNotNull() & F.col("raw_record").isNotNull())
-    body = body.select("source", "line_number", "raw_record", record.alias("record")).where(~F.col("record").rlike(r"(?U)\A\s*\z"))
-
-    schema = ", ".join([*(f"c{i} string" for i in range(max_width)), "_corrupt string"])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
-    parsed = body.withColumn("_read", F.from_csv("record", schema, options))
-    # A record of another width than the schema's keeps its text as corrupt beside the columns it has.
-    width = F.length("record") - F.length(F.translate("record", ",", "")) + 1
-    columns = F.slice(F.array(*[F.coalesce(F.col(f"_read.c{i}"), F.lit("")) for i in range(max_width)]), F.lit(1), F.least(width, F.lit(max_width)).cast("int"))
-    # The reader trims the text that it keeps, so the raw one beside it is read again.
-    trusted = ~F.col("record").rlike(SUSPICIOUS) & (width <= max_width)
+    body = body.select("source", "line_number", record.alias("record")).where(~F.col("record").rlike(r"(?U)\A\s*\z")).join(heads, "source", "left")
+
+    schema = ", ".join([*(f"c{i} string" for i in range(widest)), "_end string", "_corrupt string"])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "quote": '"', "escape": '"', "maxColumns": str(2 * widest + 2)}
+    commas = F.length("record") - F.length(F.translate("record", ",", ""))
+    readable = (F.col("width") <= widest) & (commas <= widest) & ~F.col("record").rlike(CONTROLS)
+    filled = F.concat("record", F.repeat(F.lit(","), F.lit(widest) - F.col("width")), F.lit("," + END))
+    parsed = body.withColumn("_read", F.from_csv(F.when(readable, filled), schema, options))
+    columns = F.slice(F.transform(F.array(*[F.col(f"_read.c{i}") for i in range(widest)]), lambda x: F.coalesce(F.btrim(x, F.lit(BLANKS)), F.lit(""))), F.lit(1), F.least(F.col("width"), F.lit(widest)))
+    held = F.when(F.col("_read._corrupt").isNull() & (F.col("_read._end") == END), columns)
+    held = parsed.select("source", "line_number", "record", "names", "width", "id_at", "date_at", held.alias("_held"))
+    whole = F.coalesce(~F.contains(F.array_join("_held", ""), F.lit('"')), F.lit(False))
     good, again = _fields_by_quotes(F.col("record"))
-    read = parsed.select("source", "line_number", "record", F.when(trusted, F.lit(True)).otherwise(good).alias("_well_quoted"), F.when(trusted, columns).otherwise(again).alias("fields"))
-    joined = read.join(headers(raw, id_column, date_column), "source", "left")
+    joined = held.withColumn("_whole", whole).select("*", F.when(F.col("_whole"), F.lit(True)).otherwise(good).alias("_well_quoted"), F.when(F.col("_whole"), F.col("_held")).otherwise(again).alias("fields"))
     at = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.element_at("fields", F.greatest(F.col(c), F.lit(1)).cast("int")))
     day = F.coalesce(at("date_at"), F.lit(""))
     reason = (
