@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwise.operators.prefix import running_sums
-from strandwise.session import checkpointed
+from strandwise.session import broadcast_if_small, checkpointed
 
 #: An optional minus, digits, optionally a point and digits, optionally an exponent.
 NUMBER = r"-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?"
@@ -62,7 +62,7 @@ def induced_expressions(values: DataFrame) -> DataFrame:
 
     Costs depend on shapes only, so values are counted per shape first; nothing is ever gathered per column.
     """
-    shapes = (
+    shapes = checkpointed(
         values.where(F.col("value").isNotNull()).select("column_name", "value").distinct()
         .withColumn("shape", _shape(F.col("value"))).where(F.col("shape").isNotNull())
         .groupBy("column_name", "shape").agg(F.count("*").cast("double").alias("n"))
@@ -163,8 +163,8 @@ def distribution_shifts(judged: DataFrame, cells: DataFrame, loads: DataFrame) -
     most = F.greatest(before + big(F.col("now")) * big(F.col("n_then")), -before + big(F.col("then")) * big(F.col("n_now")))
     sums = checkpointed(sums.withColumn("gap", F.abs(gap(F.col("r_now"), F.col("r_then")))).withColumn("most", most).withColumn("best", F.max("gap").over(whole)))
     open_ = sums.where("most > best").select("load_id", "column_name", "bucket", "n_now", "n_then", (F.col("r_now") - F.col("now")).alias("b_now"), (F.col("r_then") - F.col("then")).alias("b_then"))
-    asked = open_.select("load_id", "column_name", "bucket").unionByName(open_.join(_pairs(loads), "load_id").select(F.col("previous_load_id").alias("load_id"), "column_name", "bucket")).distinct()
-    inside = judged.where("valid").join(asked, ["load_id", "column_name", "bucket"], "left_semi").groupBy("load_id", "column_name", "bucket", "fine", "number").agg(F.sum("n").alias("n"))
+    asked = checkpointed(open_.select("load_id", "column_name", "bucket").unionByName(open_.join(_pairs(loads), "load_id").select(F.col("previous_load_id").alias("load_id"), "column_name", "bucket")).distinct())
+    inside = judged.where("valid").join(broadcast_if_small(asked), ["load_id", "column_name", "bucket"], "left_semi").groupBy("load_id", "column_name", "bucket", "fine", "number").agg(F.sum("n").alias("n"))
     line = _now_and_then(inside, loads, "n").join(open_.select("load_id", "column_name", "bucket"), ["load_id", "column_name", "bucket"], "left_semi")
     summed = running_sums(line, ["load_id", "column_name", "bucket"], F.col("fine"), "number", ["now", "then"])
     exact = summed.join(open_, ["load_id", "column_name", "bucket"]).select("load_id", "column_name", "n_now", "n_then", F.abs(gap(F.col("b_now") + F.col("run_now"), F.col("b_then") + F.col("run_then"))).alias("gap"))

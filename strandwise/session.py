@@ -7,6 +7,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int | str = 8) -> SparkSession:
@@ -30,19 +31,26 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | str = 8) -> Sp
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` in the folder all executors share.
 
-    The folder is the cluster's ``spark.checkpoint.dir``.  Only where that is unset, as in
-    tests on one machine, a scratch folder is used.
+    The folder is the cluster's ``spark.checkpoint.dir``.  Only a local session without one, as in tests, uses a
+    scratch folder; elsewhere its lack is an error, as executors share no scratch folder.
     """
     sc = df.sparkSession.sparkContext
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(folder)
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if sc.getCheckpointDir() is None:
+        if not folder and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """``df``, marked to be broadcast only if it has ``most`` rows of a few plain columns or fewer; counting them reads it once.
+
+    Larger ones are joined as Spark sees fit.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the session's Python workers, once per context."""
     sc = spark.sparkContext
