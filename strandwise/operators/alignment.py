@@ -71,8 +71,15 @@ def site_summary(alignment: DataFrame) -> DataFrame:
     return totals.join(blocks, "dataset_id", "left").withColumn("longest_block", F.coalesce("longest_block", F.lit(0)))
 
 
-def trimmed(alignment: DataFrame, minimum: int = 1) -> DataFrame:
-    """The alignment without the columns in which any record has a gap; datasets with fewer than ``minimum`` such columns are left out."""
-    keep = site_profile(alignment).where("n_gaps = 0").groupBy("dataset_id").agg(F.array_sort(F.collect_list("pos")).alias("kept")).where(F.size("kept") >= minimum)
-    chars = F.transform("kept", lambda p: F.substring(F.col("seq"), p + 1, F.lit(1)))
+def trimmed(alignment: DataFrame, minimum: int = 100) -> DataFrame:
+    """The alignment without the columns in which any record has a gap; datasets with fewer than ``minimum`` columns left are left out."""
+    free = F.transform(F.array_sort(F.collect_list(F.struct("pos", (F.col("n_gaps") == 0).alias("free")))), lambda x: x["free"])
+    keep = site_profile(alignment).groupBy("dataset_id").agg(free.alias("free"), F.count_if(F.col("n_gaps") == 0).alias("n_free")).where(F.col("n_free") >= minimum)
+    chars = F.filter(F.zip_with(N.letters(F.col("seq")), "free", lambda c, k: F.when(k, c)), lambda c: c.isNotNull())
     return alignment.join(keep, "dataset_id").select("dataset_id", "seq_ord", "sequence_id", F.array_join(chars, "").alias("seq"))
+
+
+def dataset_summary(alignment: DataFrame, dated: DataFrame) -> DataFrame:
+    """(dataset_id, n_sequences, length, reference_id, n_dated, first_date, last_date)."""
+    dates = dated.groupBy("dataset_id").agg(F.count("collected").alias("n_dated"), F.min("collected").alias("first_date"), F.max("collected").alias("last_date"))
+    return alignment_summary(alignment).select("dataset_id", "n_sequences", "length", "reference_id").join(dates, "dataset_id")

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from strandwise.functions import genetic_code
 from strandwise.functions import nucleotides as N
+from strandwise.functions.statistics import two_tailed
 from strandwise.operators.alignment import queries_beside_reference
 
 
+#: Codons of amino acids that have no other.
+SINGLE = ("ATG", "TGG")
+
+
 def codon_usage(alignment: DataFrame) -> DataFrame:
     """(dataset_id, codon, amino_acid, n, weight): counts in frame 1, and each relative to the commonest synonym, at least 1e-4.
 
@@ -21,11 +26,31 @@ def codon_usage(alignment: DataFrame) -> DataFrame:
     return counted.withColumn("weight", F.greatest(F.col("n") / top, F.lit(1e-4)))
 
 
+#: Fixed value: the least share of a base at a codon position.
+FLOOR = 1e-8
+
+
 def codon_positions(alignment: DataFrame) -> DataFrame:
-    """(dataset_id, codon_position, base, share): base frequencies by position in the codon (F3x4), at least 1e-8."""
+    """(dataset_id, codon_position, base, share): base frequencies by position in the codon (F3x4), at least 1e-8 before they are scaled to sum to 1.
+
+    All four bases of all three positions come out.  Records shorter than a codon count for nothing.
+    """
     letters = alignment.select("dataset_id", F.posexplode(N.letters(F.col("seq"))).alias("pos", "base"), F.length("seq").alias("len")).where(F.col("base").isin(*N.BASES) & (F.col("pos") < F.col("len") - F.col("len") % 3))
-    counted = letters.groupBy("dataset_id", (F.col("pos") % 3 + 1).alias("codon_position"), "base").agg(F.count("*").alias("n"))
-    return counted.withColumn("share", F.greatest(F.col("n") / F.sum("n").over(Window.partitionBy("dataset_id", "codon_position")), F.lit(1e-8))).drop("n")
+    counts = [F.count_if(F.col("base") == b).alias(b) for b in N.BASES]
+    wide = letters.groupBy("dataset_id", (F.col("pos") % 3 + 1).alias("codon_position")).agg(*counts)
+    total = F.col("A") + F.col("C") + F.col("G") + F.col("T")
+    least = [F.greatest(F.col(b) / total, F.lit(FLOOR)).alias(b) for b in N.BASES]
+    scaled = wide.select("dataset_id", "codon_position", *least).withColumn("total", total)
+    return scaled.select("dataset_id", "codon_position", F.explode(F.array(*[F.struct(F.lit(b).alias("base"), (F.col(b) / F.col("total")).alias("share")) for b in N.BASES])).alias("x")).select("dataset_id", "codon_position", "x.*")
+
+
+def codon_frequencies(positions: DataFrame) -> DataFrame:
+    """(dataset_id, codon, share): of the 61 codons without stops, the product of their bases' shares by position, scaled to sum to 1."""
+    wide = positions.groupBy("dataset_id").agg(*[F.max(F.when((F.col("codon_position") == i) & (F.col("base") == b), F.col("share"))).alias(f"{b}{i}") for i in (1, 2, 3) for b in N.BASES])
+    at = lambda i: F.when(F.substring("codon", i, 1) == "A", F.col(f"A{i}")).when(F.substring("codon", i, 1) == "C", F.col(f"C{i}")).when(F.substring("codon", i, 1) == "G", F.col(f"G{i}")).otherwise(F.col(f"T{i}"))
+    listed = wide.withColumn("codon", F.explode(F.lit(genetic_code.SENSE))).withColumn("p", at(1) * at(2) * at(3))
+    totals = listed.groupBy("dataset_id").agg(F.sum("p").alias("total"))
+    return listed.join(totals, "dataset_id").select("dataset_id", "codon", (F.col("p") / F.col("total")).alias("share"))
 
 
 def codon_adaptation(alignment: DataFrame, usage: DataFrame) -> DataFrame:
@@ -33,24 +58,28 @@ def codon_adaptation(alignment: DataFrame, usage: DataFrame) -> DataFrame:
 
     ``usage`` has (dataset_id, codon, weight), e.g. of ``codon_usage``, or of a host's table repeated for each dataset.
     """
-    single = ("ATG", "TGG")
-    rows = queries_beside_reference(alignment).select("dataset_id", "seq_ord", "sequence_id", F.explode(N.codons(F.col("seq"))).alias("codon")).withColumn("codon", F.translate("codon", "U", "T")).where(~F.col("codon").isin(*single))
+    rows = queries_beside_reference(alignment).select("dataset_id", "seq_ord", "sequence_id", F.explode(N.codons(F.col("seq"))).alias("codon")).withColumn("codon", F.translate("codon", "U", "T")).where(~F.col("codon").isin(*SINGLE))
     return rows.join(usage.select("dataset_id", "codon", "weight"), ["dataset_id", "codon"]).groupBy("dataset_id", "seq_ord", "sequence_id").agg(F.exp(F.avg(F.log("weight"))).alias("cai"), F.count("*").alias("n_codons"))
 
 
-def selection_counts(alignment: DataFrame) -> DataFrame:
-    """Per query: sites and differences, synonymous and not, by counting against the reference in frame 1.
+def counted_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per ``keys`` of rows with ``ref`` and ``seq``: sites and differences, synonymous and not, by counting in frame 1.
 
     Codon pairs with a stop or other than four bases are left out.  The 61 x 61 possible pairs are a table made by rule.
     """
-    pairs = F.broadcast(genetic_code.pair_table(alignment.sparkSession))  # 3721 rows
+    pairs = F.broadcast(genetic_code.pair_table(rows.sparkSession))  # 3721 rows
     both = F.arrays_zip(N.codons(F.col("ref")).alias("ref_codon"), N.codons(F.col("seq")).alias("query_codon"))
-    rows = queries_beside_reference(alignment).select("dataset_id", "seq_ord", "sequence_id", F.explode(both).alias("c")).select("dataset_id", "seq_ord", "sequence_id", F.col("c.ref_codon").alias("ref_codon"), F.col("c.query_codon").alias("query_codon"))
-    return rows.join(pairs, ["ref_codon", "query_codon"]).groupBy("dataset_id", "seq_ord", "sequence_id").agg(
+    long = rows.select(*keys, F.explode(both).alias("c")).select(*keys, F.col("c.ref_codon").alias("ref_codon"), F.col("c.query_codon").alias("query_codon"))
+    return long.join(pairs, ["ref_codon", "query_codon"]).groupBy(*keys).agg(
         F.count("*").alias("n_codons"), F.sum("s_sites").alias("s_sites"), (F.count("*") * 3 - F.sum("s_sites")).alias("n_sites"), F.sum("s_diff").alias("s_diff"), F.sum("n_diff").alias("n_diff")
     )
 
 
+def selection_counts(alignment: DataFrame) -> DataFrame:
+    """``counted_pairs`` of each query against its reference."""
+    return counted_pairs(queries_beside_reference(alignment), ["dataset_id", "seq_ord", "sequence_id"])
+
+
 def _corrected(counts: DataFrame) -> DataFrame:
     safe = lambda n, d: F.when(F.col(d) > 0, F.col(n) / F.col(d))
     ps = F.when((F.col("s_diff") == 0) & (F.col("s_sites") > 0), 0.5 / (F.col("s_sites") + 1)).otherwise(safe("s_diff", "s_sites"))
@@ -81,6 +110,11 @@ def selection(counts: DataFrame) -> DataFrame:
     return c.withColumn("verdict", verdict)
 
 
+def with_p_value(selected: DataFrame) -> DataFrame:
+    """``selected`` with the two-tailed p of its Z test; null where the test is inconclusive."""
+    return selected.withColumn("p_value", two_tailed(F.col("z")))
+
+
 def pooled_selection(counts: DataFrame) -> DataFrame:
     """Per dataset: one ratio from the sums over its queries."""
     return selection(counts.groupBy("dataset_id").agg(*[F.sum(x).alias(x) for x in ("n_codons", "s_sites", "n_sites", "s_diff", "n_diff")]))
@@ -99,18 +133,19 @@ def selection_windows(alignment: DataFrame, size: int = 30, step: int = 10) -> D
     return selection(summed.withColumn("n_sites", F.col("n_codons") * 3 - F.col("s_sites")))
 
 
-def open_reading_frames(records: DataFrame, minimum: int = 5) -> DataFrame:
+def open_reading_frames(records: DataFrame, minimum: int = 30, gapless: bool = True) -> DataFrame:
     """(dataset_id, sequence_id, strand, frame, start, end, codons): the first ATG of each stretch between stops, to the stop, in six frames.
 
-    ``minimum`` counts codons with the stop.  Positions are 1-based on the given strand of the record, ends included.
+    ``minimum`` counts codons with the stop.  Positions are 1-based on the given strand of the record, ends included.  Gaps are taken
+    out first if ``gapless``; else they stay, codons with one being neither starts nor stops, and positions are alignment columns.
     """
     strands = F.array(F.struct(F.lit("+").alias("strand"), F.col("bare").alias("s")), F.struct(F.lit("-").alias("strand"), N.reverse_complement(F.col("bare")).alias("s")))
-    rows = records.select("dataset_id", "sequence_id", F.regexp_replace("seq", r"[-.?]", "").alias("bare")).select("dataset_id", "sequence_id", F.length("bare").alias("len"), F.explode(strands).alias("x")).select("dataset_id", "sequence_id", "len", "x.*")
+    rows = records.select("dataset_id", "sequence_id", (F.regexp_replace("seq", r"[-.?]", "") if gapless else F.col("seq")).alias("bare")).select("dataset_id", "sequence_id", F.length("bare").alias("len"), F.explode(strands).alias("x")).select("dataset_id", "sequence_id", "len", "x.*")
     framed = rows.withColumn("frame", F.explode(F.array(*map(F.lit, range(3))))).withColumn("read", F.translate(F.expr("substring(s, frame + 1)"), "U", "T")).withColumn("c", N.codons(F.col("read")))
     stops = F.filter(F.transform("c", lambda x, i: F.when(x.isin("TAA", "TAG", "TGA"), i)), lambda i: i.isNotNull())
     starts = F.filter(F.transform("c", lambda x, i: F.when(x == "ATG", i)), lambda i: i.isNotNull())
-    found = framed.withColumn("stops", stops).withColumn("starts", starts).withColumn("k", F.explode(F.sequence(F.lit(0), F.size("stops")))).where(F.col("k") < F.size("stops"))
-    found = found.withColumn("stop", F.element_at("stops", F.col("k") + 1)).withColumn("after", F.when(F.col("k") > 0, F.element_at("stops", F.greatest(F.col("k"), F.lit(1)))).otherwise(-1))
+    found = framed.withColumn("stops", stops).withColumn("starts", starts).select("*", F.posexplode("stops").alias("k", "stop"))
+    found = found.withColumn("after", F.coalesce(F.get("stops", F.col("k") - 1), F.lit(-1)))
     found = found.withColumn("first", F.array_min(F.filter("starts", lambda i: (i > F.col("after")) & (i < F.col("stop"))))).where(F.col("stop") - F.col("first") + 1 >= minimum)
     a, b = F.col("frame") + F.col("first") * 3 + 1, F.col("frame") + F.col("stop") * 3 + 3
     plus = F.col("strand") == "+"

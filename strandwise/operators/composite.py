@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.functions.bands import COMPARABLE, RANGES, WEIGHTS, normalised
+from strandwise.functions.bands import COMPARABLE, MOST_DNA_RATE, RANGES, WEIGHTS, normalised
 
 
 #: Share of date shuffles from which a clock is by chance.
@@ -69,24 +69,40 @@ def preferred_clock(pairwise: DataFrame, tree: DataFrame) -> DataFrame:
 def gate(indices: DataFrame, evidence: DataFrame) -> DataFrame:
     """``indices`` with the reason why one is kept out of the composite, null if it is not.
 
-    ``evidence`` has one row per dataset: gap_fraction, burden_share (mean burden over length), r2, mu, omega, verdict, and p_value of the date shuffles if there
-    were any; null evidence excludes nothing.
+    ``evidence`` has one row per dataset: gap_fraction, burden_share (mean burden over length), r2, mu, omega, verdict, p_value of the date shuffles if there
+    were any, and genome (``DNA`` or other) if it is known; null evidence excludes nothing.
     The first reason that applies counts.
     """
     poor = (F.col("gap_fraction") >= 0.15) | (F.col("burden_share") >= 0.15)
     by_alignment = F.col("key").isin("MB", "GD", "dN/dS", "pi", "mu")
     is_mu = F.col("key") == "mu"
     by_chance = F.col("p_value") >= MOST_P if "p_value" in evidence.columns else F.lit(False)
+    too_fast = (F.col("genome") == "DNA") & (F.col("mu") > MOST_DNA_RATE) if "genome" in evidence.columns else F.lit(False)
     reason = (
         F.when(by_alignment & poor, "alignment")
         .when(is_mu & by_chance, "dates no better than shuffled")
         .when(is_mu & (F.col("mu") <= 0), "rate not positive")
         .when(is_mu & (F.col("r2") < 0.30), "weak clock signal")
+        .when(is_mu & too_fast, "rate implausible for a DNA genome")
         .when((F.col("key") == "dN/dS") & (F.col("omega") > 1) & (F.col("verdict") != "positive"), "selection not significant")
     )
     return indices.join(evidence, "dataset_id", "left").select(indices["dataset_id"], "key", "value", reason.alias("excluded"))
 
 
+def exclusions(gated: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
+    """(dataset_id, cause, keys): the weighted indices that the composite lacks, by cause: excluded by the gate, or ``not computed``."""
+    have = gated.where(F.col("value").isNotNull() & ~F.isnan("value")).select("dataset_id", "key", "excluded")
+    listed = gated.select("dataset_id").distinct().select("dataset_id", F.explode(F.lit([k for k, w in weights.items() if w > 0])).alias("key"))
+    lacking = listed.join(have.where("excluded is null"), ["dataset_id", "key"], "left_anti").join(have, ["dataset_id", "key"], "left")
+    return lacking.groupBy("dataset_id", F.coalesce("excluded", F.lit("not computed")).alias("cause")).agg(F.array_sort(F.collect_list("key")).alias("keys"))
+
+
+def fit_error(pairs: DataFrame, keys: list[str], score: str, target: str) -> DataFrame:
+    """Per ``keys``: pairs with both values, their sum of squared differences and the root of its mean."""
+    gap = F.col(score) - F.col(target)
+    return pairs.where(gap.isNotNull() & ~F.isnan(gap)).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(gap * gap).alias("sse"), F.sqrt(F.avg(gap * gap)).alias("rmse"))
+
+
 def beta_genomic(parts: DataFrame, beta0: float = 1.0, scale: float = 2.0) -> DataFrame:
     """Per dataset: beta0 (1 + scale * score without Re)."""
     others = parts.where("key <> 'Re'")

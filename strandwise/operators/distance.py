@@ -1,15 +1,13 @@
-"""Distances, diversity, mutation burden and base composition."""
+"""Distances, mutation burden and base composition."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.functions import nucleotides as N
+from strandwise.functions.statistics import hypergeometric_tail
 from strandwise.operators.alignment import queries_beside_reference
-from strandwise.session import ship_package
 
 
 def genetic_distance(alignment: DataFrame) -> DataFrame:
@@ -37,12 +35,14 @@ def gc_content(alignment: DataFrame) -> DataFrame:
     return queries_beside_reference(alignment).select("dataset_id", "seq_ord", "sequence_id", percent("seq").alias("gc"), F.abs(percent("seq") - percent("ref")).alias("gc_deviation"))
 
 
-def mutation_signatures(alignment: DataFrame) -> DataFrame:
-    """Per dataset: C>T after T, other C>T, A>G after T or A, other A>G, by the reference base before; and the sites of each context."""
-    rows = queries_beside_reference(alignment).select("dataset_id", N.letters(F.col("ref")).alias("r"), N.letters(F.col("seq")).alias("q"))
-    at = F.filter(F.transform("r", lambda x, i: F.struct(F.when(i > 0, F.element_at("r", F.greatest(i, F.lit(1)))).alias("before"), x.alias("r"), F.element_at("q", i + 1).alias("q"))), lambda s: s["before"].isin(*N.BASES) & s["r"].isin("A", "C") & s["q"].isin(*N.BASES))
-    long = rows.select("dataset_id", F.explode(at).alias("s")).select("dataset_id", "s.*")
-    return long.groupBy("dataset_id").agg(
+def context_counts(alignment: DataFrame, keys: list[str]) -> DataFrame:
+    """Per ``keys``: sites and mutations C>T after T and after others, A>G after T or A and after others, by the reference base before."""
+    letters = queries_beside_reference(alignment).select(*keys, N.letters(F.col("ref")).alias("r"), N.letters(F.col("seq")).alias("q"))
+    # Each column beside the reference base before it; the first has none.
+    before = F.concat(F.array(F.lit("")), F.slice("r", F.lit(1), F.greatest(F.size("r") - 1, F.lit(0))))
+    at = F.filter(F.arrays_zip(before.alias("before"), F.col("r").alias("r"), F.col("q").alias("q")), lambda s: s["before"].isin(*N.BASES) & s["r"].isin("A", "C") & s["q"].isin(*N.BASES))
+    long = letters.select(*keys, F.explode(at).alias("s")).select(*keys, F.col("s.before").alias("before"), F.col("s.r").alias("r"), F.col("s.q").alias("q"))
+    return long.groupBy(*keys).agg(
         F.count_if((F.col("r") == "C") & (F.col("before") == "T")).alias("c_after_t"), F.count_if((F.col("r") == "C") & (F.col("before") == "T") & (F.col("q") == "T")).alias("ct_after_t"),
         F.count_if(F.col("r") == "C").alias("c_sites"), F.count_if((F.col("r") == "C") & (F.col("q") == "T")).alias("ct_sites"),
         F.count_if((F.col("r") == "A") & F.col("before").isin("T", "A")).alias("a_after_ta"), F.count_if((F.col("r") == "A") & F.col("before").isin("T", "A") & (F.col("q") == "G")).alias("ag_after_ta"),
@@ -50,41 +50,54 @@ def mutation_signatures(alignment: DataFrame) -> DataFrame:
     )
 
 
-def nucleotide_diversity(alignment: DataFrame) -> DataFrame:
-    """(dataset_id, n_pairs, pi): the mean over pairs of records of their share of different bases, of pairs with a common column.
+def mutation_signatures(alignment: DataFrame) -> DataFrame:
+    """``context_counts`` of each dataset."""
+    return context_counts(alignment, ["dataset_id"])
+
+
+#: Sites that either context needs, and the level of the test.
+LEAST_SITES, SIGNIFICANCE = 10, 0.05
 
-    Records that lack a base in the same columns form one class.  Of two classes the number of
-    comparable columns is one number, and their pairs' differences follow from the classes' base counts by
-    column.  So no pair of records is ever made: a dataset comes to its task as one row of counts per class.
+
+def signature_tests(counts: DataFrame) -> DataFrame:
+    """``context_counts`` as one row per key and signature (``ct`` or ``ag``): hits and sites in the context and elsewhere, odds ratio, one-sided p, significant.
+
+    Fisher's exact test of more hits in the context.  Odds get half a hit in every cell where one is empty.  Fewer than 10
+    sites in either context are inconclusive: null odds, p and verdict.
     """
-    ship_package(alignment.sparkSession)
-    mask = F.regexp_replace(F.regexp_replace("seq", "[ACGT]", "1"), "[^1]", "0")
-    onehot = F.flatten(F.transform(N.letters(F.col("seq")), lambda c: F.array(*[(c == b).cast("int") for b in N.BASES])))
-    counted = (
-        alignment.select("dataset_id", mask.alias("mask"), F.posexplode(onehot).alias("at", "x"))
-        .groupBy("dataset_id", "mask", "at").agg(F.sum("x").alias("n"))
-        .groupBy("dataset_id", "mask").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("c"))
-        .select("dataset_id", "mask", F.transform("c", lambda s: s["n"].cast("double")).alias("counts"))
-    )
-    sizes = alignment.groupBy("dataset_id", mask.alias("mask")).agg(F.count("*").alias("n"))
-    return counted.join(sizes, ["dataset_id", "mask"]).groupBy("dataset_id").applyInPandas(_diversity, "dataset_id string, n_pairs long, pi double")
-
-
-def _diversity(classes: pd.DataFrame) -> pd.DataFrame:
-    counts, n = np.stack(classes["counts"].to_numpy()), classes["n"].to_numpy(np.float64)
-    valid = np.array([[c == "1" for c in m] for m in classes["mask"]], np.float64)
-    total, pairs = 0.0, 0.0
-    for start in range(0, len(n), 256):
-        part = slice(start, start + 256)
-        comparable = valid[part] @ valid.T
-        same = counts[part] @ counts.T
-        of = np.outer(n[part], n)
-        own = np.arange(len(n))[part]
-        rows = np.arange(len(own))
-        # Within a class, a record is no pair with itself.
-        same[rows, own] -= n[own] * comparable[rows, own]
-        of[rows, own] -= n[own]
-        ok = comparable > 0
-        total += float(((of * comparable - same)[ok] / comparable[ok]).sum()) / 2
-        pairs += float(of[ok].sum()) / 2
-    return pd.DataFrame({"dataset_id": classes["dataset_id"].iloc[:1], "n_pairs": [round(pairs)], "pi": [total / pairs if pairs else None]}).astype({"pi": "float64"})
+    keys = [c for c in counts.columns if c not in ("c_after_t", "ct_after_t", "c_sites", "ct_sites", "a_after_ta", "ag_after_ta", "a_sites", "ag_sites")]
+    one = lambda name, sites, hits, total, all_hits: F.struct(F.lit(name).alias("signature"), F.col(hits).alias("a"), F.col(sites).alias("n"), (F.col(all_hits) - F.col(hits)).alias("c"), (F.col(total) - F.col(sites)).alias("m"))
+    rows = counts.select(*keys, F.explode(F.array(one("ct", "c_after_t", "ct_after_t", "c_sites", "ct_sites"), one("ag", "a_after_ta", "ag_after_ta", "a_sites", "ag_sites"))).alias("x")).select(*keys, "x.*")
+    a, b, c, d = F.col("a"), F.col("n") - F.col("a"), F.col("c"), F.col("m") - F.col("c")
+    half = F.when((a == 0) | (b == 0) | (c == 0) | (d == 0), 0.5).otherwise(0.0)
+    fit = (F.col("n") >= LEAST_SITES) & (F.col("m") >= LEAST_SITES)
+    mixed = (a + c > 0) & (b + d > 0)
+    p = F.when(mixed, hypergeometric_tail(a, F.col("n"), a + c, F.col("n") + F.col("m"))).otherwise(1.0)
+    tested = rows.withColumn("odds_ratio", F.when(fit, (a + half) * (d + half) / ((b + half) * (c + half)))).withColumn("p_value", F.when(fit, p))
+    return tested.select(*keys, "signature", F.col("a").alias("hits"), F.col("n").alias("sites"), F.col("c").alias("other_hits"), F.col("m").alias("other_sites"), "odds_ratio", "p_value", ((F.col("p_value") < SIGNIFICANCE) & (F.col("odds_ratio") > 1)).alias("significant"))
+
+
+def substitution_counts(sites: DataFrame) -> DataFrame:
+    """(dataset_id, a, b, n_pairs): over all pairs of records and columns, how often bases a <= b meet, from the counts of ``site_counts``."""
+    bases = sites.where(F.col("base").isin(*N.BASES))
+    wide = bases.groupBy("dataset_id", "pos").agg(*[F.coalesce(F.sum(F.when(F.col("base") == b, F.col("n"))), F.lit(0)).alias(b) for b in N.BASES])
+    pairs = [(x, y) for i, x in enumerate(N.BASES) for y in N.BASES[i:]]
+    each = F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), (F.col(x) * (F.col(x) - 1) / 2 if x == y else F.col(x) * F.col(y)).cast("bigint").alias("n")) for x, y in pairs])
+    return wide.select("dataset_id", F.explode(each).alias("x")).groupBy("dataset_id", "x.a", "x.b").agg(F.sum("x.n").alias("n_pairs"))
+
+
+def base_composition(sites: DataFrame, pseudo: float = 0.5) -> DataFrame:
+    """(dataset_id, base, share): base frequencies over all records, each base counted ``pseudo`` more."""
+    wide = sites.groupBy("dataset_id").agg(*[F.coalesce(F.sum(F.when(F.col("base") == b, F.col("n"))), F.lit(0)).alias(b) for b in N.BASES])
+    total = F.col("A") + F.col("C") + F.col("G") + F.col("T") + 4 * pseudo
+    return wide.select("dataset_id", F.explode(F.array(*[F.struct(F.lit(b).alias("base"), ((F.col(b) + pseudo) / total).alias("share")) for b in N.BASES])).alias("x")).select("dataset_id", "x.*")
+
+
+#: Fixed value: weeks of a year.
+WEEKS = 52.1775
+
+
+def outbreak_age(burden: DataFrame, clock: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(dataset_id, weeks): the time that the mean burden takes at the clock's rate over the alignment's length; null without a positive rate and length."""
+    both = burden.groupBy("dataset_id").agg(F.avg("burden").alias("burden")).join(clock.select("dataset_id", "mu"), "dataset_id").join(lengths.select("dataset_id", "length"), "dataset_id")
+    return both.select("dataset_id", F.when((F.col("mu") > 0) & (F.col("length") > 0), F.col("burden") / (F.col("mu") * F.col("length")) * WEEKS).alias("weeks"))

@@ -40,6 +40,15 @@ def reproduction_number(reports: DataFrame, spans: DataFrame) -> DataFrame:
     return lit.select("series_id", "day", "nth", "infections", "pressure", ((SHAPE + F.sum("infections").over(week)) / (RATE + F.sum("pressure").over(week))).alias("re")).where(F.col("nth") > HORIZON + WINDOW - 1).drop("nth")
 
 
+def growth_reproduction(rate: Column, mean: float = MEAN, deviation: float = DEVIATION) -> Column:
+    """The reproduction number of exponential growth at ``rate`` a day: 1 over the serial interval's mean of exp(-rate u) (Euler and Lotka)."""
+    weights = serial_interval(mean, deviation, max(HORIZON, math.ceil(mean + 6 * deviation)))
+    total = F.lit(0.0)
+    for u, w in enumerate(weights, 1):
+        total = total + F.exp(-rate * u) * w
+    return 1 / total
+
+
 def latest_reproduction_number(estimates: DataFrame) -> DataFrame:
     return estimates.groupBy("series_id").agg(F.max("day").alias("day"), F.max_by("re", "day").alias("re"))
 

@@ -1,12 +1,15 @@
-"""Trees and tests that need a whole alignment: one task for each, on data reduced before."""
+"""Recombination and clock tests by shuffles, and clocks on the trees of small datasets."""
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwise.functions import nucleotides as N
@@ -14,53 +17,92 @@ from strandwise.operators.alignment import site_profile
 from strandwise.session import ship_package
 
 #: Columns within which sites are compared, permutations, most taxa of a tree, date shuffles.
-REACH, PERMUTATIONS, MOST_TAXA, SHUFFLES = 100, 1000, 300, 100
+REACH, PERMUTATIONS, MOST_TAXA, SHUFFLES, MOST_SITES = 100, 1000, 300, 100, 1500
+#: Sites whose bits are joined in one task, parts of the permutations, points that dates are shuffled among, bytes of bits that a task holds.
+STRETCH, SHUFFLE_PARTS, SHUFFLE_BLOCK, HELD_BYTES = 250, 10, 20_000, 64 << 20
 
 
-def recombination(alignment: DataFrame) -> DataFrame:
+def recombination(alignment: DataFrame, permutations: int = PERMUTATIONS, most_sites: int = MOST_SITES) -> DataFrame:
     """(dataset_id, n_sites, windowed, overall, p_value, ri): incompatible pairs of informative sites, near ones against all.
 
     Two sites are incompatible if all four combinations of their two bases occur.  Under recombination near
     sites are less so than others; p is the share of shuffles of the sites with no larger mean of near pairs.  ri is
-    the relative shortfall if p < 0.05, else 0; null with fewer than four informative sites.
+    the relative shortfall if p < 0.05, else 0; null with fewer than four informative sites.  Of more than ``most_sites``
+    informative sites so many are drawn by a hash of their place, as the test needs no more.
 
-    Records come to their dataset's task as distinct strings of the bases at its informative sites, whatever their number.
+    Each task notes which combinations its records hold, a bit for each pair of sites; the bits of a stretch of sites are
+    joined in a task of its own, and each part of the shuffles is one task, so neither records nor shuffles of a dataset come together.
     """
     ship_package(alignment.sparkSession)
-    sites = site_profile(alignment).where("informative").groupBy("dataset_id").agg(F.array_sort(F.collect_list("pos")).alias("sites"))
-    kept = alignment.join(sites, "dataset_id").select("dataset_id", "sites", F.array_join(F.transform("sites", lambda p: F.substring(F.col("seq"), p + 1, F.lit(1))), "").alias("bases")).distinct()
-    return kept.groupBy("dataset_id").applyInPandas(_phi, "dataset_id string, n_sites long, windowed double, overall double, p_value double, ri double")
-
-
-def incompatible(bases: list[str]) -> np.ndarray:
-    """Which pairs of two-base sites show all four combinations."""
-    x = np.array([list(b) for b in bases])
-    first, known = np.zeros(x.shape), np.isin(x, list(N.BASES))
-    for j in range(x.shape[1]):
-        first[:, j] = x[:, j] == min(set(x[known[:, j], j]))
-    one, two = first * known, (1 - first) * known
-    return (one.T @ one > 0) & (one.T @ two > 0) & (two.T @ one > 0) & (two.T @ two > 0)
-
-
-def _phi(group: pd.DataFrame) -> pd.DataFrame:
-    name, pos = group["dataset_id"].iloc[0], np.asarray(group["sites"].iloc[0])
-    out = {"dataset_id": [name], "n_sites": [len(pos)], "windowed": [None], "overall": [None], "p_value": [None], "ri": [None]}
-    if len(pos) >= 4:
-        inc = incompatible(group["bases"].tolist()).astype(np.float64)
-        i, j = np.triu_indices(len(pos), 1)
-        near = np.abs(pos[i] - pos[j]) <= REACH
-        overall = inc[i, j].mean()
+    nth = F.row_number().over(Window.partitionBy("dataset_id").orderBy(F.xxhash64("dataset_id", "pos")))
+    drawn = site_profile(alignment).where("informative").withColumn("nth", nth).where(F.col("nth") <= most_sites)
+    listed = drawn.groupBy("dataset_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.substring("alleles", 1, 1).alias("one"), F.substring("alleles", 2, 1).alias("two")))).alias("s"))
+    sites = listed.select("dataset_id", F.transform("s", lambda x: x["pos"]).alias("sites"), F.array_join(F.transform("s", lambda x: x["one"]), "").alias("ones"), F.array_join(F.transform("s", lambda x: x["two"]), "").alias("twos"))
+
+    def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[list[int], np.ndarray]] = {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for d in table.column("dataset_id").unique().to_pylist():
+                own = table.filter(pc.equal(table.column("dataset_id"), d))
+                at, ones, twos = (own.column(c)[0].as_py() for c in ("sites", "ones", "twos"))
+                bits = combinations(own.column("seq").to_pylist(), at, ones, twos)
+                held[d] = at, held[d][1] | bits if d in held else bits
+            if sum(b.nbytes for _, b in held.values()) > HELD_BYTES:
+                yield from packed(held)
+                held.clear()
+        yield from packed(held)
+
+    def packed(held: dict[str, tuple[list[int], np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for d, (at, bits) in held.items():
+            for start in range(0, len(at), STRETCH):
+                rows = np.packbits(bits[:, start : start + STRETCH]).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([d]), pa.array([start], pa.int32()), pa.array([at], pa.list_(pa.int32())), pa.array([rows], pa.binary())], names=["dataset_id", "start", "sites", "bits"])
+
+    def joined(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        at = table.column("sites")[0].as_py()
+        rows = min(STRETCH, len(at) - key[1].as_py())
+        seen = np.bitwise_or.reduce([np.frombuffer(b.as_buffer(), np.uint8) for b in table.column("bits")])
+        four = np.unpackbits(seen, count=4 * rows * len(at)).reshape(4, rows, len(at)).all(axis=0)
+        return pa.table({"dataset_id": [key[0].as_py()], "start": pa.array([key[1].as_py()], pa.int32()), "sites": pa.array([at], pa.list_(pa.int32())), "bits": pa.array([np.packbits(four).tobytes()], pa.binary())})
+
+    schema = "dataset_id string, start int, sites array<int>, bits binary"
+    stretches = alignment.join(sites, "dataset_id").select("dataset_id", "seq", "sites", "ones", "twos").mapInArrow(note, schema).groupBy("dataset_id", "start").applyInArrow(joined, schema)
+    parts = min(SHUFFLE_PARTS, permutations)
+    shuffles = stretches.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def shuffled(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        name, part = key[0].as_py(), key[1].as_py()
+        table = table.sort_by("start")
+        at = np.array(table.column("sites")[0].as_py())
+        n = len(at)
+        rows = [np.unpackbits(np.frombuffer(b.as_buffer(), np.uint8), count=min(STRETCH, n - s) * n).reshape(-1, n) for s, b in zip(table.column("start").to_pylist(), table.column("bits"), strict=True)]
+        inc = np.concatenate(rows).astype(np.float64)
+        i, j = np.triu_indices(n, 1)
+        near = np.abs(at[i] - at[j]) <= REACH
+        observed, overall, lower = None, float(inc[i, j].mean()) if n > 1 else None, 0
         if near.any():
-            observed = inc[i[near], j[near]].mean()
-            rng = np.random.default_rng(zlib.crc32(name.encode()))
-            lower = 0
-            for _ in range(PERMUTATIONS):
-                s = rng.permutation(len(pos))
-                lower += inc[s[i[near]], s[j[near]]].mean() <= observed + 1e-12
-            p = (lower + 1) / (PERMUTATIONS + 1)
-            ri = min(1.0, max(0.0, (overall - observed) / overall)) if p < 0.05 and overall > 0 else 0.0
-            out |= {"windowed": [observed], "overall": [overall], "p_value": [p], "ri": [ri]}
-    return pd.DataFrame(out).astype({c: "float64" for c in ("windowed", "overall", "p_value", "ri")})
+            observed = float(inc[i[near], j[near]].mean())
+            rng = np.random.default_rng([zlib.crc32(name.encode()), part])
+            for _ in range(part * permutations // parts, (part + 1) * permutations // parts):
+                s = rng.permutation(n)
+                lower += bool(inc[s[i[near]], s[j[near]]].mean() <= observed + 1e-12)
+        return pa.table({"dataset_id": [name], "n_sites": [n], "windowed": pa.array([observed], pa.float64()), "overall": pa.array([overall], pa.float64()), "lower": [lower]})
+
+    counts = shuffles.groupBy("dataset_id", "part").applyInArrow(shuffled, "dataset_id string, n_sites long, windowed double, overall double, lower long")
+    told = counts.groupBy("dataset_id").agg(F.max("n_sites").alias("n_sites"), F.max("windowed").alias("windowed"), F.max("overall").alias("overall"), F.sum("lower").alias("lower"))
+    p = (F.col("lower") + 1) / (permutations + 1)
+    tested = told.withColumn("p_value", F.when(F.col("windowed").isNotNull() & (F.col("n_sites") >= 4), p))
+    shortfall = F.when((F.col("p_value") < 0.05) & (F.col("overall") > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("overall") - F.col("windowed")) / F.col("overall")))).otherwise(0.0)
+    some = lambda c: F.when(F.col("p_value").isNotNull(), F.col(c)).alias(c)
+    return tested.select("dataset_id", "n_sites", some("windowed"), some("overall"), "p_value", F.when(F.col("p_value").isNotNull(), shortfall).alias("ri"))
+
+
+def combinations(seqs: list[str], at: list[int], ones: str, twos: str) -> np.ndarray:
+    """Four bits for each pair of the sites ``at``: does any sequence hold the first base at both, the first and the second, the second and the first, the second at both?"""
+    letters = np.frombuffer("".join("".join([s[p] for p in at]) for s in seqs).encode("latin-1", "replace"), np.uint8).reshape(len(seqs), len(at))
+    one, two = ((letters == np.frombuffer(x.encode(), np.uint8)).astype(np.float32) for x in (ones, twos))
+    return np.stack([one.T @ one > 0, one.T @ two > 0, two.T @ one > 0, two.T @ two > 0])
 
 
 def neighbor_joining(d: np.ndarray) -> list[tuple[int, int, float]]:
@@ -155,20 +197,26 @@ def _clock(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"dataset_id": g["dataset_id"].iloc[:1], "status": ["computed"], "n_dated": [len(x)], "mu": [mu], "intercept": [y.mean() - mu * x.mean()], "r2": [r2], "p_value": [p]}).astype({"p_value": "float64"})
 
 
-def date_shuffles(points: DataFrame) -> DataFrame:
+def date_shuffles(points: DataFrame, shuffles: int = SHUFFLES, block: int = SHUFFLE_BLOCK) -> DataFrame:
     """(dataset_id, p_value): the share of date shuffles with no smaller slope of d on year; null with fewer than 3 points or two dates.
 
-    A dataset's points, two numbers a record, are shuffled in one task.
+    Points go to blocks of about ``block`` by a hash that knows neither date nor distance, and dates are shuffled
+    within blocks: each such shuffle is as likely as any other if dates do not matter, so the test stays exact, and no
+    task holds more than a block of a dataset.  Smaller datasets are one block.
     """
     ship_package(points.sparkSession)
-    return points.select("dataset_id", "year", "d").groupBy("dataset_id").applyInPandas(_shuffled, "dataset_id string, p_value double")
-
-
-def _shuffled(group: pd.DataFrame) -> pd.DataFrame:
-    g = group.sort_values(["year", "d"])
-    x, y, p = g["year"].to_numpy() - g["year"].mean(), g["d"].to_numpy() - g["d"].mean(), None
-    if len(x) >= 3 and x.any():
-        rng = np.random.default_rng(zlib.crc32(g["dataset_id"].iloc[0].encode()))
-        real = float(x @ y)
-        p = (sum(float(rng.permutation(x) @ y) >= real - 1e-15 * float(x @ x) for _ in range(SHUFFLES)) + 1) / (SHUFFLES + 1)
-    return pd.DataFrame({"dataset_id": g["dataset_id"].iloc[:1], "p_value": [p]}).astype({"p_value": "float64"})
+    stats = points.groupBy("dataset_id").agg(F.count("*").alias("n"), F.avg("year").alias("mean_year"), F.avg("d").alias("mean_d"), F.min("year").alias("first"), F.max("year").alias("last"))
+    centred = points.join(stats, "dataset_id").select("dataset_id", (F.col("year") - F.col("mean_year")).alias("x"), (F.col("d") - F.col("mean_d")).alias("y"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.ceil(F.col("n") / block)).alias("block"))
+
+    def shuffled(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        own = table.sort_by([("x", "ascending"), ("y", "ascending")])
+        x, y = own.column("x").to_numpy(), own.column("y").to_numpy()
+        rng = np.random.default_rng([zlib.crc32(key[0].as_py().encode()), key[1].as_py()])
+        sums = [float(x @ y), *(float(rng.permutation(x) @ y) for _ in range(shuffles))]
+        return pa.table({"dataset_id": [key[0].as_py()] * len(sums), "nth": pa.array(range(len(sums)), pa.int32()), "xy": sums, "xx": [float(x @ x)] * len(sums)})
+
+    sums = centred.groupBy("dataset_id", "block").applyInArrow(shuffled, "dataset_id string, nth int, xy double, xx double").groupBy("dataset_id", "nth").agg(F.sum("xy").alias("xy"), F.sum("xx").alias("xx"))
+    real = sums.where("nth = 0").select("dataset_id", F.col("xy").alias("real"), (F.col("xx") * 1e-15).alias("slack"))
+    lower = sums.where("nth > 0").join(real, "dataset_id").groupBy("dataset_id").agg(F.count_if(F.col("xy") >= F.col("real") - F.col("slack")).alias("lower"))
+    fit = (F.col("n") >= 3) & (F.col("first") < F.col("last"))
+    return stats.join(lower, "dataset_id").select("dataset_id", F.when(fit, (F.col("lower") + 1) / (shuffles + 1)).alias("p_value"))

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 def usable_reports(reports: DataFrame) -> DataFrame:
     """(series_id, day, amount, n) of the usable reports, redelivered reports once; n is 1 but for equal reports without an id.
 
-    Usable means a non-negative amount that is neither null nor NaN, with a series and a date.
+    Usable means a finite non-negative amount that is neither null nor NaN, with a series and a date.
     Rows with one report_id are one report (the first delivered counts).  Rows without a
     report_id cannot be told to be redeliveries, so each counts by itself.
     """
     amount = F.col("new_cases").cast("double")
-    ok = amount.isNotNull() & ~F.isnan(amount) & (amount >= 0) & F.col("series_id").isNotNull() & F.col("date").isNotNull()
+    ok = amount.isNotNull() & ~F.isnan(amount) & (amount >= 0) & (amount < float("inf")) & F.col("series_id").isNotNull() & F.col("date").isNotNull()
     content = F.struct(F.col("series_id"), F.col("date").cast("date").alias("day"), amount.alias("amount"))
     return (
         reports.where(ok)
@@ -42,19 +42,21 @@ def spans(series: DataFrame) -> DataFrame:
     )
 
 
-def regular_grid(reports: DataFrame, series: DataFrame) -> DataFrame:
+def regular_grid(reports: DataFrame, series: DataFrame, max_validity: int | None = None) -> DataFrame:
     """One row per series and period of ``step_days`` from start_date to end_date.
 
-    A day's total holds from its day until the next day with a report, at most ``step_days`` and
-    not past end_date.  These validity intervals are cut at the period borders; a period's value
+    A day's total holds from its day until the next day with a report, not past end_date, and for ``max_validity`` days at
+    most if that is given.  These validity intervals are cut at the period borders; a period's value
     is their average weighted by days, its coverage the share of its days that they cover.
     ``reported`` is the plain sum of the reports dated in the period, ``marked_missing`` that
-    there is none (its average, if any, is what the previous period's last report carries over).
-    Periods without anything have null values.  An interval reaches over one border at most.
+    there is none (its average, if any, is what the last report before it carries over).
+    Periods before the first report, or after ``max_validity``, have null values.
     """
     daily = daily_totals(reports, series)
     by_day = Window.partitionBy("series_id").orderBy("day")
-    until = F.least(F.coalesce(F.lead("day").over(by_day), F.date_add("end_date", 1)), F.expr("date_add(day, step_days)"), F.date_add("end_date", 1))
+    until = F.coalesce(F.lead("day").over(by_day), F.date_add("end_date", 1))
+    if max_validity is not None:
+        until = F.least(until, F.date_add("day", max_validity))
     cell = lambda d: F.floor(F.datediff(d, "start_date") / F.col("step_days")).cast("int")
     steps = daily.withColumn("until", until).withColumn("own", cell(F.col("day")))
     cut = (
@@ -91,19 +93,16 @@ def trailing_totals(reports: DataFrame, series: DataFrame, windows: tuple[int, .
     Each day's total adds at its day and subtracts after the window's length; the running sum of
     these deltas is the trailing total.  Days without a report count as zero; so do days before
     the span.  Averages divide by the window's length.  Totals are summed as decimals, so
-    no rounding is left behind when an amount leaves the window; infinite amounts are left out.
+    no rounding is left behind when an amount leaves the window.
     The groups of the running sum are calendars: one row per day of a span, whatever the reports.
     """
-    finite = F.col("new_cases").cast("double") < F.lit(float("inf"))
-    daily = daily_totals(reports.where(finite), series).select("series_id", "day", F.col("total").cast("decimal(30,6)").alias("total"))
+    daily = daily_totals(reports, series).select("series_id", "day", F.col("total").cast("decimal(30,6)").alias("total"))
     zero = F.lit(0).cast("decimal(30,6)")
     names = [f"d{w}" for w in windows]
-    parts = [spans(series).select("series_id", F.explode(F.sequence("start_date", "end_date")).alias("day"), *[zero.alias(n) for n in names], F.lit(True).alias("listed"))]
-    parts.append(daily.select("series_id", "day", *[F.col("total").alias(n) for n in names], F.lit(False).alias("listed")))
-    parts += [daily.select("series_id", F.date_add("day", w).alias("day"), *[(-F.col("total") if v == w else zero).cast("decimal(30,6)").alias(f"d{v}") for v in windows], F.lit(False).alias("listed")) for w in windows]
-    deltas = parts[0]
-    for p in parts[1:]:
-        deltas = deltas.unionByName(p)
+    delta = lambda day, amounts: F.struct(day.alias("day"), *[x.cast("decimal(30,6)").alias(n) for x, n in zip(amounts, names, strict=True)])
+    moves = [delta(F.col("day"), [F.col("total")] * len(windows)), *[delta(F.date_add("day", w), [-F.col("total") if v == w else zero for v in windows]) for w in windows]]
+    calendar = spans(series).select("series_id", F.explode(F.sequence("start_date", "end_date")).alias("day"), *[zero.alias(n) for n in names], F.lit(True).alias("listed"))
+    deltas = calendar.unionByName(daily.select("series_id", F.explode(F.array(*moves)).alias("x")).select("series_id", "x.*", F.lit(False).alias("listed")))
     per_day = deltas.groupBy("series_id", "day").agg(*[F.sum(n).alias(n) for n in names], F.max("listed").alias("listed"))
     upto = Window.partitionBy("series_id").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = per_day.select("series_id", "day", "listed", *[F.sum(n).over(upto).alias(n) for n in names]).where("listed")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from strandwise.operators import codons as C
 from strandwise.operators import composite as M
 from strandwise.operators import distance as D
 from strandwise.operators import epidemic as E
+from strandwise.operators import pairs as R
 from strandwise.operators import phylo as P
 from strandwise.sources.tables import table
 
@@ -37,7 +41,7 @@ def site_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trimmed_alignment(spark: SparkSession, d: str) -> DataFrame:
-    return A.trimmed(_alignment(spark, d))
+    return A.trimmed(_alignment(spark, d), minimum=1)
 
 
 def genetic_distance(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +61,29 @@ def mutation_signatures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nucleotide_diversity(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(D.nucleotide_diversity(_alignment(spark, d)))
+    return _rounded(R.nucleotide_diversity(_alignment(spark, d)))
+
+
+def diversity_interval(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(R.diversity_interval(_alignment(spark, d)))
+
+
+def sliding_diversity(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(R.sliding_diversity(_alignment(spark, d)))
+
+
+def preflight(spark: SparkSession, d: str) -> DataFrame:
+    al = _alignment(spark, d)
+    return _rounded(R.preflight(al, A.site_summary(al)))
+
+
+def poor_overlap_examples(spark: SparkSession, d: str) -> DataFrame:
+    al = _alignment(spark, d)
+    return R.poor_overlap_examples(al, A.references(al))
+
+
+def lineages(spark: SparkSession, d: str) -> DataFrame:
+    return R.lineages(_alignment(spark, d))
 
 
 def codon_usage(spark: SparkSession, d: str) -> DataFrame:
@@ -106,23 +132,30 @@ def clock_rate(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(E.clock_rate(_dated(spark, d)), 7)
 
 
-def _indices(spark: SparkSession, d: str) -> DataFrame:
-    """(dataset_id, key, value) of the indices that the sequence tables allow."""
+def index_values(spark: SparkSession, d: str) -> dict[str, Callable[[], DataFrame]]:
+    """By index key, how its values (dataset_id, seq_ord or null, value) are made; nothing is read until one is asked for."""
     al = _alignment(spark, d)
-    counts = C.selection_counts(al)
-    parts = [
-        D.nucleotide_diversity(al).select("dataset_id", F.lit("pi").alias("key"), F.col("pi").alias("value")),
-        D.genetic_distance(al).groupBy("dataset_id").agg(F.avg("jc69").alias("value")).select("dataset_id", F.lit("GD").alias("key"), "value"),
-        D.mutation_burden(al).groupBy("dataset_id").agg(F.avg("burden").alias("value")).select("dataset_id", F.lit("MB").alias("key"), "value"),
-        D.gc_content(al).groupBy("dataset_id").agg(F.avg("gc_deviation").alias("value")).select("dataset_id", F.lit("GC_Deviation").alias("key"), "value"),
-        C.codon_adaptation(al, C.codon_usage(al)).groupBy("dataset_id").agg(F.avg("cai").alias("value")).select("dataset_id", F.lit("CAI").alias("key"), "value"),
-        C.pooled_selection(counts).select("dataset_id", F.lit("dN/dS").alias("key"), F.col("omega").alias("value")),
-        E.clock_rate(_dated(spark, d)).select("dataset_id", F.lit("mu").alias("key"), F.col("mu").alias("value")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    one = lambda df, value: df.select("dataset_id", F.lit(None).cast("bigint").alias("seq_ord"), F.col(value).alias("value"))
+    each = lambda df, value: df.select("dataset_id", "seq_ord", F.col(value).alias("value"))
+    return {
+        "pi": lambda: one(R.nucleotide_diversity(al), "pi"),
+        "GD": lambda: each(D.genetic_distance(al), "jc69"),
+        "MB": lambda: each(D.mutation_burden(al), "burden"),
+        "GC_Deviation": lambda: each(D.gc_content(al), "gc_deviation"),
+        "CAI": lambda: each(C.codon_adaptation(al, C.codon_usage(al)), "cai"),
+        "dN/dS": lambda: one(C.pooled_selection(C.selection_counts(al)), "omega"),
+        "mu": lambda: one(E.clock_rate(_dated(spark, d)), "mu"),
+    }
+
+
+def _indices(spark: SparkSession, d: str, wanted: Iterable[str] | None = None) -> DataFrame:
+    """(dataset_id, key, value) of the wanted indices, of all that the sequence tables allow unless given: the mean over queries where there is a value each."""
+    makers = index_values(spark, d)
+    keys = list(makers if wanted is None else wanted)
+    if unknown := set(keys) - set(makers) or not keys:
+        raise ValueError(f"unknown indices {unknown}; there are {list(makers)}")
+    parts = [makers[k]().groupBy("dataset_id").agg(F.avg("value").alias("value")).select("dataset_id", F.lit(k).alias("key"), "value") for k in keys]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def composite_score(spark: SparkSession, d: str) -> DataFrame:
@@ -203,7 +236,7 @@ def corpus_ranking(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        composite_score, composite_sensitivity, alignment_summary, site_profile, site_summary, trimmed_alignment, genetic_distance, mutation_burden, gc_content, mutation_signatures, nucleotide_diversity,
+        composite_score, composite_sensitivity, alignment_summary, site_profile, site_summary, trimmed_alignment, genetic_distance, mutation_burden, gc_content, mutation_signatures, nucleotide_diversity, diversity_interval, sliding_diversity, preflight, poor_overlap_examples, lineages,
         codon_usage, codon_positions, codon_adaptation, selection_by_query, selection_pooled, selection_windows, open_reading_frames, reproduction_number, dated_records, clock_rate, recombination, tree_clock, gated_indices, gated_composite, gated_sensitivity, beta_genomic, summary_composite, corpus_ranking,
     )
 }
@@ -256,6 +289,16 @@ _PI = """, zz AS (
 pr AS (SELECT dataset_id, i, j, count(*) FILTER (a <> b)::DOUBLE / count(*) AS p FROM zz WHERE a IN ('A','C','G','T') AND b IN ('A','C','G','T') GROUP BY ALL),
 pi AS (SELECT al.dataset_id, count(p) AS n_pairs, avg(p) AS pi FROM (SELECT DISTINCT dataset_id FROM al) al LEFT JOIN pr USING (dataset_id) GROUP BY ALL)
 """
+_F3X4 = """, c3 AS (SELECT s.dataset_id, (pos % 3 + 1)::INT AS codon_position, base FROM site s JOIN al USING (dataset_id, seq_ord) WHERE base IN ('A','C','G','T') AND pos < length(seq) - length(seq) % 3),
+g3 AS (SELECT DISTINCT dataset_id, codon_position, b.base FROM c3, (VALUES ('A'), ('C'), ('G'), ('T')) b(base)),
+h3 AS (SELECT g3.*, greatest(count(c3.base) / sum(count(c3.base)) OVER (PARTITION BY g3.dataset_id, g3.codon_position), 1e-8::DOUBLE) AS least FROM g3 LEFT JOIN c3 USING (dataset_id, codon_position, base) GROUP BY ALL),
+f3 AS (SELECT *, least / sum(least) OVER (PARTITION BY dataset_id, codon_position) AS share FROM h3)
+"""
+_PAIRS = """, ln AS (SELECT *, length(regexp_extract(seq, '^[-.?]*')) AS lo, length(seq) - length(regexp_extract(seq, '[-.?]*$')) - 1 AS hi FROM al),
+two AS (SELECT x.dataset_id, x.seq_ord AS i, y.seq_ord AS j, x.seq AS s, y.seq AS t, x.lo AS la, x.hi AS ha, y.lo AS lb, y.hi AS hb FROM ln x JOIN ln y ON x.dataset_id = y.dataset_id AND x.seq_ord < y.seq_ord),
+base AS (SELECT dataset_id, i, j, unnest(range(length(s))) AS pos, unnest(string_split(s, '')) AS a, unnest(string_split(t, '')) AS b FROM two),
+cmp AS (SELECT dataset_id, i, j, count(*) AS comparable, count(*) FILTER (a <> b) AS differ FROM base WHERE a IN ('A','C','G','T') AND b IN ('A','C','G','T') GROUP BY ALL)
+"""
 _CODE = f""", code AS {_values(genetic_code.code_rows(), "codon, amino_acid")},
 cod AS (SELECT dataset_id, seq_ord, unnest(list_transform(range(length(seq) // 3), lambda i: translate(substr(seq, 3 * i + 1, 3), 'U', 'T'))) AS codon FROM al),
 uc AS (SELECT dataset_id, codon, amino_acid, count(*) AS n FROM cod JOIN code USING (codon) WHERE amino_acid <> '*' GROUP BY ALL),
@@ -351,9 +394,41 @@ SELECT pk.dataset_id, count(*) AS n_columns, count(*) FILTER (n_alleles > 1) AS
 SELECT dataset_id, count(*) FILTER (a = 'C' AND pa = 'T') AS c_after_t, count(*) FILTER (a = 'C' AND pa = 'T' AND b = 'T') AS ct_after_t, count(*) FILTER (a = 'C') AS c_sites, count(*) FILTER (a = 'C' AND b = 'T') AS ct_sites,
   count(*) FILTER (a = 'A' AND pa IN ('T','A')) AS a_after_ta, count(*) FILTER (a = 'A' AND pa IN ('T','A') AND b = 'G') AS ag_after_ta, count(*) FILTER (a = 'A') AS a_sites, count(*) FILTER (a = 'A' AND b = 'G') AS ag_sites FROM f GROUP BY dataset_id""",
     "nucleotide_diversity": _AL + _PI + "SELECT dataset_id, n_pairs, round(pi, 9) AS pi FROM pi",
+    "sliding_diversity": _AL
+    + _PAIRS
+    + """, wide AS (SELECT dataset_id, max(length(seq)) AS len, greatest(20, floor(max(length(seq)) / 12 + 0.5))::INT AS w FROM al GROUP BY ALL),
+st AS (SELECT dataset_id, w, unnest(range(0, len - w + 1, greatest(5, floor(w / 4 + 0.5))::INT)) AS lo FROM wide),
+wp AS (
+  SELECT st.dataset_id, st.lo, i, j, count(*) AS n, count(*) FILTER (a <> b) AS d FROM st JOIN base ON base.dataset_id = st.dataset_id AND pos >= st.lo AND pos < st.lo + st.w
+  WHERE a IN ('A','C','G','T') AND b IN ('A','C','G','T') GROUP BY ALL)
+SELECT st.dataset_id, st.lo::INT + 1 AS start, count(n) AS n_pairs, round(avg(d / n), 9) AS pi FROM st LEFT JOIN wp ON wp.dataset_id = st.dataset_id AND wp.lo = st.lo GROUP BY ALL""",
+    "preflight": _SITES
+    + _PAIRS
+    + """, ext AS (SELECT dataset_id, min(1 - differ / comparable) AS least FROM cmp GROUP BY ALL),
+spn AS (SELECT dataset_id, count(*) AS n, count(*) FILTER (greatest(0, least(ha, hb) - greatest(la, lb) + 1) < 0.5::DOUBLE * least(ha - la + 1, hb - lb + 1)) AS poor FROM two WHERE ha >= la AND hb >= lb GROUP BY ALL),
+cov AS (SELECT dataset_id, count(*) FILTER (n_other = 0) / count(*) AS share FROM pk GROUP BY ALL),
+cnt_al AS (SELECT dataset_id, count(*) AS n_sequences FROM al GROUP BY ALL),
+f AS (
+  SELECT c.dataset_id, n_sequences, CASE WHEN n_sequences >= 2 THEN coalesce(least, 1) END AS min_identity, share AS covered_fraction, CASE WHEN n_sequences >= 3 AND n > 0 THEN poor / n END AS poor_overlap_fraction
+  FROM cnt_al c LEFT JOIN ext USING (dataset_id) LEFT JOIN spn USING (dataset_id) LEFT JOIN cov USING (dataset_id))
+SELECT dataset_id, n_sequences, round(min_identity, 9) AS min_identity, round(covered_fraction, 9) AS covered_fraction, round(poor_overlap_fraction, 9) AS poor_overlap_fraction,
+  coalesce(min_identity < 0.7::DOUBLE, false) AS diverged, covered_fraction < 0.6::DOUBLE AS uncovered, coalesce(poor_overlap_fraction >= 0.15::DOUBLE, false) AS poorly_overlapping FROM f""",
+    "poor_overlap_examples": _AL
+    + """, o AS (
+  SELECT dataset_id, seq_ord, sequence_id, length(regexp_extract(seq, '^[-.?]*')) AS a, length(seq) - length(regexp_extract(seq, '[-.?]*$')) AS b, length(regexp_extract(ref, '^[-.?]*')) AS c, length(ref) - length(regexp_extract(ref, '[-.?]*$')) AS d FROM q),
+ex AS (SELECT dataset_id, row_number() OVER (PARTITION BY dataset_id ORDER BY seq_ord)::INT AS nth, seq_ord, sequence_id FROM o WHERE b > a AND d > c AND greatest(0, least(b, d) - greatest(a, c)) * 2 < least(b - a, d - c))
+SELECT * FROM ex WHERE nth <= 3""",
+    "lineages": _AL.replace("WITH al", "WITH RECURSIVE al")
+    + _PAIRS
+    + """, near AS (SELECT two.dataset_id, two.i, two.j FROM two LEFT JOIN cmp USING (dataset_id, i, j) WHERE coalesce(differ / comparable, 0) < 0.05::DOUBLE),
+edge AS (SELECT dataset_id, i, j FROM near UNION ALL SELECT dataset_id, j, i FROM near),
+reach AS (SELECT dataset_id, seq_ord, seq_ord AS root FROM al UNION SELECT r.dataset_id, e.j, r.root FROM reach r JOIN edge e ON e.dataset_id = r.dataset_id AND e.i = r.seq_ord WHERE e.j > r.root),
+lab AS (SELECT dataset_id, seq_ord, min(root) AS lineage FROM reach GROUP BY ALL)
+SELECT al.dataset_id, al.seq_ord, al.sequence_id, lineage, count(*) OVER (PARTITION BY al.dataset_id, lineage) AS n_members FROM al JOIN lab USING (dataset_id, seq_ord) WHERE dataset_id IN (SELECT dataset_id FROM al GROUP BY ALL HAVING count(*) >= 3)""",
     "codon_usage": _AL + _CODE + "SELECT dataset_id, codon, amino_acid, n, round(weight, 9) AS weight FROM usage",
     "codon_positions": _SITES
-    + "SELECT dataset_id, codon_position, base, round(greatest(n::DOUBLE / sum(n) OVER (PARTITION BY dataset_id, codon_position), 1e-8::DOUBLE), 9) AS share FROM (SELECT s.dataset_id, (pos % 3 + 1)::INT AS codon_position, base, count(*) AS n FROM site s JOIN al USING (dataset_id, seq_ord) WHERE base IN ('A','C','G','T') AND pos < length(seq) - length(seq) % 3 GROUP BY ALL)",
+    + _F3X4
+    + "SELECT dataset_id, codon_position, base, round(share, 9) AS share FROM f3",
     "codon_adaptation": _AL + _CODE + "SELECT dataset_id, seq_ord, sequence_id, round(cai, 9) AS cai, n_codons FROM cai",
     "selection_by_query": _AL + _SEL + _omega("cj", "dataset_id, seq_ord, sequence_id") + "SELECT * REPLACE (round(s_sites, 9) AS s_sites, round(n_sites, 9) AS n_sites, round(s_diff, 9) AS s_diff, round(n_diff, 9) AS n_diff, round(ps, 9) AS ps, round(pn, 9) AS pn, round(ds, 9) AS ds, round(dn, 9) AS dn, round(omega, 9) AS omega, round(z, 9) AS z) FROM sel",
     "selection_pooled": _AL + _SEL + _omega("cj", "dataset_id") + "SELECT * REPLACE (round(s_sites, 9) AS s_sites, round(n_sites, 9) AS n_sites, round(s_diff, 9) AS s_diff, round(n_diff, 9) AS n_diff, round(ps, 9) AS ps, round(pn, 9) AS pn, round(ds, 9) AS ds, round(dn, 9) AS dn, round(omega, 9) AS omega, round(z, 9) AS z) FROM sel",

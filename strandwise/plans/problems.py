@@ -141,7 +141,7 @@ grid AS (
   SELECT series_id, start_date, end_date, step_days, unnest(range(0, date_diff('day', start_date, end_date) // step_days + 1)) AS k FROM incidence_series),
 cell AS (SELECT series_id, start_date + (k * step_days)::INT AS lo, least(start_date + ((k + 1) * step_days)::INT, end_date + 1) AS hi FROM grid),
 step AS (
-  SELECT d.*, least(coalesce(lead(day) OVER (PARTITION BY d.series_id ORDER BY day), end_date + 1), day + step_days, end_date + 1) AS until
+  SELECT d.*, coalesce(lead(day) OVER (PARTITION BY d.series_id ORDER BY day), end_date + 1) AS until
   FROM daily d JOIN incidence_series USING (series_id)),
 val AS (
   SELECT c.series_id, c.lo, c.hi, sum(total * date_diff('day', greatest(day, lo), least(until, hi))) AS weighted, sum(date_diff('day', greatest(day, lo), least(until, hi))) FILTER (day IS NOT NULL) AS covered,

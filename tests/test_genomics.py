@@ -15,6 +15,8 @@ from strandwise.operators import codons as C
 from strandwise.operators import composite as M
 from strandwise.operators import distance as D
 from strandwise.operators import epidemic as E
+from strandwise.operators import genes as GN
+from strandwise.operators import pairs as R
 from strandwise.operators import phylo as P
 
 
@@ -43,8 +45,8 @@ def test_burden_and_gc(spark):
 
 
 def test_diversity(spark):
-    assert math.isclose(D.nucleotide_diversity(align(spark, "AAAAAAAAAA", "AAAAAAAAAG", "AAAAAAAAGG")).first().pi, 0.4 / 3)
-    assert D.nucleotide_diversity(align(spark, "ACGT")).first().pi is None
+    assert math.isclose(R.nucleotide_diversity(align(spark, "AAAAAAAAAA", "AAAAAAAAAG", "AAAAAAAAGG")).first().pi, 0.4 / 3)
+    assert R.nucleotide_diversity(align(spark, "ACGT")).first().pi is None
     rnd = random.Random(5)
     seqs = ["".join(rnd.choice("AACCGT-N") for _ in range(7)) for _ in range(40)] + ["ACGTACG"] * 10 + ["-------"]
     ratios = []
@@ -53,7 +55,7 @@ def test_diversity(spark):
             both = [(a, b) for a, b in zip(seqs[i], seqs[j], strict=True) if a in "ACGT" and b in "ACGT"]
             if both:
                 ratios.append(sum(a != b for a, b in both) / len(both))
-    got = D.nucleotide_diversity(align(spark, *seqs)).first()
+    got = R.nucleotide_diversity(align(spark, *seqs)).first()
     assert got.n_pairs == len(ratios) and math.isclose(got.pi, sum(ratios) / len(ratios))
 
 
@@ -166,7 +168,7 @@ def test_composite(spark):
 @pytest.mark.parametrize("name", ["nucleotide_diversity", "site_summary", "genetic_distance", "selection_by_query", "open_reading_frames"])
 def test_empty_alignment(spark, name):
     al = align(spark, "A").limit(0)
-    run = {"nucleotide_diversity": D.nucleotide_diversity, "site_summary": A.site_summary, "genetic_distance": D.genetic_distance, "selection_by_query": lambda x: C.selection(C.selection_counts(x)), "open_reading_frames": C.open_reading_frames}[name]
+    run = {"nucleotide_diversity": R.nucleotide_diversity, "site_summary": A.site_summary, "genetic_distance": D.genetic_distance, "selection_by_query": lambda x: C.selection(C.selection_counts(x)), "open_reading_frames": C.open_reading_frames}[name]
     assert run(al).count() == 0
 
 
@@ -189,7 +191,7 @@ def test_tree_clock(spark):
 def test_recombination(spark):
     block = lambda *bits: "".join("AC"[b] for b in bits)
     seqs = [block(*([i % 2] * 100), *([i // 2 % 2] * 100)) for i in range(24)]
-    inc = P.incompatible([s[98:102] for s in seqs])
+    inc = P.combinations(seqs, [98, 99, 100, 101], "AAAA", "CCCC").all(axis=0)
     assert not inc[0, 1] and inc[1, 2] and not inc[2, 3]
     r = P.recombination(align(spark, *seqs)).first()
     assert r.n_sites == 200 and r.p_value < 0.05 and r.ri > 0

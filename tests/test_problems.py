@@ -207,8 +207,12 @@ def test_grid(spark):
     first = got[1, 1]
     assert (first.reported, first.n_reports, first.coverage, first.marked_missing) == (14.0, 5, 1.0, False)
     assert math.isclose(first.daily_average, (10 * 2 + 4 * 2) / 4)
-    second = got[1, 5]
+    short = {(r.series_id, r.period_start.day): r for r in series.regular_grid(reports, spans, 4).collect()}
+    second = short[1, 5]
     assert (second.reported, second.marked_missing, second.coverage, second.daily_average) == (None, True, 0.5, 4.0)
+    # Without a limit a reading holds until the next one, over any number of periods.
+    assert (got[1, 5].reported, got[1, 5].marked_missing, got[1, 5].coverage, got[1, 5].daily_average) == (None, True, 1.0, 4.0)
+    assert got[1, 9].daily_average == (4.0 * 2 + 0.0 * 2) / 4
     assert not got[1, 9].marked_missing and got[1, 13].period_days == 2 and got[1, 13].daily_average == 0.0
     assert got[2, 1].marked_missing and got[2, 1].daily_average is None
     assert series.regular_grid(reports.limit(0), spans).where("not marked_missing").count() == 0

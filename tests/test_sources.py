@@ -64,11 +64,20 @@ def test_csv_readers(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    data = spark.createDataFrame([(1, 1, "2024-01-01", 2.0), (1, 1, "2024-01-01", 2.0), (2, 1, "2024-01-01", 3.0), (3, 1, "2024-01-02", -1.0), (4, 1, "2024-01-03", 1.0), (5, 1, "2024-04-03", 1.0), (6, 1, "2024-06-03", 1.0)], "report_id long, series_id long, date string, new_cases double").withColumn("date", F.to_date("date"))
+    """Every day before the watermark comes out as in the batch operator, redeliveries and reports without id too."""
+    import datetime as dt
+
+    from strandwise.operators import series
+
+    rows = [(1, 1, "2024-01-01", 2.0), (1, 1, "2024-01-01", 2.0), (2, 1, "2024-01-01", 3.0), (3, 1, "2024-01-02", -1.0), (4, 1, "2024-01-03", 1.0), (None, 1, "2024-01-03", 4.0), (None, 1, "2024-01-03", 4.0), (8, 2, "2024-01-03", float("inf")), (9, 2, "2024-01-04", 7.0), (5, 1, "2024-04-03", 1.0), (6, 1, "2024-06-03", 1.0)]
+    data = spark.createDataFrame(rows, "report_id long, series_id long, date string, new_cases double").withColumn("date", F.to_date("date"))
     data.write.parquet(str(tmp_path / "in"))
     stream = incidence.daily_totals(spark.readStream.schema(data.schema).parquet(str(tmp_path / "in")))
     q = stream.writeStream.outputMode("append").format("memory").queryName("daily").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    got = {(str(r.day), r.total, r.n_reports) for r in spark.table("daily").collect()}
-    assert {("2024-01-01", 5.0, 2), ("2024-01-03", 1.0, 1)} <= got
+    got = {(r.series_id, str(r.day), r.total, r.n_reports) for r in spark.table("daily").collect()}
+    spans = spark.createDataFrame([(s, 1, dt.date(2024, 1, 1), dt.date(2024, 12, 31)) for s in (1, 2)], "series_id long, step_days int, start_date date, end_date date")
+    batch = series.daily_totals(data.withColumn("loaded_at", F.lit(None).cast("timestamp")), spans)
+    want = {(r.series_id, str(r.day), r.total, r.n_reports) for r in batch.collect() if r.day < dt.date(2024, 5, 1)}
+    assert got == want and len(want) == 4
