@@ -93,13 +93,15 @@ def judged_records(raw: DataFrame, id_column: str = "sequence_id", date_column:
     commas = F.length("record") - F.length(F.translate("record", ",", ""))
     readable = (F.col("width") <= widest) & (commas <= widest) & ~F.col("record").rlike(CONTROLS)
     filled = F.concat("record", F.repeat(F.lit(","), F.lit(widest) - F.col("width")), F.lit("," + END))
-    parsed = body.withColumn("_read", F.from_csv(F.when(readable, filled), schema, options))
-    columns = F.slice(F.transform(F.array(*[F.col(f"_read.c{i}") for i in range(widest)]), lambda x: F.coalesce(F.btrim(x, F.lit(BLANKS)), F.lit(""))), F.lit(1), F.least(F.col("width"), F.lit(widest)))
-    held = F.when(F.col("_read._corrupt").isNull() & (F.col("_read._end") == END), columns)
-    held = parsed.select("source", "line_number", "record", "names", "width", "id_at", "date_at", held.alias("_held"))
-    whole = F.coalesce(~F.contains(F.array_join("_held", ""), F.lit('"')), F.lit(False))
+    # A generator reads each record once, however many expressions look at its columns; the same for the fields.
+    kept = ["source", "line_number", "record", "names", "width", "id_at", "date_at"]
+    parsed = body.select(*kept, F.inline(F.array(F.from_csv(F.when(readable, filled), schema, options))))
+    columns = F.slice(F.array(*[F.coalesce(F.btrim(F.col(f"c{i}"), F.lit(BLANKS)), F.lit("")) for i in range(widest)]), F.lit(1), F.least(F.col("width"), F.lit(widest)))
+    forgiven = F.coalesce(F.contains(F.concat_ws("", *[f"c{i}" for i in range(widest)]), F.lit('"')), F.lit(False))
+    whole = F.coalesce(F.col("_corrupt").isNull() & (F.col("_end") == END) & ~forgiven, F.lit(False))
     good, again = _fields_by_quotes(F.col("record"))
-    joined = held.withColumn("_whole", whole).select("*", F.when(F.col("_whole"), F.lit(True)).otherwise(good).alias("_well_quoted"), F.when(F.col("_whole"), F.col("_held")).otherwise(again).alias("fields"))
+    fields = F.struct(F.when(whole, F.lit(True)).otherwise(good).alias("_well_quoted"), F.when(whole, columns).otherwise(again).alias("fields"))
+    joined = parsed.select(*kept, F.inline(F.array(fields)))
     at = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.element_at("fields", F.greatest(F.col(c), F.lit(1)).cast("int")))
     day = F.coalesce(at("date_at"), F.lit(""))
     reason = (

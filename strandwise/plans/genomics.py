@@ -291,7 +291,8 @@ pi AS (SELECT al.dataset_id, count(p) AS n_pairs, avg(p) AS pi FROM (SELECT DIST
 """
 _F3X4 = """, c3 AS (SELECT s.dataset_id, (pos % 3 + 1)::INT AS codon_position, base FROM site s JOIN al USING (dataset_id, seq_ord) WHERE base IN ('A','C','G','T') AND pos < length(seq) - length(seq) % 3),
 g3 AS (SELECT DISTINCT dataset_id, codon_position, b.base FROM c3, (VALUES ('A'), ('C'), ('G'), ('T')) b(base)),
-h3 AS (SELECT g3.*, greatest(count(c3.base) / sum(count(c3.base)) OVER (PARTITION BY g3.dataset_id, g3.codon_position), 1e-8::DOUBLE) AS least FROM g3 LEFT JOIN c3 USING (dataset_id, codon_position, base) GROUP BY ALL),
+n3 AS (SELECT dataset_id, codon_position, base, count(*) AS n FROM c3 GROUP BY ALL),
+h3 AS (SELECT g3.dataset_id, g3.codon_position, g3.base, greatest(coalesce(n, 0) / sum(n) OVER (PARTITION BY g3.dataset_id, g3.codon_position), 1e-8::DOUBLE) AS least FROM g3 LEFT JOIN n3 USING (dataset_id, codon_position, base)),
 f3 AS (SELECT *, least / sum(least) OVER (PARTITION BY dataset_id, codon_position) AS share FROM h3)
 """
 _PAIRS = """, ln AS (SELECT *, length(regexp_extract(seq, '^[-.?]*')) AS lo, length(seq) - length(regexp_extract(seq, '[-.?]*$')) - 1 AS hi FROM al),
