@@ -20,10 +20,12 @@ from strandwise.session import ship_package
 BUCKETS = 1 << 15
 #: Lines with a character beyond ASCII that the models are trained on, at most, and those of them that are garbled in every way.
 SAMPLE, GARBLED_SAMPLE = 20_000, 1_500
+#: Likeliest chains by which a line is left out of the counts of clean text.
+COUNTED = 8
 #: Surprise (nats) of a character from which its line is looked at; gain that an inversion must bring.  Little
 #: text happens to be valid UTF-8 after all, so that to it a smaller gain will do.
 SURPRISE, GAIN, GAIN_UTF8 = 5.5, 7.0, 3.0
-BLOCK = 400_000
+BLOCK = 4_000_000
 
 #: Encodings of one script, any of which a text of it may have been written in.
 SCRIPTS = {
@@ -196,12 +198,17 @@ class Plain:
     @staticmethod
     def _read(codes: np.ndarray) -> tuple[np.ndarray, ...]:
         """(character, the one before, pair, pair before, triple) from the third code point on, as places in the tables."""
-        codes = np.where((codes >= 49) & (codes <= 57), np.uint32(48), codes)
-        folded = (codes ^ codes >> 16 << 7) & 0xFFFF
-        mixed = (folded[:-1] * np.uint32(40503) ^ folded[1:] * np.uint32(2654435761)) * np.uint32(2246822519)
-        pair = mixed >> np.uint32(12)
-        triple = (mixed[1:] ^ folded[:-2] * np.uint32(3266489917)) * np.uint32(668265263) >> np.uint32(11)
-        return folded[2:], folded[1:-1], pair[1:], pair[:-1], triple
+        return Plain._places(codes[:-2], codes[1:-1], codes[2:])
+
+    @staticmethod
+    def _places(*three: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The same of any code points, each given after the one two before and the one before."""
+        a, b, c = ((y ^ y >> 16 << 7) & 0xFFFF for y in (np.where((x >= 49) & (x <= 57), np.uint32(48), x) for x in three))
+        second = b * np.uint32(40503)
+        pair_before = (a * np.uint32(40503) ^ b * np.uint32(2654435761)) * np.uint32(2246822519) >> np.uint32(12)
+        mixed = (second ^ c * np.uint32(2654435761)) * np.uint32(2246822519)
+        triple = (mixed ^ a * np.uint32(3266489917)) * np.uint32(668265263) >> np.uint32(11)
+        return c, b, mixed >> np.uint32(12), pair_before, triple
 
     @functools.cached_property
     def alone(self) -> np.ndarray:
@@ -209,7 +216,11 @@ class Plain:
 
     def surprise(self, codes: np.ndarray) -> np.ndarray:
         """Surprise of each character from the third code point on."""
-        chars, before, pair, pair_before, triple = self._read(codes)
+        return self.surprise_after(codes[:-2], codes[1:-1], codes[2:])
+
+    def surprise_after(self, two_before: np.ndarray, one_before: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Surprise of each code point after those before it."""
+        chars, before, pair, pair_before, triple = self._places(two_before, one_before, codes)
         # Where counts share a bucket, what comes after must not outnumber what came before.
         one, two = self.singles[before], self.pairs[pair_before]
         after_one = (np.minimum(self.pairs[pair], one) + np.float32(3.0) * self.alone[chars]) / (one + np.float32(3.0))
@@ -247,7 +258,7 @@ class Segments:
         k = len(self.model.classes)
         self.odd, self.seen = np.zeros(0, bool), np.zeros(0, bool)
         self.odds, self.weighed = np.zeros((0, k), np.float32), np.zeros(0, bool)
-        self.gains, self.fits, self.measured = np.zeros((0, k), np.float32), np.zeros((0, k), np.int8), np.zeros(0, bool)
+        self.gains, self.fits, self.measured = np.zeros((0, k), np.float32), np.zeros((0, k), np.int8), np.zeros((0, k), bool)
 
     def of(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(segment ids of all lines one after another, first of each line); every line has one at least."""
@@ -277,50 +288,59 @@ class Segments:
         self.weighed[todo] = True
         return self.odds[ids]
 
-    def measure(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(how they fit, what they gain) of all chains' inversions of these segments."""
-        todo = np.unique(ids[~self.measured[ids]])
+    def measure(self, ids: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(how they fit, what they gain) of the wanted chains' inversions of these segments; others that are not known yet do not fit."""
+        todo, at = np.unique(ids, return_inverse=True)
+        need = np.zeros((len(todo), want.shape[1]), bool)
+        np.logical_or.at(need, at, want)
+        need &= ~self.measured[todo]
+        some = need.any(axis=1)
+        todo, need = todo[some], need[some]
         texts = [self.texts[i] for i in todo]
         for start, stop in _spans(texts, 20_000):
-            self._measure(todo[start:stop], texts[start:stop])
-        self.measured[todo] = True
+            self._measure(todo[start:stop], texts[start:stop], need[start:stop])
+        self.measured[todo] |= need
         return self.fits[ids], self.gains[ids]
 
-    def _measure(self, at: np.ndarray, texts: list[str]) -> None:
+    def _measure(self, at: np.ndarray, texts: list[str], need: np.ndarray) -> None:
         model = self.model
         codes, first = codes_of(texts)
-        sizes = np.diff(np.append(first, len(codes) - 2))
         base = np.add.reduceat(model.plain.surprise(codes).astype(np.float64), first)
-        low = codes < 65536
-        small = np.where(low, codes, 0)
+        # A one-byte chain changes nothing but characters beyond ASCII, and so the worth of these and of the two after each.
+        beyond = codes > 127
+        at_risk = np.flatnonzero(beyond[2:] | beyond[1:-1] | beyond[:-2])
+        sizes = np.diff(np.append(np.searchsorted(at_risk, first), len(at_risk)))
+        three = np.stack([codes[at_risk + k] for k in range(3)])
+        held = np.add.reduceat(model.plain.surprise_after(*three), np.cumsum(sizes) - sizes, dtype=np.float64)
+        own_control = np.fromiter((CONTROLS.search(x) is not None for x in texts), bool, len(texts))
         encoded: dict[str, list[bytes | None]] = {}
-        for k, (right, wrong, lossy) in enumerate(model.classes):
-            if lossy:
+        for k, (right, wrong, _) in enumerate(model.classes):
+            rows = np.flatnonzero(need[:, k])
+            if not len(rows):
                 continue
             if right not in MULTIBYTE and wrong not in MULTIBYTE:
-                was = np.where(low, _map(right, wrong)[small], codes)
-                moved = np.logical_or.reduceat(was[2:] != codes[2:], first)
+                begin = np.cumsum(sizes[rows]) - sizes[rows]
+                part = three if len(rows) == len(texts) else three[:, np.repeat(need[:, k], sizes)]
+                was = np.where(part < 65536, _map(right, wrong)[np.where(part < 65536, part, 0)], part)
+                moved = np.logical_or.reduceat(was[2] != part[2], begin)
                 if moved.any():
-                    # Only the segments in which something moved; each brings the two line ends behind it.
-                    part = was if moved.all() else np.append(was[:2], was[2:][np.repeat(moved, sizes)])
-                    ends = np.cumsum(sizes[moved])
-                    begin = ends - sizes[moved]
-                    control = CONTROL[np.minimum(part[2:], 128)]
-                    self.fits[at[moved], k] = np.where(np.logical_or.reduceat(control, begin), REFUSED, WHOLE) if control.any() else WHOLE
-                    self.gains[at[moved], k] = base[moved] - np.add.reduceat(model.plain.surprise(part), begin, dtype=np.float64)
+                    control = CONTROL[np.minimum(was[2], 128)]
+                    refused = own_control[rows] | np.logical_or.reduceat(control, begin) if control.any() else own_control[rows]
+                    self.fits[at[rows], k] = np.where(moved, np.where(refused, REFUSED, WHOLE), SAME)
+                    self.gains[at[rows], k] = held[rows] - np.add.reduceat(model.plain.surprise_after(*was), begin, dtype=np.float64)
                 continue
             if right == "utf-8" and wrong not in MULTIBYTE:
                 search = _runs(wrong).search
-                was = [model.invert(x, k) if search(x) else (x, REFUSED) for x in texts]
+                results = [model.invert(x, k) if search(x) else (x, REFUSED) for x in (texts[i] for i in rows)]
             else:
                 if wrong not in encoded:
                     encoded[wrong] = [to_bytes(x, wrong) for x in texts]
-                was = [_fitted(x, None if data is None else to_text(data, right)) for x, data in zip(texts, encoded[wrong], strict=True)]
-            fits = np.fromiter((f for _, f in was), np.int8, len(was))
-            self.fits[at, k] = fits
-            rows = np.flatnonzero(fits > 0)
-            if len(rows):
-                self.gains[at[rows], k] = base[rows] + model.plain.score([was[i][0] for i in rows])
+                results = [_fitted(texts[i], None if encoded[wrong][i] is None else to_text(encoded[wrong][i], right)) for i in rows]
+            fits = np.fromiter((f for _, f in results), np.int8, len(results))
+            self.fits[at[rows], k] = fits
+            good = np.flatnonzero(fits > 0)
+            if len(good):
+                self.gains[at[rows[good]], k] = base[rows[good]] + model.plain.score([results[i][0] for i in good])
 
 
 def _fitted(segment: str, was: str | None) -> tuple[str, int]:
@@ -430,11 +450,11 @@ class Classifier:
     def segments(self) -> Segments:
         return Segments(self)
 
-    def judge(self, lines: list[str]) -> list[tuple[str, str] | None]:
+    def judge(self, lines: list[str], likeliest: int | None = None) -> list[tuple[str, str] | None]:
         """For each line its chain ("right<wrong") and what it was, or None if clean.
 
         A line is asked if the classifier holds any chain for likelier than clean text, and if it has an odd pair of
-        characters.  Every chain is inverted.  One counts if the characters allow the inversion and the
+        characters.  Every chain is inverted, or, if given, only the ``likeliest`` ones and all of UTF-8.  One counts if the characters allow the inversion and the
         result is a likelier clean text than the line was by ``GAIN``.  Of those that count, the one of the largest gain is
         taken; a chain that the classifier holds for less likely than clean text counts only if its result has nothing odd.  Of lossy chains the result stays the line itself.
         """
@@ -465,7 +485,13 @@ class Classifier:
         if not len(asked):
             return out
         at, begin = segments_of(asked)
-        fits, gains = known.measure(ids[at])
+        want = np.tile(~lossy, (len(asked), 1))
+        if likeliest is not None:
+            top = np.argpartition(-np.where(lossy, -np.inf, odds), likeliest, axis=1)[:, :likeliest]
+            want &= utf8
+            np.put_along_axis(want, top, True, axis=1)
+            want &= ~lossy
+        fits, gains = known.measure(ids[at], np.repeat(want, np.diff(np.append(begin, len(at))), axis=0))
         # What UTF-8 does not fit stays as it is; a one-byte inversion goes through the whole line.
         usable = np.where(utf8, np.where(fits > 0, np.maximum(gains, 0), 0), np.where(fits > 0, gains, 0))
         gain = np.add.reduceat(usable, begin, axis=0)
@@ -544,7 +570,7 @@ PART = 1 << 14
 
 
 def count_plain(docs: DataFrame, classifier: Classifier, text: str = "text") -> Plain:
-    """The character counts of all lines beyond ASCII of all documents that ``classifier`` holds for clean.
+    """The character counts of all lines beyond ASCII of all documents that ``classifier`` holds for clean, by the chains it finds likeliest.
 
     Each task counts its documents; the counts of a part of the tables are added in a task of their own, so that the
     driver gets tables of the same size whatever the size of the input.
@@ -556,7 +582,7 @@ def count_plain(docs: DataFrame, classifier: Classifier, text: str = "text") ->
         model, totals, waiting, size = shared.value, np.zeros(sum(sizes), np.int64), {}, 0
 
         def add() -> None:
-            for at, was in zip(waiting, model.judge(list(waiting)), strict=True):
+            for at, was in zip(waiting, model.judge(list(waiting), COUNTED), strict=True):
                 waiting[at] = 0 if was else waiting[at]
             model.plain.add({x: n for x, n in waiting.items() if n}, totals)
             waiting.clear()
