@@ -14,7 +14,7 @@ LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y",
 #: Fixed: marks that are not seen.
 UNSEEN = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 #: Fixed: words that add a detail to a host, or to a place, without changing what it is.
-HOST_DETAILS = ("host", "species", "sp", "spp", "adult", "juvenile", "young", "old", "dead", "live", "domestic", "dairy", "wild caught", "farmed", "captive", "female", "male", "herd", "flock", "feedlot", "blood", "serum", "nasal", "swab", "y", "yr", "years", "months", "weeks", "l", "linnaeus")
+HOST_DETAILS = ("host", "species", "sp", "spp", "adult", "juvenile", "young", "old", "dead", "live", "domestic", "dairy", "farmed", "captive", "female", "male", "herd", "flock", "feedlot", "blood", "serum", "nasal", "swab", "y", "yr", "years", "months", "weeks", "l", "linnaeus")
 PLACE_DETAILS = ("nr", "near", "prov", "province", "district", "region", "town", "village", "farm", "county", "of", "the", "rural", "urban", "unspecified", "unknown", "country", "northern", "southern", "eastern", "western", "central")
 #: Fixed: words for no value at all, whatever they resemble.
 NOTHING = ("various", "mixed", "unknown", "missing", "other", "others", "none", "test", "undetermined", "unspecified", "several", "imported")
@@ -81,37 +81,38 @@ def edits(n: Column) -> Column:
 
 
 def similar(texts: DataFrame, forms: DataFrame) -> DataFrame:
-    """(text, kind, entry, region, way, cost) of each text and form that are equal or within ``edits`` of each other.
+    """(field, text, kind, entry, region, way, cost) of each text and form of one field that are equal or within ``edits`` of each other.
 
     Equal ones are joined as they are.  A form is cut into one more segment than it may have edits, so
     a text in reach holds one of them unchanged, shifted by no more than the edits.  Texts without an
     equal form are joined with the segments on length, place and substring, and what meets is
     verified by the edit distance.  A text with "rn" is also tried with "m", which a reader takes it for, at a cost of 2.  Cost is 4 for an edit, 1 more if the first letters differ, 2 less if
-    both have the same letters; 0 for equal ones.  Texts, forms and result are written, as each is read several times.
+    both have the same letters; 0 for equal ones.  Texts and result are written, as each is read several times.
     """
-    tried = checkpointed(texts.select(F.col("text").alias("asked"), F.explode(F.array_distinct(F.array("text", F.replace("text", F.lit("rn"), F.lit("m"))))).alias("text")))
-    texts, forms = tried.select("text").distinct(), checkpointed(forms)
-    equal = texts.join(forms, "text").select("text", "kind", "entry", "region", "way", F.lit(0).alias("cost"))
-    others = texts.join(forms.select("text").distinct(), "text", "left_anti").where(F.length("text") >= 3).withColumn("m", F.length("text"))
+    key = ["field", "text"]
+    tried = checkpointed(texts.select("field", F.col("text").alias("asked"), F.explode(F.array_distinct(F.array("text", F.replace("text", F.lit("rn"), F.lit("m"))))).alias("text")))
+    texts = tried.select(*key).distinct()
+    equal = texts.join(forms, key).select(*key, "kind", "entry", "region", "way", F.lit(0).alias("cost"))
+    others = texts.join(forms.select(*key).distinct(), key, "left_anti").where(F.length("text") >= 3).withColumn("m", F.length("text"))
 
     sized = forms.withColumn("n", F.length("text")).withColumn("k", edits(F.length("text"))).where("k > 0")
     cut = sized.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k"))))
     cut = cut.withColumn("start", F.floor(F.col("j") * F.col("n") / (F.col("k") + 1)).cast("int")).withColumn("size", F.floor((F.col("j") + 1) * F.col("n") / (F.col("k") + 1)).cast("int") - F.col("start"))
-    segments = cut.select(F.col("text").alias("form"), "kind", "entry", "region", "way", "n", "k", "start", F.substring(F.col("text"), F.col("start") + 1, F.col("size")).alias("part"))
-    layout = cut.select("n", "k", "start", "size").distinct()
+    segments = cut.select("field", F.col("text").alias("form"), "kind", "entry", "region", "way", "n", "k", "start", F.substring(F.col("text"), F.col("start") + 1, F.col("size")).alias("part"))
+    layout = cut.select("field", "n", "k", "start", "size").distinct()
     layout = layout.withColumn("m", F.explode(F.sequence(F.greatest(F.col("n") - F.col("k"), F.lit(1)), F.col("n") + F.col("k"))))
-    layout = layout.withColumn("place", F.explode(F.sequence(F.greatest(F.col("start") - F.col("k"), F.lit(0)), F.col("start") + F.col("k")))).where("place + size <= m").select("m", "n", "start", "size", "place").distinct()
+    layout = layout.withColumn("place", F.explode(F.sequence(F.greatest(F.col("start") - F.col("k"), F.lit(0)), F.col("start") + F.col("k")))).where("place + size <= m").select("field", "m", "n", "start", "size", "place").distinct()
 
-    parts = others.join(layout, "m").select("text", "n", "start", F.substring(F.col("text"), F.col("place") + 1, F.col("size")).alias("part")).distinct()
-    met = parts.join(segments, ["n", "start", "part"]).select("text", "form", "kind", "entry", "region", "way", "n", "k").distinct()
+    parts = others.join(layout, ["field", "m"]).select(*key, "n", "start", F.substring(F.col("text"), F.col("place") + 1, F.col("size")).alias("part")).distinct()
+    met = parts.join(segments, ["field", "n", "start", "part"]).select(*key, "form", "kind", "entry", "region", "way", "n", "k").distinct()
     letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     met = met.withColumn("distance", F.expr("levenshtein(text, form, 3)")).where(F.col("distance").between(1, F.col("k")))
     same = letters(F.col("text")) == letters(F.col("form"))
     near = met.where((F.col("n") >= 8) | (F.col("distance") <= 1) | same)
     cost = F.col("distance") * 4 + F.when(F.substring("text", 1, 1) == F.substring("form", 1, 1), 0).otherwise(1) - F.when(same, 2).otherwise(0)
-    hits = equal.unionByName(near.where(~F.col("text").isin(*NOTHING)).select("text", "kind", "entry", "region", "way", cost.alias("cost")))
-    own = tried.join(hits, "text").withColumn("cost", F.col("cost") + F.when(F.col("asked") == F.col("text"), 0).otherwise(2))
-    return checkpointed(own.groupBy(F.col("asked").alias("text"), "kind", "entry", "region", "way").agg(F.min("cost").alias("cost")))
+    hits = equal.unionByName(near.where(~F.col("text").isin(*NOTHING)).select(*key, "kind", "entry", "region", "way", cost.alias("cost")))
+    own = tried.join(hits, key).withColumn("cost", F.col("cost") + F.when(F.col("asked") == F.col("text"), 0).otherwise(2))
+    return checkpointed(own.groupBy("field", F.col("asked").alias("text"), "kind", "entry", "region", "way").agg(F.min("cost").alias("cost")))
 
 
 def open_values(rows: DataFrame, field: str, names: DataFrame, key: str = "row_id") -> DataFrame:
@@ -120,72 +121,88 @@ def open_values(rows: DataFrame, field: str, names: DataFrame, key: str = "row_i
     return own.join(names.select(names.columns[0]).distinct().withColumnRenamed(names.columns[0], "value"), "value", "left_anti")
 
 
-def match_hosts(values: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(value, entry) of the distinct values that mean a host.
+def host_pieces(values: DataFrame) -> DataFrame:
+    """(value, at, text, written, other) of the whole value (at 0) and of its parts between breaks."""
+    text = folded(F.col("value"))
+    pieces = F.filter(F.transform(F.split(text, BREAKS), lambda p: spaced(p, HOST_DETAILS)), lambda p: p != "")
+    cut = values.select("value", spaced(text, HOST_DETAILS).alias("whole"), pieces.alias("pieces"))
+    asked = cut.select("value", F.posexplode(F.concat(F.array("whole"), F.when(F.size("pieces") > 1, F.col("pieces")).otherwise(F.array()))).alias("at", "written"))
+    return asked.select("value", "at", compact(F.col("written")).alias("text"), "written", F.lit("").alias("other")).where("text <> ''")
+
+
+def match_hosts(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """(value, entry) of the values that mean a host.
 
     A value means a host if all of it is one of the host's forms, or if its first part is and the others
     either are forms of the same host or none.
     """
-    details = HOST_DETAILS
-    text = folded(F.col("value"))
-    pieces = F.filter(F.transform(F.split(text, BREAKS), lambda p: spaced(p, details)), lambda p: p != "")
-    cut = values.select("value", spaced(text, details).alias("whole"), pieces.alias("pieces"))
-    asked = cut.select("value", F.posexplode(F.concat(F.array("whole"), F.when(F.size("pieces") > 1, F.col("pieces")).otherwise(F.array()))).alias("at", "written")).withColumn("text", compact(F.col("written"))).where("text <> ''")
-    asked = checkpointed(asked)
-    found = asked.join(similar(asked.select("text").distinct(), host_forms(hosts)), "text")
     # Of forms as close without spaces, the one that is closest as it is written.
     best = Window.partitionBy("value", "at").orderBy("cost", F.levenshtein("written", "way"), "entry")
-    per = found.withColumn("rank", F.row_number().over(best)).where("rank = 1").groupBy("value").agg(
+    per = asked.join(found, "text").withColumn("rank", F.row_number().over(best)).where("rank = 1").groupBy("value").agg(
         F.min(F.struct("at", "entry")).alias("first"), F.countDistinct(F.when(F.col("at") > 0, F.col("entry"))).alias("kinds"), F.min(F.when(F.col("at") == 0, F.col("entry"))).alias("whole"))
     return per.select("value", F.when(F.col("whole").isNotNull(), F.col("whole")).when((F.col("first.at") == 1) & (F.col("kinds") == 1), F.col("first.entry")).alias("entry")).where("entry is not null")
 
 
-def match_places(values: DataFrame, places: DataFrame) -> DataFrame:
-    """(value, entry) of the distinct values that mean a place.
+#: Stands for the rest of a value where it is longer than any form could be.
+REST = "\u0001"
+
+
+def place_sides(values: DataFrame, longest: int) -> DataFrame:
+    """(value, at, text, written, other): the words of a value as a whole and cut in two, either side first.
+
+    Only sides of at most ``longest`` words can be a form, as each word has a letter; the other side of such a cut stays as
+    ``REST``.  So a value has at most twice as many cuts, however long it is, and none that could match is left out.
+    """
+    cut = values.select("value", words(folded(F.col("value")), PLACE_DETAILS).alias("w")).withColumn("n", F.size("w")).where("n > 0")
+    side = lambda first, size: F.when(size <= longest, F.array_join(F.slice("w", first, size), "")).otherwise(F.lit(REST))
+    ends = F.array_union(F.sequence(F.lit(1), F.least(F.col("n") - 1, F.lit(longest))), F.sequence(F.greatest(F.col("n") - longest, F.lit(1)), F.col("n") - 1))
+    halves = F.transform(ends, lambda i: F.struct(side(F.lit(1), i).alias("text"), side(i + 1, F.col("n") - i).alias("other")))
+    whole = F.array(F.struct(side(F.lit(1), F.col("n")).alias("text"), F.lit("").alias("other")))
+    turned = F.transform(halves, lambda x: F.struct(x["other"].alias("text"), x["text"].alias("other")))
+    sides = F.concat(whole, F.when(F.col("n") > 1, F.concat(halves, turned)).otherwise(F.slice(whole, F.lit(1), F.lit(0))))
+    return cut.select("value", F.explode(sides).alias("x")).select("value", F.lit(0).alias("at"), "x.text", F.lit("").alias("written"), "x.other").where(F.col("text") != REST)
+
+
+def match_places(sides: DataFrame, found: DataFrame) -> DataFrame:
+    """(value, entry) of the values that mean a place.
 
-    The words of a value are cut in two at each place.  A country beside one of its districts, in either
+    A country beside one of its districts, in either
     order, means the district; a district alone means it if only one country has it; a country
     alone or beside other words means the country.  A district beside other words means nothing listed.
     The cheapest reading counts, and equal ones of different entries cancel out.
     """
-    text = words(folded(F.col("value")), PLACE_DETAILS)
-    cut = values.select("value", text.alias("w")).where(F.size("w").between(1, 12))
-    whole = F.struct(F.array_join("w", "").alias("a"), F.lit("").alias("b"))
-    halves = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.array_join(F.slice("w", F.lit(1), i), "").alias("a"), F.array_join(F.slice("w", i + 1, F.size("w")), "").alias("b")))
-    pairs = cut.select("value", F.explode(F.concat(F.array(whole), F.when(F.size("w") > 1, halves).otherwise(F.array().cast("array<struct<a:string,b:string>>")))).alias("x")).select("value", "x.a", "x.b")
-    both = pairs.where("b <> ''")
-    sides = pairs.unionByName(both.select("value", F.col("b").alias("a"), F.col("a").alias("b")))
-    sides = checkpointed(sides)
-    found = similar(sides.select(F.col("a").alias("text")).distinct(), place_forms(places))
-    country = found.where("kind = 'country'").groupBy("text", "entry", "region").agg(F.min("cost").alias("cost")).select(F.col("text").alias("a"), F.col("entry").alias("c_entry"), "region", F.col("cost").alias("c_cost"))
-    district = found.where("kind = 'district'").groupBy("text", "entry", "region").agg(F.min("cost").alias("cost")).select(F.col("text").alias("b"), F.col("entry").alias("d_entry"), "region", F.col("cost").alias("d_cost"))
-    alone = sides.where("b = ''").select("value", "a")
-    read = [
-        sides.where("b <> ''").join(country, "a").join(district, ["b", "region"]).select("value", F.col("d_entry").alias("entry"), (F.col("c_cost") + F.col("d_cost")).alias("cost")),
-        alone.join(country, "a").select("value", F.col("c_entry").alias("entry"), F.col("c_cost").alias("cost")),
-        alone.join(district.withColumnRenamed("b", "a"), "a").select("value", F.col("d_entry").alias("entry"), F.col("d_cost").alias("cost")),
-        sides.where("b <> ''").join(country, "a").select("value", F.col("c_entry").alias("entry"), (F.col("c_cost") + 100).alias("cost")),
-    ]
-    readings = read[0].unionByName(read[1]).unionByName(read[2]).unionByName(read[3]).groupBy("value", "entry").agg(F.min("cost").alias("cost"))
-    least = Window.partitionBy("value")
-    return readings.withColumn("least", F.min("cost").over(least)).where("cost = least").groupBy("value").agg(F.min("entry").alias("entry"), F.count("*").alias("n")).where("n = 1").select("value", "entry")
+    country = found.where("kind = 'country'").groupBy("text", "entry", "region").agg(F.min("cost").alias("cost")).select("text", F.col("entry").alias("c_entry"), "region", F.col("cost").alias("c_cost"))
+    district = found.where("kind = 'district'").groupBy("text", "entry", "region").agg(F.min("cost").alias("cost")).select("text", F.col("entry").alias("d_entry"), "region", F.col("cost").alias("d_cost"))
+    by_country = sides.join(country, "text")
+    # A country beside its district, else the country for what it costs, dearer beside other words.
+    beside = by_country.where("other <> ''").join(district.withColumnRenamed("text", "other"), ["other", "region"]).select("value", F.col("d_entry").alias("entry"), (F.col("c_cost") + F.col("d_cost")).alias("cost"))
+    alone = by_country.select("value", F.col("c_entry").alias("entry"), (F.col("c_cost") + F.when(F.col("other") == "", 0).otherwise(100)).alias("cost"))
+    single = sides.where("other = ''").join(district, "text").select("value", F.col("d_entry").alias("entry"), F.col("d_cost").alias("cost"))
+    readings = beside.unionByName(alone).unionByName(single).groupBy("value", "entry").agg(F.min("cost").alias("cost"))
+    # Of each value the entries at its least cost: one, or more that cancel out.
+    least = readings.groupBy("value", "cost").agg(F.min("entry").alias("entry"), F.count("*").alias("n")).groupBy("value").agg(F.min(F.struct("cost", "entry", "n")).alias("x"))
+    return least.where("x.n = 1").select("value", "x.entry")
 
 
 def map_values(rows: DataFrame, hosts: DataFrame, places: DataFrame, key: str = "row_id") -> DataFrame:
     """(key, field, value, ref_id) of every row and field with a value to be mapped; ref_id is -1 if it means nothing listed.
 
     Null values, white space and values identical to a host_name or location_name are no cases.  Empty reference lists map
-    all values to -1.  Values are mapped once each, however many rows have them; rows given twice come out twice.
-    Values of more than 12 words are no places.  Other columns are not read.
+    all values to -1.  Values are mapped once each, however many rows have them and however long they are; rows given twice come out twice.
+    Both fields go through one search.  Other columns are not read.
     """
-    out = []
-    for field, names, reference, match in (("host", hosts.select("host_name"), hosts, match_hosts), ("location", places.select("location_name"), places, match_places)):
-        own = open_values(rows, field, names, key)
-        values = checkpointed(own.select("value").distinct())
-        meant = checkpointed(match(values, reference))
-        unmatched = values.join(meant, "value", "left_anti").select("value", F.lit(-1).cast("bigint").alias("entry"))
-        out.append(own.join(meant.unionByName(unmatched), "value").select(key, F.lit(field).alias("field"), "value", F.col("entry").alias("ref_id")))
-    return out[0].unionByName(out[1])
+    parts = [open_values(rows, field, names, key).select(key, F.lit(field).alias("field"), "value") for field, names in (("host", hosts.select("host_name")), ("location", places.select("location_name")))]
+    own = parts[0].unionByName(parts[1])
+    values = checkpointed(own.select("field", "value").distinct())
+    of = lambda df, field: df.where(F.col("field") == field).drop("field")
+    forms = checkpointed(host_forms(hosts).withColumn("field", F.lit("host")).unionByName(place_forms(places).withColumn("field", F.lit("location"))))
+    longest = (forms.agg(F.max(F.length("text"))).first()[0] or 0) + 3
+    asked = checkpointed(host_pieces(of(values, "host")).withColumn("field", F.lit("host")).unionByName(place_sides(of(values, "location"), longest).withColumn("field", F.lit("location"))))
+    found = similar(asked.select("field", "text").where(F.length("text") <= longest).distinct(), forms)
+    meant = match_hosts(of(asked, "host"), of(found, "host")).withColumn("field", F.lit("host")).unionByName(match_places(of(asked, "location"), of(found, "location")).withColumn("field", F.lit("location")))
+    meant = checkpointed(meant)
+    unmatched = values.join(meant, ["field", "value"], "left_anti").select("field", "value", F.lit(-1).cast("bigint").alias("entry"))
+    return own.join(meant.select("field", "value", "entry").unionByName(unmatched), ["field", "value"]).select(key, "field", "value", F.col("entry").alias("ref_id"))
 
 
 def unmatched_report(mapped: DataFrame) -> DataFrame:

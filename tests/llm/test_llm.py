@@ -249,5 +249,8 @@ def test_canonical(spark):
     places = spark.createDataFrame(PLACES, "location_id long, location_name string, country string, district string, country_code string, other_names string")
     got = {(r.field, r.value): r.ref_id for r in canonical.map_values(md, hosts, places).collect()}
     assert got == {(f, v): n for f, c in CASES.items() for v, n in c.items()}
+    far = " ".join(f"word{i}" for i in range(60))
+    long = spark.createDataFrame([(1, None, f"Nolabrañ {far}"), (2, None, f"{far} Petouki"), (3, None, f"Kotrax {far}"), (4, None, "Nova Gefas " * 5000), (5, None, f"Petouki, Kotrax {far}")], "row_id long, host string, location string")
+    assert {r.row_id: r.ref_id for r in canonical.map_values(long, hosts, places).collect()} == {1: 10, 2: 20, 3: -1, 4: -1, 5: 20}
     assert canonical.map_values(md.limit(0), hosts, places).count() == 0
     assert {r.ref_id for r in canonical.map_values(md, hosts.limit(0), places.limit(0)).collect()} == {-1}
