@@ -191,9 +191,10 @@ class Plain:
         codes, first = codes_of(list(lines))
         chars, _, pair, _, triple = Plain._read(codes)
         times = np.repeat(np.fromiter(lines.values(), np.int64, len(lines)), np.diff(np.append(first, len(codes) - 2)))
-        for at in (triple, pair + np.uint32(1 << 21), chars + np.uint32((1 << 21) + (1 << 20))):
-            where, n = np.unique(at, return_inverse=True)
-            totals[where] += np.bincount(n, times).astype(np.int64)
+        start = 0
+        for at, bits in ((triple, 21), (pair, 20), (chars, 16)):
+            totals[start : start + (1 << bits)] += np.bincount(at, times, minlength=1 << bits).astype(np.int64)
+            start += 1 << bits
 
     @staticmethod
     def _read(codes: np.ndarray) -> tuple[np.ndarray, ...]:
