@@ -21,12 +21,12 @@ def references(alignment: DataFrame) -> DataFrame:
 
 
 def queries_beside_reference(alignment: DataFrame) -> DataFrame:
-    """Every record but the reference with ``ref`` beside it.
+    """Every record but the reference with ``ref`` beside it; other columns are left out.
 
     The other side is one row per dataset; a dataset with a third of all records is split by Spark's skew join.
     """
     refs = references(alignment)
-    return alignment.join(refs, "dataset_id").where(F.col("seq_ord") != F.col("ref_ord"))
+    return alignment.select("dataset_id", "seq_ord", "sequence_id", "seq").join(refs, "dataset_id").where(F.col("seq_ord") != F.col("ref_ord"))
 
 
 def alignment_summary(alignment: DataFrame) -> DataFrame:

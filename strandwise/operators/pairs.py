@@ -124,7 +124,7 @@ def _diversities(alignment: DataFrame, weights: Callable[[int, int, int], tuple[
             total = pairs = np.zeros(len(w))
         else:
             total, pairs = pair_sums(_matrix(table.filter(pa.array(side)), width), _matrix(table.filter(pa.array(~side)), width), w)
-        return pa.table({"dataset_id": [dataset] * len(w), "k": pa.array(numbers, pa.int32()), "total": total, "pairs": pairs})
+        return pa.table({"dataset_id": pa.array([dataset] * len(w), pa.string()), "k": pa.array(numbers, pa.int32()), "total": total, "pairs": pairs})
 
     widest = alignment.groupBy("dataset_id").agg(F.max(F.length("seq")).alias("widest"))
     ready = classes.join(widest, "dataset_id").select("dataset_id", "_a", "_b", "_part", "_parts", "_left", "n", "counts", "widest")
@@ -307,7 +307,7 @@ def poor_overlap_examples(alignment: DataFrame, references: DataFrame, most: int
     solid = lambda c: F.regexp_replace(c, "[-.?]+", "-")
     lo = lambda c: F.length(F.regexp_extract(c, r"^[-.?]*", 0))
     hi = lambda c: F.length(c) - F.length(F.regexp_extract(c, r"[-.?]*$", 0)) - 1
-    rows = alignment.join(references, "dataset_id").where((F.col("seq_ord") != F.col("ref_ord")) & (solid(F.col("seq")) != "-") & (solid(F.col("ref")) != "-"))
+    rows = alignment.select("dataset_id", "seq_ord", "sequence_id", "seq").join(references, "dataset_id").where((F.col("seq_ord") != F.col("ref_ord")) & (solid(F.col("seq")) != "-") & (solid(F.col("ref")) != "-"))
     spans = rows.select("dataset_id", "seq_ord", "sequence_id", lo("seq").alias("a"), hi("seq").alias("b"), lo("ref").alias("c"), hi("ref").alias("d"))
     overlap = F.greatest(F.lit(0), F.least("b", "d") - F.greatest("a", "c") + 1)
     poor = spans.where(overlap < F.least(F.col("b") - F.col("a"), F.col("d") - F.col("c")) * POOR_OVERLAP + POOR_OVERLAP)
