@@ -135,16 +135,21 @@ def _pairs(loads: DataFrame) -> DataFrame:
     return loads.where(F.col("previous_load_id").isNotNull()).select("load_id", "previous_load_id").distinct()
 
 
-def _now_and_then(counts: DataFrame, loads: DataFrame, n: str) -> DataFrame:
-    """``counts`` of each load with a previous one and of that previous one, the rows' ``n`` as ``now`` or as ``then``."""
+def _roles(loads: DataFrame) -> DataFrame:
+    """(source, load_id, now): each load with a previous one takes part in its own comparison as now, and the previous one as then."""
+    both = F.array(F.struct(F.col("load_id").alias("source"), F.lit(1).alias("now")), F.struct(F.col("previous_load_id").alias("source"), F.lit(0).alias("now")))
+    return broadcast_if_small(checkpointed(_pairs(loads).select("load_id", F.explode(both).alias("x")).select("x.source", "load_id", "x.now")))
+
+
+def _now_and_then(counts: DataFrame, roles: DataFrame, n: str) -> DataFrame:
+    """``counts`` of the loads in their roles, the rows' ``n`` as ``now`` or as ``then``."""
     zero = F.lit(0).cast("bigint")
-    pairs = _pairs(loads)
     others = [c for c in counts.columns if c not in ("load_id", n)]
-    own = counts.join(pairs.select("load_id").distinct(), "load_id", "left_semi").select("load_id", *others, F.col(n).alias("now"), zero.alias("then"))
-    return own.unionByName(counts.withColumnRenamed("load_id", "previous_load_id").join(pairs, "previous_load_id").select("load_id", *others, zero.alias("now"), F.col(n).alias("then")))
+    met = counts.withColumnRenamed("load_id", "source").join(roles.withColumnRenamed("now", "_now"), "source")
+    return met.select("load_id", *others, F.when(F.col("_now") == 1, F.col(n)).otherwise(zero).alias("now"), F.when(F.col("_now") == 0, F.col(n)).otherwise(zero).alias("then"))
 
 
-def distribution_shifts(judged: DataFrame, cells: DataFrame, loads: DataFrame) -> DataFrame:
+def distribution_shifts(judged: DataFrame, cells: DataFrame, roles: DataFrame) -> DataFrame:
     """(load_id, column_name, shift, shifted): the largest difference of the shares of valid values <= x in a load and the one before.
 
     The differences at the borders of the range's buckets follow from the cells.  Inside a bucket the difference cannot leave
@@ -152,7 +157,7 @@ def distribution_shifts(judged: DataFrame, cells: DataFrame, loads: DataFrame) -
     those are cut again, so that no task holds more than a part of a bucket.  Null if either load has no valid value.
     """
     counts = cells.where("n_valid > 0").groupBy("load_id", "column_name", "bucket").agg(F.sum("n_valid").alias("n"))
-    lines = _now_and_then(counts, loads, "n").groupBy("load_id", "column_name", "bucket").agg(F.sum("now").alias("now"), F.sum("then").alias("then"))
+    lines = _now_and_then(counts, roles, "n").groupBy("load_id", "column_name", "bucket").agg(F.sum("now").alias("now"), F.sum("then").alias("then"))
     whole = Window.partitionBy("load_id", "column_name")
     upto = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     big = lambda c: c.cast("decimal(18,0)")
@@ -163,9 +168,10 @@ def distribution_shifts(judged: DataFrame, cells: DataFrame, loads: DataFrame) -
     most = F.greatest(before + big(F.col("now")) * big(F.col("n_then")), -before + big(F.col("then")) * big(F.col("n_now")))
     sums = checkpointed(sums.withColumn("gap", F.abs(gap(F.col("r_now"), F.col("r_then")))).withColumn("most", most).withColumn("best", F.max("gap").over(whole)))
     open_ = sums.where("most > best").select("load_id", "column_name", "bucket", "n_now", "n_then", (F.col("r_now") - F.col("now")).alias("b_now"), (F.col("r_then") - F.col("then")).alias("b_then"))
-    asked = checkpointed(open_.select("load_id", "column_name", "bucket").unionByName(open_.join(_pairs(loads), "load_id").select(F.col("previous_load_id").alias("load_id"), "column_name", "bucket")).distinct())
-    inside = judged.where("valid").join(broadcast_if_small(asked), ["load_id", "column_name", "bucket"], "left_semi").groupBy("load_id", "column_name", "bucket", "fine", "number").agg(F.sum("n").alias("n"))
-    line = _now_and_then(inside, loads, "n").join(open_.select("load_id", "column_name", "bucket"), ["load_id", "column_name", "bucket"], "left_semi")
+    open_ = broadcast_if_small(checkpointed(open_))
+    asked = open_.join(roles, "load_id").select(F.col("source").alias("load_id"), "column_name", "bucket").distinct()
+    inside = judged.where("valid").join(broadcast_if_small(checkpointed(asked)), ["load_id", "column_name", "bucket"], "left_semi").groupBy("load_id", "column_name", "bucket", "fine", "number").agg(F.sum("n").alias("n"))
+    line = _now_and_then(inside, roles, "n").join(open_.select("load_id", "column_name", "bucket"), ["load_id", "column_name", "bucket"], "left_semi")
     summed = running_sums(line, ["load_id", "column_name", "bucket"], F.col("fine"), "number", ["now", "then"])
     exact = summed.join(open_, ["load_id", "column_name", "bucket"]).select("load_id", "column_name", "n_now", "n_then", F.abs(gap(F.col("b_now") + F.col("run_now"), F.col("b_then") + F.col("run_then"))).alias("gap"))
     scale = big(F.col("n_now")) * big(F.col("n_then"))
@@ -175,13 +181,13 @@ def distribution_shifts(judged: DataFrame, cells: DataFrame, loads: DataFrame) -
     )
 
 
-def coverage_changes(cells: DataFrame, loads: DataFrame) -> DataFrame:
+def coverage_changes(cells: DataFrame, roles: DataFrame) -> DataFrame:
     """(load_id, column_name, coverage_change): the largest change of an expression's share of the non-null rows since the load before.
 
     Null without such rows in the load or in the one before.
     """
     held = cells.where(~F.col("absent")).groupBy("load_id", "column_name", F.coalesce("expression", F.lit("")).alias("expression")).agg(F.sum("n_rows").alias("n"))
-    line = _now_and_then(held, loads, "n").groupBy("load_id", "column_name", "expression").agg(F.sum("now").alias("now"), F.sum("then").alias("then"))
+    line = _now_and_then(held, roles, "n").groupBy("load_id", "column_name", "expression").agg(F.sum("now").alias("now"), F.sum("then").alias("then"))
     totals = line.groupBy("load_id", "column_name").agg(F.sum("now").alias("n_now"), F.sum("then").alias("n_then")).where("n_now > 0 and n_then > 0")
     change = F.max(F.abs(F.col("now") / F.col("n_now") - F.col("then") / F.col("n_then")))
     return line.join(totals, ["load_id", "column_name"]).groupBy("load_id", "column_name").agg(change.alias("coverage_change"))
@@ -190,7 +196,7 @@ def coverage_changes(cells: DataFrame, loads: DataFrame) -> DataFrame:
 def _judged(table: DataFrame, ranges: Mapping[str, tuple[float, float]], load: str) -> tuple[DataFrame, DataFrame]:
     """(judged values, cells).  The distinct values are written once, as expressions, cells and shifts read them; so are the few rows of expressions and cells."""
     values = checkpointed(distinct_values(table.where(F.col(load).isNotNull()), list(ranges), load))
-    judged = judged_values(values, checkpointed(induced_expressions(values)), ranges)
+    judged = judged_values(values, broadcast_if_small(checkpointed(induced_expressions(values))), ranges)
     return judged, checkpointed(cells_of(judged))
 
 
@@ -204,7 +210,7 @@ def load_profile(table: DataFrame, loads: DataFrame, ranges: Mapping[str, tuple[
     Shares are compared as whole numbers, so a difference of just the limit is no issue.
     """
     judged, cells = _judged(table, ranges, load)
-    stats = load_statistics(cells)
+    stats, roles = load_statistics(cells), _roles(loads)
     pairs = loads.select("load_id", "previous_load_id").dropDuplicates(["load_id"])
     before = stats.select(F.col("load_id").alias("previous_load_id"), "column_name", F.col("n_rows").alias("p_rows"), F.col("n_null").alias("p_null"))
     big = lambda c: F.col(c).cast("decimal(18,0)")
@@ -212,8 +218,8 @@ def load_profile(table: DataFrame, loads: DataFrame, ranges: Mapping[str, tuple[
     return (
         stats.join(pairs, "load_id", "left")
         .join(before, ["previous_load_id", "column_name"], "left")
-        .join(distribution_shifts(judged, cells, loads), ["load_id", "column_name"], "left")
-        .join(coverage_changes(cells, loads), ["load_id", "column_name"], "left")
+        .join(distribution_shifts(judged, cells, roles), ["load_id", "column_name"], "left")
+        .join(coverage_changes(cells, roles), ["load_id", "column_name"], "left")
         .select(
             "load_id", "column_name", "n_rows", (F.col("n_null") / F.col("n_rows")).alias("null_share"), "n_distinct", "n_nonconforming", "n_ill_formed", "n_out_of_range", "n_valid", "min_valid", "max_valid",
             (F.col("n_null") / F.col("n_rows") - F.col("p_null") / F.col("p_rows")).alias("null_change"), "shift", "coverage_change",
@@ -235,7 +241,7 @@ def expression_profile(table: DataFrame, loads: DataFrame, ranges: Mapping[str,
     listed = spelt.groupBy("load_id", "column_name").agg(F.array_sort(F.collect_list(F.struct((-F.col("n_rows")).alias("m"), "expression"))).alias("x"))
     listed = listed.select("load_id", "column_name", F.transform("x", lambda e: F.struct(e["expression"].alias("expression"), (-e["m"]).alias("n_rows"))).alias("expressions"))
     sums = load_statistics(cells).select("load_id", "column_name", "n_nonconforming")
-    return sums.join(coverage_changes(cells, _pairs(loads).dropDuplicates(["load_id"])), ["load_id", "column_name"], "left").join(listed, ["load_id", "column_name"], "left").select("load_id", "column_name", "n_nonconforming", "coverage_change", "expressions")
+    return sums.join(coverage_changes(cells, _roles(loads.where(F.col("previous_load_id").isNotNull()).dropDuplicates(["load_id"]))), ["load_id", "column_name"], "left").join(listed, ["load_id", "column_name"], "left").select("load_id", "column_name", "n_nonconforming", "coverage_change", "expressions")
 
 
 def load_issues(profile: DataFrame) -> DataFrame:
