@@ -15,6 +15,7 @@ from strandwise.operators import epidemic as E
 from strandwise.operators import genes as GN
 from strandwise.operators import phylo as P
 from strandwise.plans import genomics as Q
+from strandwise.sources import files
 from strandwise.sources.tables import table
 
 _alignment, _rounded, _dated = Q._alignment, Q._rounded, Q._dated
@@ -144,11 +145,26 @@ def summary_fit(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(M.fit_error(stored.join(scores, "dataset_id"), ["load_id"], "gvi", "stored"), 6)
 
 
+def fasta_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The sequence table as FASTA text of one file per dataset, read again: what loads of each file and what does not, by reason."""
+    t = table(spark, d, "sequences")
+    raw = t.select(F.col("dataset_id").alias("source"), F.lit(1).alias("block"), F.col("seq_ord").alias("at"), F.concat("sequence_id", F.lit(" x\n"), F.regexp_replace("seq", "(.{60})", "$1\n")).alias("value"))
+    good, bad = files.parse_fasta(raw)
+    return good.select("source", F.lit("loaded").alias("reason")).unionByName(bad.select("source", "reason")).groupBy("source", "reason").agg(F.count("*").alias("n"))
+
+
+def header_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Date, place and host of the FASTA headers that the metadata rows would have."""
+    header = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in ("sequence_id", "location", "host", "collection_date")])
+    day, by_year, place, host = files.header_fields(header)
+    return table(spark, d, "metadata").select("row_id", F.date_format(day, "yyyy-MM-dd").alias("day"), by_year.alias("by_year"), place.alias("location"), host.alias("host"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         genes, trimmed_genes, gene_cds, selection_by_gene, worst_genes, selection_pooled_genes, adaptation_by_gene, selection_test, signature_test, index_bands, index_ranges, per_sequence, exclusions, date_shuffle, outbreak_age,
-        dataset_summary, substitution_counts, base_composition, codon_frequencies, summary_fit,
+        dataset_summary, substitution_counts, base_composition, codon_frequencies, summary_fit, fasta_counts, header_fields,
     )
 }
 
@@ -277,6 +293,16 @@ SELECT x.dataset_id, x.base AS a, y.base AS b, sum(CASE WHEN x.base = y.base THE
 cp3 AS (SELECT x.dataset_id, codon, x.share * y.share * z.share AS p FROM code JOIN f3 x ON x.codon_position = 1 AND x.base = substr(codon, 1, 1) JOIN f3 y ON y.dataset_id = x.dataset_id AND y.codon_position = 2 AND y.base = substr(codon, 2, 1)
   JOIN f3 z ON z.dataset_id = x.dataset_id AND z.codon_position = 3 AND z.base = substr(codon, 3, 1) WHERE amino_acid <> '*')
 SELECT dataset_id, codon, round(p / sum(p) OVER (PARTITION BY dataset_id), 9) AS share FROM cp3""",
+    "fasta_counts": """WITH r AS (SELECT dataset_id AS source, split_part(split_part(sequence_id || ' x', ' ', 1), chr(9), 1) AS id, upper(seq) AS s FROM sequences),
+g AS (SELECT *, regexp_full_match(s, '[ACGTURYWSKMBDHVN.?-]+') AS fits FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY source, id, fits) AS nth FROM g)
+SELECT source, CASE WHEN id = '' THEN 'empty id' WHEN coalesce(s, '') = '' THEN 'empty sequence' WHEN NOT fits THEN 'invalid letters' WHEN nth > 1 THEN 'repeated id' ELSE 'loaded' END AS reason, count(*) AS n FROM n GROUP BY ALL""",
+    "header_fields": """WITH h AS (SELECT row_id, concat_ws('|', coalesce(sequence_id, ''), coalesce(location, ''), coalesce(host, ''), coalesce(collection_date, '')) AS h FROM metadata),
+p AS (
+  SELECT row_id, list_filter(list_transform(regexp_extract_all(h, '[0-9]{4}-[0-9]{2}-[0-9]{2}'), lambda x: try_cast(x AS DATE)), lambda x: x IS NOT NULL)[1] AS day,
+    try_cast(nullif(regexp_extract(h, '(^|[^0-9])((19|20)[0-9]{2})($|[^0-9])', 2), '') || '-01-01' AS DATE) AS y, string_split(h, '|') AS f FROM h),
+q AS (SELECT *, len(f) = 4 AND list_bool_and(list_transform(f, lambda x: trim(x, ' ') <> '')) AND regexp_matches(f[4], '[0-9]{4}') AS fits FROM p)
+SELECT row_id, strftime(coalesce(day, y + date_diff('day', y, (y + INTERVAL 1 YEAR)::DATE)::INT // 2)::DATE, '%Y-%m-%d') AS day, day IS NULL AND y IS NOT NULL AS by_year, CASE WHEN fits THEN trim(f[2], ' ') END AS location, CASE WHEN fits THEN trim(f[3], ' ') END AS host FROM q""",
     "summary_fit": "WITH one AS (SELECT 1)"
     + Q._composite("SELECT row_id::VARCHAR AS dataset_id, 'mu' AS key, try_cast(mu AS DOUBLE) AS value FROM all_pathogens_summary UNION ALL SELECT row_id::VARCHAR, 'MB', mb FROM all_pathogens_summary UNION ALL SELECT row_id::VARCHAR, 'GC_Deviation', gc FROM all_pathogens_summary")
     + """, t AS (SELECT load_id, row_id::VARCHAR AS dataset_id, try_cast(gvi AS DOUBLE) AS stored FROM all_pathogens_summary), e AS (SELECT load_id, gvi.gvi - stored AS gap FROM t JOIN gvi USING (dataset_id))

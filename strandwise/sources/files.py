@@ -5,12 +5,14 @@ All read with Spark's splittable text or CSV sources; nothing is inferred and no
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandwise.functions import genetic_code
 from strandwise.functions import nucleotides as N
-from strandwise.functions.bands import KEYS
+from strandwise.functions.bands import KEYS, RAW_WEIGHTS
 
 LETTERS = r"\A[ACGTURYWSKMBDHVNacgturywskmbdhvn.?-]+\z"
 
@@ -27,7 +29,11 @@ def read_fasta(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     Text before the first ">" , records without sequence or with other letters, and all but the first record of an id are skipped.
     An empty id is an error for its record.  Sequences come out in capitals.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    return parse_fasta(spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"))
+
+
+def parse_fasta(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``read_fasta`` of text that is at hand: (source, block, at, value), one record per value without its ">", but for the first of block 0."""
     top = raw.where("block = 0").groupBy("source").agg(F.min("at").alias("top"))
     rows = raw.join(top, "source", "left").withColumn("is_top", (F.col("block") == 0) & (F.col("at") == F.col("top")))
     head_free = F.col("is_top") & ~F.col("value").startswith(">")
@@ -75,16 +81,19 @@ def read_gff(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def read_vcf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(source, chrom, pos, ref, alt, depth) of VCF files (plain or gzip), one row per alternative, and malformed rows.
 
-    Depth is DP of INFO, else DP of the first sample.  ``.`` and ``*`` are no alternatives.
+    Depth is DP of INFO, else DP of the first sample.  ``.`` and ``*`` are no alternatives.  Of files without a ``#CHROM`` line no row loads.
     """
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), F.regexp_replace("value", r"\r\z", "").alias("value")).where("trim(value) <> '' and not startswith(value, '#')").withColumn("c", F.split("value", "\t", -1))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), F.regexp_replace("value", r"\r\z", "").alias("value"))
+    rows = lines.where("trim(value) <> '' and not startswith(value, '#')").withColumn("c", F.split("value", "\t", -1))
     at = lambda i: F.get("c", F.lit(i))
     info = F.nullif(F.regexp_extract(F.coalesce(at(7), F.lit("")), r"(?:^|;)DP=(\d+)", 1), F.lit("")).try_cast("int")
     keys = F.split(F.coalesce(at(8), F.lit("")), ":")
     spot = F.array_position(keys, "DP")
     sample = F.when(spot > 0, F.get(F.split(F.coalesce(at(9), F.lit("")), ":"), (spot - 1).cast("int")).try_cast("int"))
     rows = rows.withColumn("pos", at(1).try_cast("bigint")).withColumn("depth", F.coalesce(info, sample))
-    reason = F.when(F.size("c") < 8, "too few columns").when(F.col("pos").isNull(), "position is no number").when(at(4) == ".", "no alternative")
+    named = lines.where(F.startswith("value", F.lit("#CHROM"))).select("source").distinct().withColumn("named", F.lit(True))
+    rows = rows.join(named, "source", "left")
+    reason = F.when(F.col("named").isNull(), "no #CHROM line").when(F.size("c") < 8, "too few columns").when(F.col("pos").isNull(), "position is no number").when(at(4) == ".", "no alternative")
     good, bad = _split(rows.withColumn("chrom", at(0)).withColumn("ref", at(3)).withColumn("alts", F.split(F.coalesce(at(4), F.lit("")), ",")), reason, ["source", "chrom", "pos", "ref", "alts", "depth"], "source", "value")
     return good.withColumn("alt", F.explode("alts")).where("alt <> '*' and alt <> '.'").select("source", "chrom", "pos", "ref", "alt", "depth"), bad
 
@@ -132,6 +141,61 @@ def read_codon_usage(spark: SparkSession, path: str) -> DataFrame:
     return coded.select("codon", "frequency", F.greatest(F.try_divide("frequency", F.max("frequency").over(Window.partitionBy("amino_acid"))), F.lit(1e-4)).alias("weight"))
 
 
+def read_host_codon_usage(spark: SparkSession, path: str, aliases: Mapping[str, str] | None = None) -> DataFrame:
+    """(host, codon, frequency, weight) of a folder with one codon usage CSV per host, named by it; ``aliases`` names a host after another's table.
+
+    Hosts are compared without case, spaces and underscores; weights as in ``read_codon_usage``.
+    """
+    rows = _csv(spark, path).select(host_key(F.url_decode(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))).alias("host"), F.translate(F.upper(F.btrim("codon")), "U", "T").alias("codon"), F.col("frequency").cast("double").alias("frequency"))
+    coded = rows.join(F.broadcast(genetic_code.code_table(spark)), "codon").where("amino_acid <> '*'")
+    weighed = coded.select("host", "codon", "frequency", F.greatest(F.try_divide("frequency", F.max("frequency").over(Window.partitionBy("host", "amino_acid"))), F.lit(1e-4)).alias("weight"))
+    if not aliases:
+        return weighed
+    same = spark.createDataFrame(list(aliases.items()), "alias string, host string").select(host_key(F.col("alias")).alias("alias"), host_key(F.col("host")).alias("host"))
+    return weighed.unionByName(weighed.join(same, "host").select(F.col("alias").alias("host"), "codon", "frequency", "weight"))
+
+
+def host_key(name: Column) -> Column:
+    """A host's name as tables are found by it."""
+    return F.translate(F.lower(F.regexp_replace(name, r"\.csv(\.gz)?\z", "")), " _-", "")
+
+
+def read_generation_times(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(pathogen, applicable, days) of a CSV of generation times, and rows against the rules: applicable ones have positive days, others none."""
+    df = _csv(spark, path)
+    if not {"pathogen", "applicable", "days"} <= set(df.columns):
+        raise ValueError("generation times need columns pathogen, applicable and days")
+    flag = F.lower(F.btrim("applicable"))
+    rows = df.select(F.lit(path).alias("source"), F.btrim("pathogen").alias("pathogen"), F.when(flag.isin("true", "yes"), F.lit(True)).when(flag.isin("false", "no"), F.lit(False)).alias("applicable"), F.col("days").alias("text"), F.col("days").try_cast("double").alias("days"))
+    wrong = F.col("text").isNotNull() & F.col("days").isNull()
+    reason = (
+        F.when(F.coalesce("pathogen", F.lit("")) == "", "blank pathogen").when(F.col("applicable").isNull(), "neither applicable nor not").when(wrong, "days are no number")
+        .when(F.col("applicable") & ~F.coalesce(F.col("days") > 0, F.lit(False)), "applicable without positive days").when(~F.col("applicable") & F.col("days").isNotNull(), "days though not applicable")
+    )
+    return _split(rows, reason, ["pathogen", "applicable", "days"], "source", "pathogen")
+
+
+def read_weights(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(key, weight) of a JSON object of index labels and numbers, laid over the usual weights and scaled to sum to 1; and entries that do not count.
+
+    Labels are compared without case.  Unknown labels, negative numbers and what is no number do not count.
+    """
+    text = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string,string>")).alias("label", "text"))
+    usual = spark.createDataFrame(list(RAW_WEIGHTS.items()), "key string, usual double")  # nine rows
+    rows = text.join(usual, F.lower(F.btrim("label")) == F.lower("key"), "left").withColumn("weight", F.col("text").try_cast("double")).withColumn("source", F.lit(path))
+    reason = F.when(F.col("key").isNull(), "unknown index").when(F.col("weight").isNull() | F.isnan("weight"), "no number").when(F.col("weight") < 0, "negative")
+    good, bad = _split(rows, reason, ["key", "weight"], "source", "label")
+    laid = usual.join(good, "key", "left").select("key", F.coalesce("weight", "usual").alias("weight"))
+    return laid.select("key", (F.col("weight") / F.sum("weight").over(Window.partitionBy(F.lit(0)))).alias("weight")), bad
+
+
+def parse_counts(good: DataFrame, bad: DataFrame) -> DataFrame:
+    """(source, n_loaded, n_skipped, status) of a reader's two results with a source: how much loaded, and ``no valid record`` where nothing did."""
+    both = good.select("source", F.lit(1).alias("loaded"), F.lit(0).alias("skipped")).unionByName(bad.select("source", F.lit(0).alias("loaded"), F.lit(1).alias("skipped")))
+    sums = both.groupBy("source").agg(F.sum("loaded").alias("n_loaded"), F.sum("skipped").alias("n_skipped"))
+    return sums.withColumn("status", F.when(F.col("n_loaded") == 0, "no valid record").otherwise("loaded"))
+
+
 def read_calibration(spark: SparkSession, path: str) -> DataFrame:
     """(row, target, key, value) of a calibration CSV: one column ``target`` and one per index label, in any case."""
     df = _csv(spark, path)
@@ -160,3 +224,8 @@ def write_summary(parts: DataFrame, scores: DataFrame, path: str) -> None:
     """One CSV row per dataset: the composite and a column per index."""
     wide = parts.groupBy("dataset_id").pivot("key", list(KEYS)).agg(F.first("value"))
     scores.join(wide, "dataset_id").write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_per_sequence(rows: DataFrame, path: str) -> None:
+    """One CSV row per query with its values."""
+    rows.write.mode("overwrite").option("header", True).csv(path)

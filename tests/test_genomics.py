@@ -63,7 +63,8 @@ def test_sites_and_trim(spark):
     al = align(spark, "ACGTAC-T", "ACATCC-T", "GCATCCAT", "GC-TCNAT")
     s = A.site_summary(al).first()
     assert (s.n_columns, s.n_variable, s.n_informative, s.n_gap_free, s.n_covered, s.longest_block) == (8, 3, 1, 6, 5, 3)
-    assert [r.seq for r in A.trimmed(al).orderBy("seq_ord").collect()] == ["ACTACT", "ACTCCT", "GCTCCT", "GCTCNT"]
+    assert [r.seq for r in A.trimmed(al, 1).orderBy("seq_ord").collect()] == ["ACTACT", "ACTCCT", "GCTCCT", "GCTCNT"]
+    assert A.trimmed(al).count() == 0
 
 
 def test_genetic_code():

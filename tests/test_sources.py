@@ -63,6 +63,34 @@ def test_csv_readers(spark, tmp_path):
         files.read_metadata(spark, str(tmp_path / "i.csv"))
 
 
+def test_host_tables_times_and_weights(spark, tmp_path):
+    (tmp_path / "hosts").mkdir()
+    (tmp_path / "hosts" / "pig.csv").write_text("codon,frequency\nuuu,10\nTTC,5\nTAA,1\n")
+    (tmp_path / "hosts" / "Water Buffalo.csv").write_text("codon,frequency\nTTT,0\nTTC,4\n")
+    usage = files.read_host_codon_usage(spark, str(tmp_path / "hosts"), {"wild_boar": "pig"})
+    assert pairs(usage, "host", "codon", "weight") == [("pig", "TTC", 0.5), ("pig", "TTT", 1.0), ("waterbuffalo", "TTC", 1.0), ("waterbuffalo", "TTT", 1e-4), ("wildboar", "TTC", 0.5), ("wildboar", "TTT", 1.0)]
+    (tmp_path / "t.csv").write_text("pathogen,applicable,days\na,yes,5\nb,no,\nc,yes,0\nd,no,3\ne,perhaps,1\nf,yes,x\n,yes,1\n")
+    good, bad = files.read_generation_times(spark, str(tmp_path / "t.csv"))
+    assert pairs(good, "pathogen", "applicable") == [("a", True), ("b", False)] and bad.count() == 5
+    (tmp_path / "w.json").write_text('{"PI": 0.5, "mu": -1, "other": 2, "GD": "x"}')
+    weights, bad = files.read_weights(spark, str(tmp_path / "w.json"))
+    got = {r.key: r.weight for r in weights.collect()}
+    assert len(got) == 9 and abs(sum(got.values()) - 1) < 1e-9 and abs(got["pi"] / got["GD"] - 5) < 1e-9
+    assert sorted(r.reason for r in bad.collect()) == ["negative", "no number", "unknown index"]
+
+
+def test_counts_of_what_loads(spark, tmp_path):
+    (tmp_path / "a.fasta").write_text(">a\nACGT\n>a\nAC\n")
+    (tmp_path / "b.fasta").write_text(">x\nAC!T\n")
+    counts = {r.source[-7:]: (r.n_loaded, r.n_skipped, r.status) for r in files.parse_counts(*files.read_fasta(spark, str(tmp_path))).collect()}
+    assert counts == {"a.fasta": (1, 1, "loaded"), "b.fasta": (0, 1, "no valid record")}
+    (tmp_path / "v.vcf").write_text("##fileformat=VCFv4.2\n1\t5\t.\tA\tG\t.\t.\tDP=9\n")
+    good, bad = files.read_vcf(spark, str(tmp_path / "v.vcf"))
+    assert good.count() == 0 and [r.reason for r in bad.collect()] == ["no #CHROM line"]
+    files.write_per_sequence(spark.createDataFrame([("d", 1, 0.5)], "dataset_id string, seq_ord int, gd double"), str(tmp_path / "out"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).columns == ["dataset_id", "seq_ord", "gd"]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     """Every day before the watermark comes out as in the batch operator, redeliveries and reports without id too."""
     import datetime as dt
