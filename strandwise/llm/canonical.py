@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwise.session import checkpointed
+from strandwise.session import broadcast_if_small, checkpointed
 
 #: Fixed: letters that look like Latin ones, and Latin letters that no decomposition leads to a plain one.
 LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "ԁ": "d", "ɡ": "g", "ο": "o", "α": "a", "ν": "v", "ρ": "p", "ø": "o", "đ": "d", "ł": "l", "ı": "i", "ħ": "h", "ŧ": "t"}
@@ -94,6 +94,8 @@ def similar(texts: DataFrame, forms: DataFrame) -> DataFrame:
     texts = tried.select(*key).distinct()
     equal = texts.join(forms, key).select(*key, "kind", "entry", "region", "way", F.lit(0).alias("cost"))
     others = texts.join(forms.select(*key).distinct(), key, "left_anti").where(F.length("text") >= 3).withColumn("m", F.length("text"))
+    # Each text becomes some hundred substrings, so a few megabytes of texts are work for all cores.
+    others = others.repartition(2 * texts.sparkSession.sparkContext.defaultParallelism, *key)
 
     sized = forms.withColumn("n", F.length("text")).withColumn("k", edits(F.length("text"))).where("k > 0")
     cut = sized.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k"))))
@@ -103,8 +105,8 @@ def similar(texts: DataFrame, forms: DataFrame) -> DataFrame:
     layout = layout.withColumn("m", F.explode(F.sequence(F.greatest(F.col("n") - F.col("k"), F.lit(1)), F.col("n") + F.col("k"))))
     layout = layout.withColumn("place", F.explode(F.sequence(F.greatest(F.col("start") - F.col("k"), F.lit(0)), F.col("start") + F.col("k")))).where("place + size <= m").select("field", "m", "n", "start", "size", "place").distinct()
 
-    parts = others.join(layout, ["field", "m"]).select(*key, "n", "start", F.substring(F.col("text"), F.col("place") + 1, F.col("size")).alias("part")).distinct()
-    met = parts.join(segments, ["field", "n", "start", "part"]).select(*key, "form", "kind", "entry", "region", "way", "n", "k").distinct()
+    parts = others.join(broadcast_if_small(layout), ["field", "m"]).select(*key, "n", "start", F.substring(F.col("text"), F.col("place") + 1, F.col("size")).alias("part"))
+    met = parts.join(broadcast_if_small(segments), ["field", "n", "start", "part"]).select(*key, "form", "kind", "entry", "region", "way", "n", "k").distinct()
     letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     met = met.withColumn("distance", F.expr("levenshtein(text, form, 3)")).where(F.col("distance").between(1, F.col("k")))
     same = letters(F.col("text")) == letters(F.col("form"))
