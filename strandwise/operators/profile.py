@@ -171,6 +171,7 @@ def distribution_shifts(judged: DataFrame, cells: DataFrame, roles: DataFrame) -
     open_ = broadcast_if_small(checkpointed(open_))
     asked = open_.join(roles, "load_id").select(F.col("source").alias("load_id"), "column_name", "bucket").distinct()
     inside = judged.where("valid").join(broadcast_if_small(checkpointed(asked)), ["load_id", "column_name", "bucket"], "left_semi").groupBy("load_id", "column_name", "bucket", "fine", "number").agg(F.sum("n").alias("n"))
+    inside = checkpointed(inside)
     line = _now_and_then(inside, roles, "n").join(open_.select("load_id", "column_name", "bucket"), ["load_id", "column_name", "bucket"], "left_semi")
     summed = running_sums(line, ["load_id", "column_name", "bucket"], F.col("fine"), "number", ["now", "then"])
     exact = summed.join(open_, ["load_id", "column_name", "bucket"]).select("load_id", "column_name", "n_now", "n_then", F.abs(gap(F.col("b_now") + F.col("run_now"), F.col("b_then") + F.col("run_then"))).alias("gap"))
