@@ -166,6 +166,8 @@ def pack(sizes: DataFrame, capacities: DataFrame, key: str = "doc_id", step: int
     profiles = [(r.profile, int(r.capacity_tokens)) for r in capacities.where(F.col("capacity_tokens") >= 1).select("profile", "capacity_tokens").distinct().orderBy("profile").limit(MOST_SIZES).collect()]
     if not profiles:
         raise ValueError("no capacity")
+    if len({p for p, _ in profiles}) < len(profiles):
+        raise ValueError("a profile has two capacities")
     tiers = sorted({c for _, c in profiles})
     kept = checkpointed(sizes.select(key, F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0)).cast("bigint").alias("tokens")))
     pieces = pieces_of(kept, profiles, key)
