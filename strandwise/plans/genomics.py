@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.functions import genetic_code
@@ -17,6 +17,7 @@ from strandwise.operators import distance as D
 from strandwise.operators import epidemic as E
 from strandwise.operators import pairs as R
 from strandwise.operators import phylo as P
+from strandwise.operators.prefix import numbered
 from strandwise.sources.tables import table
 
 
@@ -229,8 +230,9 @@ def corpus_ranking(spark: SparkSession, d: str) -> DataFrame:
     """Per load: comparable rows by falling score, then the others by pathogen and row."""
     t = table(spark, d, "all_pathogens_summary").select("load_id", "row_id", "pathogen", F.col("gvi").try_cast("double").alias("gvi"), (F.lower("comparable") == "yes").alias("comparable"))
     comparable = F.coalesce("comparable", F.lit(False))
-    order = Window.partitionBy("load_id").orderBy(comparable.desc(), F.when(comparable, F.col("gvi")).desc_nulls_last(), F.col("pathogen").asc_nulls_first(), "row_id")
-    return t.select("load_id", "row_id", F.row_number().over(order).alias("place"))
+    ready = t.select("load_id", "row_id", "pathogen", comparable.alias("comparable"), F.when(comparable, F.col("gvi")).alias("score"))
+    order = [F.col("comparable").desc(), F.col("score").desc_nulls_last(), F.col("pathogen").asc_nulls_first(), F.col("row_id").asc()]
+    return numbered(ready, ["load_id"], order, "place").select("load_id", "row_id", F.col("place").cast("int").alias("place"))
 
 
 QUERIES = {

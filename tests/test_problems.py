@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandwise.operators import prefix, profile, references, rejects, series
@@ -44,6 +45,13 @@ def test_running_sums_equal_a_plain_window(spark):
     assert got == want
 
 
+def test_numbers_equal_a_plain_window(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 == 0, F.lit(None)).otherwise("b").alias("k"), F.when(F.col("id") % 7 > 0, F.col("id") * 7919 % 101).alias("o"), "id")
+    order = [F.col("o").desc_nulls_last(), F.col("id").asc()]
+    got = {(r.id, r.nth) for r in prefix.numbered(df, ["k"], order, "nth").collect()}
+    assert got == {(r.id, r.nth) for r in df.select("id", F.row_number().over(Window.partitionBy("k").orderBy(*order)).alias("nth")).collect()}
+
+
 def reject(spark, records, header="id2,sequence_id,collection_date"):
     raw = spark.createDataFrame([("f", 1, header), *(("f", i + 2, r) for i, r in enumerate(records))], "source string, line_number long, raw_record string")
     found = {r.line_number - 2: r.reason for r in rejects.rejected_records(raw).collect()}
